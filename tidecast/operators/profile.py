@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.names import long_form
+from tidecast.functions.stats import pearson
 from tidecast.operators.order import over_order
 
 # Fixed values of the screening rules.
@@ -75,7 +76,7 @@ def high_cardinality(df: DataFrame, cols: Sequence[str], exact: bool = False) ->
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    wide = df.agg(*[F.corr(F.col(f).cast("double"), F.col(target).cast("double")).alias(f) for f in features])
+    wide = df.agg(*[pearson(f, target).alias(f) for f in features])
     flat = long_form(wide, {f: {"correlation": f} for f in features}, "feature")
     suspect = F.coalesce(F.abs("correlation") > LEAK_CORRELATION, F.lit(False))
     return flat.withColumn("leakage_suspect", suspect)
@@ -92,7 +93,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         wide = df.agg(*[
             F.struct(
                 F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation"),
+                pearson(a, b).alias("correlation"),
             ).alias(f"p{i}")
             for i, (a, b) in enumerate(pairs)
         ])
@@ -122,7 +123,7 @@ def target_candidates(df: DataFrame, cols: Sequence[str], series_cols: Sequence[
     )
     wide = lagged.agg(
         *[F.var_samp(c).alias(f"{c}|var") for c in cols],
-        *[F.corr(c, f"{c}|before").alias(f"{c}|self") for c in cols],
+        *[pearson(c, f"{c}|before").alias(f"{c}|self") for c in cols],
     )
     flat = long_form(wide, {c: {"variance": f"{c}|var", "self_correlation": f"{c}|self"} for c in cols})
     # One row per column.

@@ -72,3 +72,24 @@ def fold_roles(df: DataFrame, folds: Sequence[Fold], index: str = "t_idx") -> Da
         for role, cond in (("train", f.train(index)), ("test", f.test(index)))
     ]
     return df.select("*", F.inline(F.array_compact(F.array(*roles))))
+
+
+def test_folds(
+    df: DataFrame, series_cols: Sequence[str] = (), folds: int = FOLDS, index: str = "t_idx"
+) -> DataFrame:
+    """Mark each row with the fold it is tested in and whether it is held out.
+
+    Series lengths are joined by key; rows before the first fold have no fold.
+    """
+    keys = list(series_cols)
+    n_train = F.floor((1 - HOLDOUT_SHARE) * (F.max(index) + 1))
+    if keys:
+        marked = df.join(df.groupBy(*keys).agg(n_train.alias("_n")), keys)
+    else:
+        marked = df.withColumn("_n", F.lit(df.agg(n_train).first()[0]))
+    width = F.expr(f"_n div {folds + 2}")
+    number = F.floor((F.col(index) - (F.col("_n") - folds * width)) / F.nullif(width, F.lit(0)))
+    tested = (number >= 0) & (F.col(index) < F.col("_n"))
+    return marked.withColumns({
+        "fold": F.when(tested, number).cast("int"), "is_holdout": F.col(index) >= F.col("_n"),
+    }).drop("_n")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.names import long_form
+from tidecast.functions.stats import pearson
 from tidecast.functions.tails import chi2_tail, dickey_fuller_p, f_tail
 from tidecast.operators.order import over_order
 
@@ -72,7 +73,7 @@ def cross_correlation(
     )
     pairs = [(f, k) for f in features for k in range(max_lag + 1)]
     wide = lagged.groupBy(*keys).agg(*[
-        F.corr(target, f if k == 0 else f"{f}|{k}").alias(f"r{i}") for i, (f, k) in enumerate(pairs)
+        pearson(target, f if k == 0 else f"{f}|{k}").alias(f"r{i}") for i, (f, k) in enumerate(pairs)
     ])
     rows = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.lit(k).alias("lag"), F.col(f"r{i}").alias("xcorr"))
