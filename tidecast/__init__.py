@@ -1 +1,8 @@
 """Spark-native regression and forecasting on tables and time series."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

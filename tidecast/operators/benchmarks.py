@@ -75,12 +75,13 @@ def _regress(n: float, mean: np.ndarray, cov: np.ndarray, pick: Sequence[int], t
 class _Lagged:
     """Columns of the differenced series and its shocks at any lag, from lags of the raw series."""
 
-    def __init__(self, diff: dict[int, float], long: int, most: int):
-        self.diff, self.long = diff, long
+    def __init__(self, diff: dict[int, float], long: int, most: int, centre: float):
+        self.diff, self.long, self.centre = diff, long, centre
         self.reach = max(diff) + long + most
 
     def columns(self, w, col: str) -> dict[str, Column]:
-        return {f"_l{k}": F.lag(col, k).over(w) if k else F.col(col) for k in range(self.reach + 1)}
+        y = F.col(col) - F.lit(self.centre)
+        return {f"_l{k}": F.lag(y, k).over(w) if k else y for k in range(self.reach + 1)}
 
     def value(self, k: int) -> Column:
         return _linear(0.0, [(c, F.col(f"_l{k + j}")) for j, c in self.diff.items()])
@@ -90,8 +91,8 @@ class _Lagged:
         return self.value(k) - fitted
 
     def carried(self) -> Column:
-        """What differencing took away, from earlier rows only."""
-        return _linear(0.0, [(-c, F.col(f"_l{k}")) for k, c in self.diff.items() if k])
+        """What centring and differencing took away, from earlier rows only."""
+        return _linear(self.centre, [(-c, F.col(f"_l{k}")) for k, c in self.diff.items() if k])
 
 
 def arima(
@@ -114,7 +115,7 @@ def arima(
     diff = _difference_lags(d, period, seasonal_d)
     extra = [0, 1] if period else [0]
     most = max([max_p, max_q, period] if period else [max_p, max_q])
-    lagged = _Lagged(diff, long, most)
+    lagged = _Lagged(diff, long, most, df.agg(F.avg(col)).first()[0] or 0.0)
     rows = over_order(
         df, lambda w: lagged.columns(w, col), behind=lagged.reach
     )

@@ -122,12 +122,19 @@ def ljung_box(curve: DataFrame, lags: int = 10, series_cols: Sequence[str] = ())
 def moments(df: DataFrame, cols: Sequence[str], series_cols: Sequence[str] = ()) -> DataFrame:
     """Count, means and population covariances of columns, one row per series.
 
-    Expects rows without nulls.  ``cov`` lists the upper triangle row by row.
+    Expects rows without nulls, shifted so that means are not far from zero.
+    ``cov`` lists the upper triangle row by row.  One running sum per pair
+    keeps the aggregate small enough to compile well.
     """
-    cov = [F.covar_pop(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    return df.groupBy(*series_cols).agg(
-        F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("mean"), F.array(*cov).alias("cov")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = df.groupBy(*series_cols).agg(
+        F.count("*").alias("n"),
+        F.array(*[F.sum(c) for c in cols]).alias("s"),
+        F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("ss"),
     )
+    mean = [F.get("s", i) / F.col("n") for i in range(len(cols))]
+    cov = [F.get("ss", k) / F.col("n") - mean[i] * mean[j] for k, (i, j) in enumerate(pairs)]
+    return sums.select(*series_cols, "n", F.array(*mean).alias("mean"), F.array(*cov).alias("cov"))
 
 
 def full_matrix(upper: Sequence[float], size: int) -> np.ndarray:
@@ -148,7 +155,8 @@ def adf(df: DataFrame, col: str, max_lag: int = 12, series_cols: Sequence[str] =
     Series under 50 rows get nulls instead of a test.
     """
     keys = list(series_cols)
-    rows = df.where(F.col(col).isNotNull()).select(*keys, "t_idx", F.col(col).alias("y"))
+    centre = df.agg(F.avg(col)).first()[0] or 0.0
+    rows = df.where(F.col(col).isNotNull()).select(*keys, "t_idx", (F.col(col) - F.lit(centre)).alias("y"))
     reach = max_lag + 1
 
     def columns(w):

@@ -59,15 +59,17 @@ def _kernel(train: DataFrame, features: list[str], params: dict):
     rng = np.random.default_rng(SEED)
     weights = rng.normal(scale=1 / (width * np.sqrt(len(features))), size=(count, len(features)))
     shifts = rng.uniform(0, 2 * np.pi, size=count)
+    scaled = ", ".join(
+        f"(`{c}` - {float(row[f'{c}|m'] or 0.0)!r}D) / {float(row[f'{c}|s'] or 1.0)!r}D" for c in features
+    )
     waves = []
     for i in range(count):
-        terms = " + ".join(
-            f"({w / (row[f'{c}|s'] or 1.0)!r}D * (`{c}` - {float(row[f'{c}|m'] or 0.0)!r}D))"
-            for c, w in zip(features, (float(x) for x in weights[i]))
-        )
-        waves.append(f"cos({terms} + {float(shifts[i])!r}D) AS _rff_{i}")
+        w = ", ".join(f"{float(x)!r}D" for x in weights[i])
+        total = f"aggregate(zip_with(_z, array({w}), (a, b) -> a * b), {float(shifts[i])!r}D, (a, b) -> a + b)"
+        waves.append(f"cos({total}) AS _rff_{i}")
     names = [f"_rff_{i}" for i in range(count)]
     return [
+        SQLTransformer(statement=f"SELECT *, array({scaled}) AS _z FROM __THIS__"),
         SQLTransformer(statement=f"SELECT *, {', '.join(waves)} FROM __THIS__"),
         VectorAssembler(inputCols=[*names, *features], outputCol="_x"),
         LinearRegression(featuresCol="_x", labelCol="y", loss="huber", regParam=params.get("regParam", 0.01), maxIter=50),
