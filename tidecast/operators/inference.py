@@ -130,7 +130,8 @@ def forecast_recursive(
     if keys:
         recent = df.join(ends, keys).where(F.col("t_idx") > F.col("_end") - reach)
     else:
-        recent = df.where(F.col("t_idx") > F.lit(ends.first()[0] - reach)).withColumn("_end", F.max("t_idx").over(Window.partitionBy()))
+        end = F.lit(ends.first()[0])
+        recent = df.where(F.col("t_idx") > end - reach).withColumn("_end", end)
     tail = written_table(
         recent.select(*keys, "t", "y", "t_idx", (F.col("t_idx") - F.col("_end")).alias("_step")), "tail"
     )

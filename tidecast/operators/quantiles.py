@@ -78,15 +78,11 @@ def _narrow(df: DataFrame, gaps: list[_Gap], found: dict) -> list[_Gap]:
 
 def _rank(df: DataFrame, gaps: list[_Gap], found: dict) -> None:
     """Look up the sought ranks in gaps of at most RANKED_AT_ONCE rows each."""
-    slots = F.array(*[
-        F.struct(F.lit(i).alias("slot"), g.value().alias("value")) for i, g in enumerate(gaps)
-    ])
-    held = (
-        df.select(F.inline(slots))
-        .where(F.col("value").isNotNull())
-        .groupBy("slot", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    slots = F.array_compact(F.array(*[
+        F.when(g.value().isNotNull(), F.struct(F.lit(i).alias("slot"), g.value().alias("value")))
+        for i, g in enumerate(gaps)
+    ]))
+    held = df.select(F.inline(slots)).groupBy("slot", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
     aims = F.array(*[
         F.array(*[F.lit(r - g.below).cast("bigint") for r in g.ranks]) for g in gaps

@@ -27,34 +27,36 @@ USEFUL_XCORR = 0.15
 def acf(df: DataFrame, col: str, max_lag: int = 24, series_cols: Sequence[str] = ()) -> DataFrame:
     """Autocorrelation at lags 1..max_lag, at most a quarter of the series.
 
-    Products are centred inside the aggregate, so no mean has to be joined back.
+    Plain sums of products are corrected for the mean of each series after the
+    aggregate, so no mean has to be joined back.  A common shift keeps them
+    well scaled.
     """
     keys = list(series_cols)
     lags = range(1, max_lag + 1)
+    shift = F.lit(df.agg(F.avg(col)).first()[0] or 0.0)
     lagged = over_order(
-        df.where(F.col(col).isNotNull()).select(*keys, "t_idx", F.col(col).alias("y")),
+        df.where(F.col(col).isNotNull()).select(*keys, "t_idx", (F.col(col) - shift).alias("y")),
         lambda w: {f"y{k}": F.lag("y", k).over(w) for k in lags},
         behind=max_lag, series_cols=keys,
     )
-    moments = [F.count("y").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")]
+    sums = [F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")]
     for k in lags:
-        moments += [
-            F.count(f"y{k}").alias(f"n{k}"),
-            F.covar_pop("y", f"y{k}").alias(f"c{k}"),
-            F.regr_avgy("y", f"y{k}").alias(f"a{k}"),
-            F.avg(f"y{k}").alias(f"b{k}"),
+        past = F.col(f"y{k}")
+        sums += [
+            F.sum(F.col("y") * past).alias(f"p{k}"),
+            F.sum(F.when(past.isNotNull(), F.col("y") + past)).alias(f"t{k}"),
         ]
-    wide = lagged.groupBy(*keys).agg(*moments)
-    value = {
-        k: F.try_divide(
-            F.col(f"n{k}") * (F.col(f"c{k}") + (F.col(f"a{k}") - F.col("m")) * (F.col(f"b{k}") - F.col("m"))),
-            F.col("n") * F.col("v"),
+    wide = lagged.groupBy(*keys).agg(*sums).withColumn("m", F.try_divide("s", "n"))
+    m, spread = F.col("m"), F.col("ss") - F.col("s") * F.col("m")
+    rows = F.array(*[
+        F.struct(
+            F.lit(k).alias("lag"),
+            F.try_divide(F.col(f"p{k}") - m * F.col(f"t{k}") + (F.col("n") - k) * m * m, spread).alias("acf"),
         )
         for k in lags
-    }
-    wide = wide.select(*keys, "n", *[value[k].alias(f"r{k}") for k in lags])
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("acf")) for k in lags])
-    return wide.select(*keys, "n", F.inline(rows)).where(F.col("lag") <= F.greatest(F.floor(F.col("n") / 4), F.lit(1)))
+    ])
+    most = F.greatest(F.floor(F.col("n") / 4), F.lit(1))
+    return wide.select(*keys, "n", F.inline(rows)).where(F.col("lag") <= most)
 
 
 def significant_lags(curve: DataFrame) -> DataFrame:

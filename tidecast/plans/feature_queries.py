@@ -237,10 +237,10 @@ def differencing(spark, sf):
 
 
 @query("c15_trend_features", f"""WITH {EV} SELECT event_id, t_idx::DOUBLE AS t_index, t_idx::DOUBLE * t_idx AS t_index_squared,
-  {r("(epoch_us(t) - (SELECT min(epoch_us(t)) FROM ev)) / 86400000000.0::DOUBLE", 9)} AS t_elapsed_days FROM ev""")
+  (epoch_us(t) - (SELECT min(epoch_us(t)) FROM ev))::DOUBLE / 86400000000.0::DOUBLE AS t_elapsed_days FROM ev""")
 def trend_features(spark, sf):
     built = fx.trend_features(event_series(spark, sf))
-    return built.select("event_id", "t_index", "t_index_squared", rounded("t_elapsed_days", 9).alias("t_elapsed_days"))
+    return built.select("event_id", "t_index", "t_index_squared", "t_elapsed_days")
 
 
 @query("c16_calendar_features", """SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
@@ -265,13 +265,15 @@ def seasonal_lags(spark, sf):
 @query("c18_adaptive_features", f"""WITH {SEAS} SELECT event_id, {", ".join(
     r(_lag(k)) + f" AS y_lag_{k}" for k in (1, 2, 7, 14))}, {r(f"{_lag(1)} - {_lag(2)}")} AS y_diff_1,
   {r(f"{_lag(1)} - {_lag(8)}")} AS y_diff_7, {r(f"{_lag(1)} - 2 * {_lag(2)} + {_lag(3)}")} AS y_diff_2,
-  {r(f"({_lag(1)} - {_lag(2)}) / nullif({_lag(2)}, 0)")} AS y_pct_change_1,
+  {r(f"({_lag(1)} - {_lag(2)}) / nullif({_lag(2)}, 0)", 3)} AS y_pct_change_1,
   {", ".join(r(f"{f}(2 * pi() * {k} * t_idx / 7.0::DOUBLE)") + f" AS {f}_{k}" for k in (1, 2) for f in ("sin", "cos"))} FROM seas""")
 def adaptive(spark, sf):
     profile_row = {"trend_detected": True, "seasonality_detected": True, "stationary": True}
     plan = fx.adaptive_features("y", profile_row, [1, 2, 7, 14], 7)
     built = fx.build(seasonal_series(spark, sf), plan)
-    return built.select("event_id", *[rounded(f.name).alias(f.name) for f in plan])
+    return built.select("event_id", *[
+        rounded(f.name, 3 if "pct" in f.name else 6).alias(f.name) for f in plan
+    ])
 
 
 @query("c19_model_features", f"""WITH {EV} SELECT event_id, {r(f"{_lag(1)} - {_lag(2)}")} AS y_diff_1,

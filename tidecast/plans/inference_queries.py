@@ -194,8 +194,8 @@ _GROUPED = [
 
 @query("g10_feature_groups", f"""WITH n AS (SELECT f, regexp_matches(f, 'time|date|year|month|day|hour|dow') AS t,
     contains(f, 'lag') AS l, regexp_matches(f, 'rolling|mean|std') AS w FROM (SELECT unnest({_GROUPED}) AS f))
-  SELECT 'time' AS feature_group, count_if(t)::BIGINT AS features FROM n UNION ALL SELECT 'lag', count_if(l) FROM n
-  UNION ALL SELECT 'rolling', count_if(w) FROM n UNION ALL SELECT 'other', count_if(NOT (t OR l OR w)) FROM n""")
+  SELECT 'time' AS feature_group, count_if(t)::BIGINT AS features FROM n UNION ALL SELECT 'lag', count_if(l)::BIGINT FROM n
+  UNION ALL SELECT 'rolling', count_if(w)::BIGINT FROM n UNION ALL SELECT 'other', count_if(NOT (t OR l OR w))::BIGINT FROM n""")
 def groups(spark, sf):
     plan = [
         *fx.lag_features("y", [1, 2, 3, 7, 14]), *fx.lag_features("x", [1], "x", "source"), *fx.interaction_features("y", [1, 2]),

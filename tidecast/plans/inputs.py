@@ -85,9 +85,9 @@ DAYS = """days AS (
 
 @shared
 def seasonal_series(spark: SparkSession, sf: str) -> DataFrame:
-    """The event series with a weekly wave and a trend added, so models can learn."""
+    """The event series with a wave of 7 rows and a levelling trend added, so models can learn."""
     wave = 3 * F.sin(F.lit(2 * 3.141592653589793) * F.col("t_idx") / 7)
-    trend = F.lit(10.0) * F.col("t_idx") / F.lit(1000.0)
+    trend = F.lit(2.0) * F.col("t_idx") / (F.col("t_idx") + F.lit(1000.0))
     return event_series(spark, sf).select(
         "event_id", "t", "t_idx", "x", (F.col("y") / 100 + wave + trend).alias("y")
     )
@@ -95,7 +95,7 @@ def seasonal_series(spark: SparkSession, sf: str) -> DataFrame:
 
 SEAS = EV + """, seas AS (
   SELECT event_id, t, t_idx, x,
-         y / 100 + 3 * sin(2 * 3.141592653589793 * t_idx / 7) + 10.0 * t_idx / 1000.0 AS y
+         y / 100 + 3 * sin(2 * 3.141592653589793 * t_idx / 7) + 2.0::DOUBLE * t_idx / (t_idx + 1000.0::DOUBLE) AS y
   FROM ev)"""
 
 
