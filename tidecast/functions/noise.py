@@ -6,9 +6,10 @@ does not, so reruns and other cluster sizes give the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,13 +23,15 @@ def uniform(key: Column, seed: str) -> Column:
     return _word(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 0)
 
 
-def standard_normals(key: Column, seed: str, count: int) -> list[Column]:
-    """Independent standard normals; one digest serves four of them."""
-    out: list[Column] = []
-    for block in range((count + 3) // 4):
-        digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}{block}")))
+def add_standard_normals(df: DataFrame, key: Column, seed: str, names: Sequence[str]) -> DataFrame:
+    """Add independent standard normal columns; one digest serves four of them."""
+    digests = {
+        f"_digest_{b}": F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}{b}"))) for b in range((len(names) + 3) // 4)
+    }
+    normals: list[Column] = []
+    for digest in digests:
         for pair in (0, 2):
-            radius = F.sqrt(F.lit(-2.0) * F.ln(_word(digest, pair)))
-            angle = F.lit(2 * pi) * _word(digest, pair + 1)
-            out += [radius * F.cos(angle), radius * F.sin(angle)]
-    return out[:count]
+            radius = F.sqrt(F.lit(-2.0) * F.ln(_word(F.col(digest), pair)))
+            angle = F.lit(2 * pi) * _word(F.col(digest), pair + 1)
+            normals += [radius * F.cos(angle), radius * F.sin(angle)]
+    return df.withColumns(digests).withColumns(dict(zip(names, normals))).drop(*digests)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.order import over_order
-from tidecast.operators.stattests import full_matrix, moments
+from tidecast.operators.stattests import moments, unpack
 
 
 def persistence(df: DataFrame, col: str = "y", series_cols: Sequence[str] = ()) -> DataFrame:
@@ -122,12 +122,12 @@ def arima(
     usable = rows.where(train & F.col(f"_l{lagged.reach}").isNotNull())
     first = usable.select(*[lagged.value(k).alias(f"w{k}") for k in range(long + 1)])
     m = moments(first, [f"w{k}" for k in range(long + 1)]).first()
-    if not m["n"]:
+    if m is None or m["v"][0] <= long + 1:
         raise ValueError("too few rows for the ARIMA benchmark")
-    cov = full_matrix(m["cov"], long + 1)
-    solved = _regress(m["n"], np.array(m["mean"]), cov, range(1, long + 1), 0)
+    n, mean, cov = unpack(m["v"], long + 1)
+    solved = _regress(n, mean, cov, range(1, long + 1), 0)
     if solved is None:
-        solved = (m["mean"][0], np.zeros(long), 0.0)
+        solved = (mean[0], np.zeros(long), 0.0)
     long_c, phi = float(solved[0]), tuple(float(x) for x in solved[1])
 
     ar_all = list(range(1, max_p + 1)) + ([period] if period else [])
@@ -138,8 +138,7 @@ def arima(
         *[lagged.shock(k, long_c, phi).alias(f"e{k}") for k in ma_all],
         lagged.value(0).alias("w0"),
     )
-    m = moments(second, names).first()
-    n, mean, cov = m["n"], np.array(m["mean"]), full_matrix(m["cov"], len(names))
+    n, mean, cov = unpack(moments(second, names).first()["v"], len(names))
     orders = [(*order, 0, 0)] if order else list(product(range(max_p + 1), range(max_q + 1), extra, extra))
     best = None
     for p, q, sp, sq in orders:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import inf, nextafter
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.functions.noise import standard_normals
+from tidecast.functions.noise import add_standard_normals
 from tidecast.operators.order import over_order
 from tidecast.operators.quantiles import exact_quantiles
 
@@ -19,12 +21,17 @@ def bin_edges(df: DataFrame, cols: Sequence[str], bins: int = BINS) -> dict[str,
     return exact_quantiles(df, cols, [i / bins for i in range(1, bins)])
 
 
-def bin_number(x: Column, edges: Sequence[float]) -> Column:
-    """How many edges lie below ``x``; equal values always share a bin."""
-    total = F.lit(0)
-    for e in sorted({e for e in edges if e is not None}):
-        total = total + (x > F.lit(e)).cast("int")
-    return total
+def with_bins(df: DataFrame, edges: dict[str, Sequence[float]], prefix: str = "_bin_") -> DataFrame:
+    """Add how many edges lie strictly below each value; equal values always share a bin."""
+    splits = []
+    for values in edges.values():
+        inner = sorted({nextafter(e, inf) for e in values if e is not None})
+        splits.append([-inf, *inner, inf] if inner else [-inf, 0.0, inf])
+    finder = Bucketizer(
+        inputCols=list(edges), outputCols=[f"{prefix}{c}" for c in edges], splitsArray=splits, handleInvalid="keep"
+    )
+    binned = finder.transform(df)
+    return binned.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}").cast("int") for c in edges})
 
 
 def _information(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,23 +57,18 @@ def mutual_information(
 ) -> DataFrame:
     """``(feature, mi)`` for every feature against the target; null pairs left out."""
     edges = bin_edges(df, [*dict.fromkeys([*features, target])], bins)
-    ybin = bin_number(F.col(target), edges[target])
     pairs = F.array(*[
-        F.struct(
-            F.lit(f).alias("feature"),
-            bin_number(F.col(f), edges[f]).alias("xbin"),
-            ybin.alias("ybin"),
-        )
+        F.struct(F.lit(f).alias("feature"), F.col(f"_bin_{f}").alias("xbin"), F.col(f"_bin_{target}").alias("ybin"))
         for f in features
     ])
-    rows = df.select(F.inline(pairs)).where("xbin is not null and ybin is not null")
+    rows = with_bins(df, edges).select(F.inline(pairs)).where("xbin is not null and ybin is not null")
     return _information(rows, ["feature"])
 
 
 def with_noise(df: DataFrame, key: Column, count: int = NOISE_COLUMNS) -> tuple[DataFrame, list[str]]:
     """Add standard normal columns drawn from the row key."""
     names = [f"noise_{i}" for i in range(count)]
-    return df.withColumns(dict(zip(names, standard_normals(key, "noise", count)))), names
+    return add_standard_normals(df, key, "noise", names), names
 
 
 def information_ranking(
@@ -99,8 +101,10 @@ def lag_information(
     Both sides have the same distribution, so the series is binned once and the
     bin numbers are lagged.
     """
-    edges = bin_edges(df, [col], bins)[col]
-    binned = df.select(*series_cols, "t_idx", bin_number(F.col(col), edges).alias("ybin"))
+    series = df.select(*series_cols, "t_idx", F.col(col).cast("double").alias("y"))
+    binned = with_bins(series, bin_edges(series, ["y"], bins)).select(
+        *series_cols, "t_idx", F.col("_bin_y").alias("ybin")
+    )
     lagged = over_order(
         binned,
         lambda w: {f"b{k}": F.lag("ybin", k).over(w) for k in range(1, max_lag + 1)},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
@@ -11,12 +12,12 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions.names import long_form
-from tidecast.functions.stats import pearson
+from tidecast.functions.stats import correlations
 from tidecast.operators.features import Feature, build
 from tidecast.sources.files import write_parquet
 
 THRESHOLD = 0.98
+PROPER_LAG = re.compile(r"^y_lag_[1-9]\d*$")
 CONFIRMED_R2 = 0.999
 
 
@@ -26,12 +27,11 @@ def detect_leakage(
     """Correlation of each feature with the target; proper target lags are exempt."""
     if target not in df.columns:
         raise ValueError(f"target column {target} not found")
-    names = [f for f in features if f != target]
-    wide = df.agg(*[pearson(f, target).alias(f) for f in names])
-    flat = long_form(wide, {f: {"correlation": f} for f in names}, "feature")
-    proper = F.col("feature").rlike(r"^y_lag_[1-9]\d*$")
-    leaks = (F.abs("correlation") >= threshold) & ~proper
-    return flat.withColumn("candidate", F.coalesce(leaks, F.lit(False)))
+    found = correlations(df, [(f, target) for f in features if f != target])
+    rows = [
+        (f, r, r is not None and abs(r) >= threshold and not PROPER_LAG.match(f)) for (f, _), r in found.items()
+    ]
+    return df.sparkSession.createDataFrame(rows, "feature string, correlation double, candidate boolean")
 
 
 def reconstruction_probe(df: DataFrame, candidates: Sequence[str], target: str) -> float | None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.names import long_form
-from tidecast.functions.stats import pearson
+from tidecast.functions.stats import correlations, pearson
 from tidecast.operators.order import over_order
 
 # Fixed values of the screening rules.
@@ -20,7 +20,7 @@ LOW_VARIANCE = 1e-4
 MANY_VALUES = 50
 LEAK_CORRELATION = 0.98
 REDUNDANT_CORRELATION = 0.90
-_PAIRS_BY_AGGREGATE = 40
+_PAIRS_BY_AGGREGATE = 16
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -76,10 +76,9 @@ def high_cardinality(df: DataFrame, cols: Sequence[str], exact: bool = False) ->
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    wide = df.agg(*[pearson(f, target).alias(f) for f in features])
-    flat = long_form(wide, {f: {"correlation": f} for f in features}, "feature")
-    suspect = F.coalesce(F.abs("correlation") > LEAK_CORRELATION, F.lit(False))
-    return flat.withColumn("leakage_suspect", suspect)
+    found = correlations(df, [(f, target) for f in features])
+    rows = [(f, r, r is not None and abs(r) > LEAK_CORRELATION) for (f, _), r in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, correlation double, leakage_suspect boolean")
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -90,18 +89,12 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     pairs = list(combinations(cols, 2))
     if len(cols) <= _PAIRS_BY_AGGREGATE:
-        wide = df.agg(*[
-            F.struct(
-                F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                pearson(a, b).alias("correlation"),
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(pairs)
-        ])
-        return wide.select(F.inline(F.array(*[f"p{i}" for i in range(len(pairs))])))
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df.na.drop(subset=list(cols)))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    at = {c: i for i, c in enumerate(cols)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
+        rows = [(a, b, r) for (a, b), r in correlations(df, pairs).items()]
+    else:
+        vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df.na.drop(subset=list(cols)))
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        at = {c: i for i, c in enumerate(cols)}
+        rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 

@@ -4,89 +4,132 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import ceil, floor
+from math import ceil, floor, inf, nextafter
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 RANKED_AT_ONCE = 100_000
+_GRID = [i / 250 for i in range(251)]
 
 
 @dataclass
 class _Gap:
-    """An open value range of one column, with the ranks still sought in it."""
+    """An open value range between two cuts of one column, with the ranks sought in it."""
 
-    col: str
-    lo: float | None
-    hi: float | None
+    col: int
+    lo: float
+    hi: float
     below: int
     rows: int
     ranks: list[int] = field(default_factory=list)
 
-    def value(self) -> Column:
-        x = F.col(self.col).cast("double")
-        test = F.lit(True)
-        if self.lo is not None:
-            test = test & (x > F.lit(self.lo))
-        if self.hi is not None:
-            test = test & (x < F.lit(self.hi))
-        return F.when(test, x)
-
-
-def _narrow(df: DataFrame, gaps: list[_Gap], found: dict) -> list[_Gap]:
-    """Split wide gaps at sketched values; exact counts place every rank."""
-    slack = 2.0 / SKETCH_ACCURACY
-    sketches = []
-    for i, g in enumerate(gaps):
-        points = set()
+
+def place_codes(df: DataFrame, cuts: dict[str, Sequence[float]], prefix: str = "_code_") -> DataFrame:
+    """Add where each value lies among sorted cuts, found by binary search.
+
+    Even codes are the ranges between cuts, odd codes the cuts themselves:
+    0 is below the first cut, 1 on it, 2 above it, and so on.
+    """
+    splits = []
+    for values in cuts.values():
+        edges = [-inf]
+        for c in sorted(set(values)):
+            edges += [c, nextafter(c, inf)]
+        splits.append([*edges, inf] if len(edges) > 1 else [-inf, 0.0, inf])
+    finder = Bucketizer(
+        inputCols=list(cuts), outputCols=[f"{prefix}{c}" for c in cuts], splitsArray=splits, handleInvalid="keep"
+    )
+    return finder.transform(df)
+
+
+def _long(df: DataFrame, cols: Sequence[str], gaps: Sequence[_Gap]) -> DataFrame:
+    """``(col, code, value)`` of every non-null value, coded by the gaps' bounds."""
+    bounds = {c: [] for c in cols}
+    for g in gaps:
+        bounds[cols[g.col]] += [b for b in (g.lo, g.hi) if abs(b) != inf]
+    held = [c for c in cols if bounds[c]]
+    coded = place_codes(df, {c: bounds[c] for c in held}) if held else df
+    return coded.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("col"),
+            (F.col(f"_code_{c}").cast("int") if c in held else F.lit(0)).alias("code"),
+            F.col(c).alias("value"),
+        )
+        for i, c in enumerate(cols)
+    ]))).where("value is not null")
+
+
+def _codes(cols: Sequence[str], gaps: Sequence[_Gap]) -> dict[tuple[int, int], _Gap]:
+    """The gap behind each (column, code)."""
+    out = {}
+    for i in range(len(cols)):
+        mine = [g for g in gaps if g.col == i]
+        cuts = sorted({b for g in mine for b in (g.lo, g.hi) if abs(b) != inf})
+        for g in mine:
+            out[(i, 0 if g.lo == -inf else 2 * (cuts.index(g.lo) + 1))] = g
+    return out
+
+
+def _chosen(keys: Sequence[tuple[int, int]], values: Sequence, default) -> Column:
+    """Value for the row's (col, code), as a lookup in a literal map."""
+    entries = [x for (c, k), v in zip(keys, values) for x in (F.lit(c * 100_000 + k), v)]
+    found = F.try_element_at(F.create_map(*entries), F.col("col") * 100_000 + F.col("code"))
+    return F.coalesce(found, default) if default is not None else found
+
+
+def _narrow(df: DataFrame, cols: Sequence[str], gaps: list[_Gap], points: Sequence[float], found: dict) -> list[_Gap]:
+    """Split gaps at sketched values; exact counts place every rank."""
+    at = _codes(cols, gaps)
+    inside = _chosen(list(at), [F.lit(True)] * len(at), F.lit(False))
+    sketch = F.percentile_approx("value", list(points), SKETCH_ACCURACY).alias("cuts")
+    sketched = _long(df, cols, gaps).where(inside).groupBy("col", "code").agg(sketch)
+    cuts: dict[int, set[float]] = {i: set() for i in range(len(cols))}
+    for row in sketched.collect():
+        g = at[(row["col"], row["code"])]
         for r in g.ranks:
             share = (r - g.below) / max(g.rows - 1, 1)
-            points |= {min(max(share - slack, 0.0), 1.0), min(max(share + slack, 0.0), 1.0)}
-        sketches.append(
-            F.percentile_approx(g.value(), sorted(points), SKETCH_ACCURACY).alias(f"g{i}")
-        )
-    cuts = [sorted(set(v)) for v in df.agg(*sketches).first()]
-    tallies = []
-    for i, g in enumerate(gaps):
-        for j, cut in enumerate(cuts[i]):
-            tallies += [
-                F.count_if(g.value() < F.lit(cut)).alias(f"u{i}_{j}"),
-                F.count_if(g.value() <= F.lit(cut)).alias(f"v{i}_{j}"),
-            ]
-    tally = df.agg(*tallies).first()
+            slack = 2.0 / SKETCH_ACCURACY
+            before = [v for p, v in zip(points, row["cuts"]) if p <= share - slack]
+            after = [v for p, v in zip(points, row["cuts"]) if p >= share + slack]
+            cuts[g.col] |= {v for v in (before[-1:] + after[:1])}
+    named = {cols[i]: sorted(cuts[i] | {b for g in gaps if g.col == i for b in (g.lo, g.hi) if abs(b) != inf})
+             for i in range(len(cols)) if cuts[i]}
+    coded = place_codes(df, named).select(F.inline(F.array(*[
+        F.struct(F.lit(cols.index(c)).alias("col"), F.col(f"_code_{c}").cast("int").alias("code")) for c in named
+    ]))).where("code is not null")
+    tally = {(row["col"], row["code"]): row["n"] for row in coded.groupBy("col", "code").agg(F.count("*").alias("n")).collect()}
     left = []
-    for i, g in enumerate(gaps):
-        pieces: dict[int, _Gap] = {}
-        under = [g.below + tally[f"u{i}_{j}"] for j in range(len(cuts[i]))]
-        upto = [g.below + tally[f"v{i}_{j}"] for j in range(len(cuts[i]))]
-        for r in g.ranks:
-            j = next((j for j, u in enumerate(upto) if r < u), len(upto))
-            if j < len(upto) and r >= under[j]:
-                found[(g.col, r)] = cuts[i][j]
-                continue
-            if j not in pieces:
-                start = upto[j - 1] if j else g.below
-                end = under[j] if j < len(upto) else g.below + g.rows
-                lo = cuts[i][j - 1] if j else g.lo
-                hi = cuts[i][j] if j < len(upto) else g.hi
-                pieces[j] = _Gap(g.col, lo, hi, start, end - start)
-            pieces[j].ranks.append(r)
-        left += pieces.values()
+    for name, values in named.items():
+        i = cols.index(name)
+        ranks = sorted(r for g in gaps if g.col == i for r in g.ranks)
+        below = 0
+        for code in range(2 * len(values) + 1):
+            n = tally.get((i, code), 0)
+            here = [r for r in ranks if below <= r < below + n]
+            if here and code % 2:
+                found.update({(i, r): values[code // 2] for r in here})
+            elif here:
+                lo = values[code // 2 - 1] if code else -inf
+                hi = values[code // 2] if code // 2 < len(values) else inf
+                left.append(_Gap(i, lo, hi, below, n, here))
+            below += n
     return left
 
 
-def _rank(df: DataFrame, gaps: list[_Gap], found: dict) -> None:
+def _rank(df: DataFrame, cols: Sequence[str], gaps: list[_Gap], found: dict) -> None:
     """Look up the sought ranks in gaps of at most RANKED_AT_ONCE rows each."""
-    slots = F.array_compact(F.array(*[
-        F.when(g.value().isNotNull(), F.struct(F.lit(i).alias("slot"), g.value().alias("value")))
-        for i, g in enumerate(gaps)
-    ]))
-    held = df.select(F.inline(slots)).groupBy("slot", "value").agg(F.count("*").alias("n"))
+    at = _codes(cols, gaps)
+    keys, slots = list(at), list(at.values())
+    slot = _chosen(keys, [F.lit(i) for i in range(len(keys))], None)
+    held = (
+        _long(df, cols, gaps).withColumn("slot", slot).where("slot is not null")
+        .groupBy("slot", "value").agg(F.count("*").alias("n"))
+    )
     upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
-    aims = F.array(*[
-        F.array(*[F.lit(r - g.below).cast("bigint") for r in g.ranks]) for g in gaps
-    ])
+    aims = F.array(*[F.array(*[F.lit(r - g.below).cast("bigint") for r in g.ranks]) for g in slots])
     hits = (
         held.withColumn("upto", upto)
         .withColumn("rank", F.explode(F.element_at(aims, F.col("slot") + 1)))
@@ -94,7 +137,7 @@ def _rank(df: DataFrame, gaps: list[_Gap], found: dict) -> None:
         .select("slot", "rank", "value")
     )
     for row in hits.collect():
-        g = gaps[row["slot"]]
+        g = slots[row["slot"]]
         found[(g.col, row["rank"] + g.below)] = row["value"]
 
 
@@ -108,27 +151,30 @@ def exact_quantiles(
     no task sees more than RANKED_AT_ONCE of them.  The result has one number
     per column and probability.
     """
-    df = df.select(*cols)
+    cols = list(dict.fromkeys(cols))
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     n = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    found: dict[tuple[str, int], float] = {}
+    found: dict[tuple[int, int], float] = {}
     gaps = []
-    for c in cols:
-        at = [p * (n[c] - 1) for p in probs]
-        ranks = sorted({f(a) for a in at for f in (floor, ceil)}) if n[c] else []
+    for i, c in enumerate(cols):
+        ranks = sorted({f(p * (n[c] - 1)) for p in probs for f in (floor, ceil)}) if n[c] else []
         if ranks:
-            gaps.append(_Gap(c, None, None, 0, n[c], ranks))
+            gaps.append(_Gap(i, -inf, inf, 0, n[c], ranks))
+    slack = 3.0 / SKETCH_ACCURACY
+    points = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)} | {0.0, 1.0})
     while wide := [g for g in gaps if g.rows > RANKED_AT_ONCE]:
-        gaps = [g for g in gaps if g.rows <= RANKED_AT_ONCE] + _narrow(df, wide, found)
+        gaps = [g for g in gaps if g.rows <= RANKED_AT_ONCE] + _narrow(df, cols, wide, points, found)
+        points = _GRID
     if gaps:
-        _rank(df, gaps, found)
+        _rank(df, cols, gaps, found)
     out: dict[str, list[float | None]] = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         out[c] = []
         for p in probs:
             if not n[c]:
                 out[c].append(None)
                 continue
-            at = p * (n[c] - 1)
-            lo, hi = found[(c, floor(at))], found[(c, ceil(at))]
-            out[c].append(lo + (hi - lo) * (at - floor(at)))
+            spot = p * (n[c] - 1)
+            lo, hi = found[(i, floor(spot))], found[(i, ceil(spot))]
+            out[c].append(lo + (hi - lo) * (spot - floor(spot)))
     return out

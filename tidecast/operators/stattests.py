@@ -122,27 +122,47 @@ def ljung_box(curve: DataFrame, lags: int = 10, series_cols: Sequence[str] = ())
 
 
 def moments(df: DataFrame, cols: Sequence[str], series_cols: Sequence[str] = ()) -> DataFrame:
-    """Count, means and population covariances of columns, one row per series.
+    """Sums and sums of products of columns, one array ``v`` per series, for ``unpack``.
 
     Expects rows without nulls, shifted so that means are not far from zero.
-    ``cov`` lists the upper triangle row by row.  One running sum per pair
-    keeps the aggregate small enough to compile well.
+    Each batch of rows becomes one small matrix product; the shuffle carries
+    those products only.
     """
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = df.groupBy(*series_cols).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(c) for c in cols]).alias("s"),
-        F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("ss"),
-    )
-    mean = [F.get("s", i) / F.col("n") for i in range(len(cols))]
-    cov = [F.get("ss", k) / F.col("n") - mean[i] * mean[j] for k, (i, j) in enumerate(pairs)]
-    return sums.select(*series_cols, "n", F.array(*mean).alias("mean"), F.array(*cov).alias("cov"))
+    keys, width = list(series_cols), len(cols)
+    upper = np.triu_indices(width)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "v array<double>"])
 
+    def products(x: np.ndarray) -> list[float]:
+        return [float(len(x)), *x.sum(axis=0).tolist(), *(x.T @ x)[upper].tolist()]
 
-def full_matrix(upper: Sequence[float], size: int) -> np.ndarray:
-    matrix = np.zeros((size, size))
-    matrix[np.triu_indices(size)] = upper
-    return matrix + np.triu(matrix, 1).T
+    def partial(batches):
+        for pdf in batches:
+            if not keys:
+                yield pd.DataFrame({"v": [products(pdf[cols].to_numpy(dtype=float))]})
+                continue
+            rows = [
+                [*key, products(part[cols].to_numpy(dtype=float))]
+                for key, part in pdf.groupby(keys, sort=False, dropna=False)
+            ]
+            yield pd.DataFrame(rows, columns=[*keys, "v"])
+
+    cols = list(cols)
+    parts = df.select(*keys, *cols).mapInPandas(partial, schema)
+    summed = parts.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    # A fixed number of entries per series.
+    entries = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return summed.groupBy(*keys).agg(F.transform(entries, lambda e: e["x"]).alias("v"))
+
+
+def unpack(v: Sequence[float], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and population covariance matrix from the sums of ``moments``."""
+    n, s = v[0], np.array(v[1:width + 1])
+    square = np.zeros((width, width))
+    square[np.triu_indices(width)] = v[width + 1:]
+    square += np.triu(square, 1).T
+    mean = s / n
+    return int(n), mean, square / n - np.outer(mean, mean)
 
 
 def adf_lags(n: int, most: int = 12) -> int:
@@ -179,10 +199,10 @@ def adf(df: DataFrame, col: str, max_lag: int = 12, series_cols: Sequence[str] =
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                n = int(row.n)
+                n, _, cov = unpack(row.v, len(cols))
                 best = None
                 if n + reach >= SMALL_SERIES:
-                    c = full_matrix(row.cov, len(cols)) * n
+                    c = cov * n
                     for p in range(max_lag + 1):
                         x, xy = c[: p + 1, : p + 1], c[: p + 1, -1]
                         try:
