@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from math import inf, nextafter
+from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.noise import add_standard_normals
 from tidecast.operators.order import over_order
 from tidecast.operators.quantiles import exact_quantiles
+from tidecast.storage import spread_out
 
 BINS = 8
 NOISE_COLUMNS = 5
@@ -53,10 +55,16 @@ def _information(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, bins: int = BINS
+    df: DataFrame, features: Sequence[str], target: str, bins: int = BINS,
+    known_edges: dict[str, Sequence[float]] | None = None,
 ) -> DataFrame:
-    """``(feature, mi)`` for every feature against the target; null pairs left out."""
-    edges = bin_edges(df, [*dict.fromkeys([*features, target])], bins)
+    """``(feature, mi)`` for every feature against the target; null pairs left out.
+
+    Columns with ``known_edges`` need no pass to find their quantiles.
+    """
+    known = dict(known_edges or {})
+    asked = [c for c in dict.fromkeys([*features, target]) if c not in known]
+    edges = {**bin_edges(df, asked, bins), **known}
     pairs = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"_bin_{f}").alias("xbin"), F.col(f"_bin_{target}").alias("ybin"))
         for f in features
@@ -71,6 +79,12 @@ def with_noise(df: DataFrame, key: Column, count: int = NOISE_COLUMNS) -> tuple[
     return add_standard_normals(df, key, "noise", names), names
 
 
+def noise_edges(names: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
+    """Equal-probability edges of the noise columns, known because their distribution is."""
+    edges = [NormalDist().inv_cdf(i / bins) for i in range(1, bins)]
+    return {n: edges for n in names}
+
+
 def information_ranking(
     df: DataFrame, features: Sequence[str], target: str, key: Column, bins: int = BINS
 ) -> tuple[DataFrame, float]:
@@ -79,9 +93,10 @@ def information_ranking(
     Features and noise go through the same estimator, so its bias cancels in
     the comparison.
     """
-    noisy, names = with_noise(df.select(*features, target, key.alias("_key")), F.col("_key"))
-    scored = mutual_information(noisy, [*features, *names], target, bins)
-    # One row per column from here on.
+    rows = spread_out(df.select(*features, target, key.alias("_key")))
+    noisy, names = with_noise(rows, F.col("_key"))
+    scored = mutual_information(noisy, [*features, *names], target, bins, noise_edges(names, bins))
+    # One row per column is collected.
     scores = {row["feature"]: row["mi"] for row in scored.collect()}
     noise = [scores.get(n, 0.0) for n in names]
     baseline = sum(noise) / len(noise)

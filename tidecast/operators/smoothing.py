@@ -89,7 +89,10 @@ def _opening_states(
     offsets: DataFrame, starts: DataFrame, step: np.ndarray, key_schema: list[str], keys: list[str],
     top: int, stretch: int,
 ) -> DataFrame:
-    """State before each stretch, from offsets ``(keys, at, offset)`` in order of ``at``."""
+    """State before each stretch, from offsets ``(keys, at, offset)`` in order of ``at``.
+
+    ``step`` carries the state over one unit of ``at``.
+    """
     shape = step.shape[:2]
     schema = ", ".join([*key_schema, "at bigint", "opening array<double>"])
 
@@ -167,7 +170,8 @@ def smooth(
     heads = rows.where(F.col("t_idx") < head).groupBy(*keys).applyInPandas(
         opening_of, ", ".join([*key_schema, "opening array<double>"])
     )
-    openings = _opening_states(offsets, heads, step, key_schema, keys, top, stretch)
+    over_stretch = np.stack([np.linalg.matrix_power(a, stretch) for a in step])
+    openings = _opening_states(offsets, heads, over_stretch, key_schema, keys, top, stretch)
 
     def forecasts(pdf: pd.DataFrame, opening: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         pdf = pdf.sort_values("t_idx")

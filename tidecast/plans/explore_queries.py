@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from tidecast.operators import information, profile, screening, seasonality, stattests
@@ -119,8 +121,17 @@ def _normal(i: int) -> str:
 
 
 _NOISY = f"{_LINE}, noisy AS (SELECT *, {', '.join(_normal(i) for i in range(5))} FROM line)"
+# Octiles of the standard normal distribution.
+_OCTILES = [NormalDist().inv_cdf(i / 8) for i in range(1, 8)]
+
+
+def _noise_bin(col: str) -> str:
+    return f"len(list_filter({[f'{e!r}' for e in _OCTILES]}::DOUBLE[], lambda e: {col} > e))"
+
+
 _RANKED = f"""{_NOISY}, mi AS {_mi(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {_binned(c, 'noisy')} AS xbin, {_binned('y', 'noisy')} AS ybin FROM noisy"
+    f"SELECT '{c}' AS feature, {_noise_bin(c) if c in _NOISE else _binned(c, 'noisy')} AS xbin, "
+    f"{_binned('y', 'noisy')} AS ybin FROM noisy"
     for c in [*_LINE_FEATURES, *_NOISE]), "feature")}"""
 
 
@@ -135,7 +146,7 @@ def mutual_information(spark, sf):
   FROM mi WHERE feature LIKE 'noise%'""")
 def noise_baseline(spark, sf):
     noisy, names = information.with_noise(line_features(spark, sf).select("y", "k"), F.col("k"))
-    scored = information.mutual_information(noisy, names, "y")
+    scored = information.mutual_information(noisy, names, "y", known_edges=information.noise_edges(names))
     return scored.agg(rounded(F.avg("mi")).alias("noise_mi_baseline"))
 
 
