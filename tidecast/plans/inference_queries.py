@@ -128,11 +128,11 @@ def linear_attributions(spark, sf):
 
 @query("g5_attributions_all_rows", f"""WITH {_ROWS}, base AS (SELECT avg(y_lag_1) AS a, avg(y_lag_2) AS b, avg(x_lag_1) AS c FROM hold)
   SELECT t_idx AS row_id, unnest(['y_lag_1', 'y_lag_2', 'x_lag_1']) AS feature, unnest([y_lag_1, y_lag_2, x_lag_1]) AS value,
-    unnest([{r("0.5 * (y_lag_1 - a)")}, {r("0.2 * (y_lag_2 - b)")}, {r("0.1 * (x_lag_1 - c)")}]) AS shap FROM hold, base""")
+    unnest([{r("0.5 * (y_lag_1 - a)", 8)}, {r("0.2 * (y_lag_2 - b)", 8)}, {r("0.1 * (x_lag_1 - c)", 8)}]) AS shap FROM hold, base""")
 def attributions_all_rows(spark, sf):
     """A linear model needs no sample: every holdout row against the whole background."""
     scored = scored_holdout(spark, sf)
-    return inference.linear_attributions(scored, NAMES, WEIGHTS, scored).withColumn("shap", rounded("shap"))
+    return inference.linear_attributions(scored, NAMES, WEIGHTS, scored).withColumn("shap", rounded("shap", 8))
 
 
 @query("g5_sampled_attributions")
