@@ -64,7 +64,7 @@ def mutual_information(
     """
     known = dict(known_edges or {})
     asked = [c for c in dict.fromkeys([*features, target]) if c not in known]
-    edges = {**bin_edges(df, asked, bins), **known}
+    edges = {**(bin_edges(df, asked, bins) if asked else {}), **known}
     pairs = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"_bin_{f}").alias("xbin"), F.col(f"_bin_{target}").alias("ybin"))
         for f in features
@@ -93,9 +93,12 @@ def information_ranking(
     Features and noise go through the same estimator, so its bias cancels in
     the comparison.
     """
-    rows = spread_out(df.select(*features, target, key.alias("_key")))
+    asked = list(dict.fromkeys([*features, target]))
+    edges = bin_edges(df, asked, bins)
+    rows = spread_out(df.select(*asked, key.alias("_key")))
     noisy, names = with_noise(rows, F.col("_key"))
-    scored = mutual_information(noisy, [*features, *names], target, bins, noise_edges(names, bins))
+    known = {**edges, **noise_edges(names, bins)}
+    scored = mutual_information(noisy, [*features, *names], target, bins, known)
     # One row per column is collected.
     scores = {row["feature"]: row["mi"] for row in scored.collect()}
     noise = [scores.get(n, 0.0) for n in names]

@@ -44,7 +44,8 @@ def written_table(df: DataFrame, label: str = "stage") -> DataFrame:
 def spread_out(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than there are cores, as with one big file.
 
-    Inputs with enough splits, the normal case on a cluster, pass through.
+    Worth its shuffle before heavy arithmetic only.  Inputs with enough splits,
+    the normal case on a cluster, pass through.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
