@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidecast.operators import order, quantiles
+from tidecast.operators import order, quantiles, split
 
 
 @pytest.fixture(scope="module")
@@ -56,10 +56,10 @@ def test_split_window_equals_global_window(panel):
 
 
 def test_last_known_over_many_levels(panel):
-    indexed = order.dense_index(panel.where("name is not null"), ["t", "id"], ["name"])
+    indexed = order.dense_index(panel, ["t", "id"], ["name"])
     filled = order.last_known(indexed, "v", "f", ["name"], stretch=4).collect()
     want, last = {}, {}
-    for r in sorted(indexed.collect(), key=lambda r: (r["name"], r["t_idx"])):
+    for r in sorted(indexed.collect(), key=lambda r: (r["name"] or "", r["t_idx"])):
         last[r["name"]] = r["v"] if r["v"] is not None else last.get(r["name"])
         want[r["id"]] = last[r["name"]]
     assert {r["id"]: r["f"] for r in filled} == want
@@ -87,3 +87,11 @@ def test_quantiles_with_heavy_ties(spark, monkeypatch, at_once):
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert quantiles.exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
+
+
+def test_splits_keep_the_unnamed_series(panel):
+    indexed = order.dense_index(panel, ["t", "id"], ["name"])
+    train, holdout = split.chronological(indexed, ["name"])
+    assert train.count() + holdout.count() == panel.count()
+    assert holdout.where("name is null").count() == 8
+    assert split.test_folds(indexed, ["name"]).count() == panel.count()

@@ -13,7 +13,7 @@ def normalised_names(names: list[str]) -> list[str]:
     taken: dict[str, int] = {}
     out = []
     for name in names:
-        plain = re.sub("_+", "_", name.strip().lower().replace(" ", "_")).strip("_")
+        plain = "_".join(word for word in re.split("[ _]+", name.lower().strip()) if word)
         taken[plain] = taken.get(plain, 0) + 1
         out.append(plain if taken[plain] == 1 else f"{plain}_{taken[plain]}")
     return out

@@ -15,7 +15,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidecast.operators.order import over_order
+from tidecast.operators.order import join_keys, over_order
 from tidecast.operators.profile import numeric_columns
 
 
@@ -124,7 +124,7 @@ def trend_features(df: DataFrame, time_col: str = "t", series_cols: Sequence[str
     keys = list(series_cols)
     if keys:
         starts = df.groupBy(*keys).agg(F.min(micros).alias("_start"))
-        df = df.join(starts, keys)
+        df = join_keys(df, starts, keys)
         start = F.col("_start")
     else:
         start = F.lit(df.agg(F.min(micros)).first()[0])
@@ -173,7 +173,7 @@ def cross_series_mean(
     totals = df.groupBy(time_col).agg(F.sum(col).alias("_sum"), F.count(col).alias("_n"))
     own = F.coalesce(F.col(col), F.lit(0.0))
     others = F.try_divide(F.col("_sum") - own, F.col("_n") - F.col(col).isNotNull().cast("int"))
-    joined = df.join(totals, time_col).withColumn("_others", others).drop("_sum", "_n")
+    joined = join_keys(df, totals, [time_col]).withColumn("_others", others).drop("_sum", "_n")
     ready = over_order(
         joined, lambda w: {"others_mean_lag_1": F.lag("_others", 1).over(w)}, behind=1, series_cols=series_cols
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.names import long_form
 from tidecast.operators.features import Feature, build
+from tidecast.operators.order import join_keys, over_order
 from tidecast.storage import written_table
 
 TOP = 15
@@ -36,8 +37,6 @@ def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def last_values(df: DataFrame, count: int, col: str = "y", series_cols: Sequence[str] = ()) -> DataFrame:
     """The last ``count`` values of each series, oldest first, in one array."""
-    from tidecast.operators.order import over_order
-
     keys = list(series_cols)
     lagged = over_order(
         df.select(*keys, "t_idx", col),
@@ -121,14 +120,15 @@ def forecast_recursive(
 ) -> DataFrame:
     """k steps of any model with its features rebuilt from the predictions so far.
 
-    Only the rows the longest look-back needs are kept per series; all series
-    advance together and every tenth step is written out.
+    Only the rows the longest look-back needs are kept per series and all series
+    advance together.  Each step reads the rows so far twice, so every second
+    step is written out to keep the plan short.
     """
     keys = list(series_cols)
     reach = max(max((f.farthest for f in plan), default=1), 1)
     ends = df.groupBy(*keys).agg(F.max("t_idx").alias("_end"))
     if keys:
-        recent = df.join(ends, keys).where(F.col("t_idx") > F.col("_end") - reach)
+        recent = join_keys(df, ends, keys).where(F.col("t_idx") > F.col("_end") - reach)
     else:
         end = F.lit(ends.first()[0])
         recent = df.where(F.col("t_idx") > end - reach).withColumn("_end", end)

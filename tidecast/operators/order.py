@@ -19,6 +19,13 @@ STRETCH = 16_384
 _POSITION_BITS = 33
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, so rows of an unnamed series are kept."""
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def dense_index(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -53,11 +60,9 @@ def dense_index(
     )
     if not series_cols:
         return placed
-    starts = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in series_cols]).agg(
-        F.min(name).alias("_start")
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in series_cols]
-    return placed.join(starts, same).select(*df.columns, (F.col(name) - F.col("_start")).alias(name))
+    starts = placed.groupBy(*series_cols).agg(F.min(name).alias("_start"))
+    joined = join_keys(placed, starts, series_cols)
+    return joined.select(*df.columns, (F.col(name) - F.col("_start")).alias(name))
 
 
 def stretch_of(index: str, size: int) -> Column:
@@ -130,7 +135,7 @@ def last_known(
             *keys, (F.col(home) + 1).alias(home), F.col("_carried").alias(f"{home}_open")
         )
         return (
-            filled.join(opening, [*keys, home], "left")
+            join_keys(filled, opening, [*keys, home], "left")
             .withColumn(result, F.coalesce(result, f"{home}_open"))
             .drop(home, f"{home}_open")
         )

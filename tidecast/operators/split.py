@@ -9,6 +9,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.operators.order import join_keys
+
 HOLDOUT_SHARE = 0.2
 FOLDS = 5
 
@@ -36,7 +38,7 @@ def chronological(
     starts = df.groupBy(*keys).agg(
         F.floor((1 - HOLDOUT_SHARE) * (F.max(index) + 1)).alias("_first")
     )
-    marked = df.join(starts, keys)
+    marked = join_keys(df, starts, keys)
     train = marked.where(F.col(index) < F.col("_first")).drop("_first")
     return train, marked.where(F.col(index) >= F.col("_first")).drop("_first")
 
@@ -84,7 +86,7 @@ def test_folds(
     keys = list(series_cols)
     n_train = F.floor((1 - HOLDOUT_SHARE) * (F.max(index) + 1))
     if keys:
-        marked = df.join(df.groupBy(*keys).agg(n_train.alias("_n")), keys)
+        marked = join_keys(df, df.groupBy(*keys).agg(n_train.alias("_n")), keys)
     else:
         marked = df.withColumn("_n", F.lit(df.agg(n_train).first()[0]))
     width = F.expr(f"_n div {folds + 2}")
