@@ -18,11 +18,6 @@ def _word(digest: Column, i: int) -> Column:
     return (number + 0.5) / F.lit(4294967296.0)
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """Uniform number in (0, 1)."""
-    return _word(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 0)
-
-
 def add_standard_normals(df: DataFrame, key: Column, seed: str, names: Sequence[str]) -> DataFrame:
     """Add independent standard normal columns; one digest serves four of them."""
     digests = {

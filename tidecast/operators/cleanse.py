@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.names import long_form
 from tidecast.operators.order import last_known
 from tidecast.operators.quantiles import exact_quantiles
 

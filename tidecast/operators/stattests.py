@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions.names import long_form
 from tidecast.functions.stats import pearson
 from tidecast.functions.tails import chi2_tail, dickey_fuller_p, f_tail
 from tidecast.operators.order import over_order

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators import (
-    benchmarks, evaluation, features as fx, inference, information, leakage, metrics, package, profile, screening,
+    benchmarks, evaluation, features as fx, leakage, metrics, package, profile, screening,
     seasonality, selection, split, stattests, training,
 )
 from tidecast.operators.order import over_order

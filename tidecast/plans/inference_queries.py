@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecast.functions.names import feature_groups
-from tidecast.operators import benchmarks, features as fx, inference, metrics, package, selection, split, training
+from tidecast.operators import features as fx, inference, metrics, package, selection, split, training
 from tidecast.plans.inputs import EV, PANEL, event_panel, event_series, r, rounded, table
 from tidecast.plans.model_queries import (
-    FEATURES, HOLD, METRICS, RUNS, _FLAGS, _SCORED, _runs, candidates, fold_metrics, metric_sql, parts,
-    run_metrics, run_predictions, training_plan, training_rows,
+    FEATURES, HOLD, RUNS, _FLAGS, _SCORED, _runs, candidates, parts, run_metrics,
 )
 from tidecast.plans.registry import query
-from tidecast.storage import written_table
 
 # A linear model with given weights: everything about it can be checked in SQL.
 NAMES, WEIGHTS, INTERCEPT = ["y_lag_1", "y_lag_2", "x_lag_1"], [0.5, 0.2, 0.1], 7.0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidecast.operators import benchmarks, evaluation, features as fx, metrics, profile, selection, smoothing, split, stattests, training
 from tidecast.operators.order import over_order
 from tidecast.plans.inputs import (
-    EV, PANEL, SEAS, event_panel, event_series, r, rounded, seasonal_series, shared, table,
+    EV, PANEL, event_panel, event_series, r, rounded, seasonal_series, shared, table,
 )
 from tidecast.plans.registry import query
 from tidecast.storage import scratch_path, written_table
