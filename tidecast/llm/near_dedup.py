@@ -30,8 +30,8 @@ from tidecast.llm.components import components
 from tidecast.llm.words import U64, lists, shingle_sets, slices, window_hashes
 from tidecast.storage import written_table
 
-BANDS, ROWS = 32, 5        # a pair at 0.85 shares no band once in 10**8
-REGISTERS = BANDS * ROWS
+REGISTERS = 160
+MISSED = 1e-7              # most likely share of pairs at the asked similarity that meet in no band
 B, RATE = 1.1, 20.0
 SMALL_BUCKET = 8           # up to this size all pairs are proposed
 PIVOTS = 3                 # members that a larger bucket's others are held against
@@ -60,11 +60,18 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Registers in a band: as many as leave at most ``MISSED`` of the pairs unmet."""
+    met = (percent / 100) ** np.arange(9.0)
+    return max(r for r in (8, 5, 4, 2, 1) if r == 1 or (1 - met[r]) ** (REGISTERS // r) <= MISSED)
+
+
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each row."""
-    tagged = regs.astype(U64).reshape(-1, BANDS, ROWS)
-    tagged = tagged + (np.arange(BANDS, dtype=U64)[None, :, None] << U64(32))
-    return window_hashes(tagged.reshape(-1), ROWS)[::ROWS].reshape(-1, BANDS)
+    bands = REGISTERS // rows
+    tagged = regs.astype(U64).reshape(-1, bands, rows)
+    tagged = tagged + (np.arange(bands, dtype=U64)[None, :, None] << U64(32))
+    return window_hashes(tagged.reshape(-1), rows)[::rows].reshape(-1, bands)
 
 
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -87,17 +94,19 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (good >= best - UNLIKELY)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            sets = list(shingle_sets(part.column("text")))
-            regs = registers(sets)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            keys = band_keys(regs).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                part.column("_row_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                pa.array([r.tobytes() for r in regs], pa.binary()), lists(list(keys))],
-                names=["_id", "_n", "_digest", "_regs", "_bands"])
+def _sketches(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = list(shingle_sets(part.column("text")))
+                regs = registers(sets)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                keys = band_keys(regs, rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("_row_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array([r.tobytes() for r in regs], pa.binary()), lists(list(keys))],
+                    names=["_id", "_n", "_digest", "_regs", "_bands"])
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     source = docs.select(F.col(id_col).cast("long").alias("_row_id"), F.col(text_col).cast("string").alias("text"))
     sketched = written_table(source.mapInArrow(
-        _sketches, "_id long, _n long, _digest binary, _regs binary, _bands array<long>"), "sketches")
+        _sketches(band_rows(percent)), "_id long, _n long, _digest binary, _regs binary, _bands array<long>"), "sketches")
     named = sketched.where("_id is not null and _n > 0")
     classes = written_table(named.groupBy("_digest").agg(
         F.min("_id").alias("_leader"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs"),

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidecast.llm.decontamination import contained_items
+from tidecast.llm.mixing import mixture
 from tidecast.llm.near_dedup import near_duplicates
+from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
+from tidecast.llm.token_files import tokenized
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -30,3 +35,56 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least ON node = doc_id""")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_verdicts(docs, fit_rules(docs, table(spark, sf, "labels")))
+
+
+@query("op10_benchmark_decontamination", rf"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (SELECT side, id, {_WORDS.format(text=_LOWER)} AS w FROM texts),
+sets AS MATERIALIZED (SELECT side, id, {_SHINGLES} AS s FROM words),
+items AS MATERIALIZED (SELECT side, id, len(s) AS n, unnest(s) AS x FROM sets)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(i.n AS BIGINT) AS item_shingles, count(*) AS shared_shingles
+FROM items d JOIN items i ON d.x = i.x AND d.side = 'd' AND i.side = 'i'
+GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"), percent=80)
+
+
+@query("op8_source_mixing", """
+WITH sizes AS (SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS b FROM documents GROUP BY source),
+total AS (SELECT CAST(sum(b) AS DOUBLE) AS everything, CAST(sum((b > 0)::INT) AS DOUBLE) AS n FROM sizes),
+rates AS (SELECT source, CASE WHEN b > 0 THEN 1.0::DOUBLE / n * everything / b ELSE 0.0::DOUBLE END AS rate FROM sizes, total),
+parts AS (SELECT source, rate, CAST(greatest(ceil(rate / 16), 1) AS INT) AS parts FROM rates),
+means AS (SELECT *, rate / parts AS mean FROM parts),
+cdf AS (WITH RECURSIVE steps AS (
+    SELECT source, parts, mean, 0 AS k, exp(-mean) AS term, exp(-mean) AS total FROM means
+    UNION ALL SELECT source, parts, mean, k + 1, term * mean / (k + 1), total + term * mean / (k + 1)
+    FROM steps WHERE k < CAST(floor(mean + 10 * sqrt(mean) + 20) AS INT))
+  SELECT source, any_value(parts) AS parts, list(total ORDER BY k) AS c FROM steps GROUP BY source),
+drawn AS (SELECT doc_id, d.source, c.c, unnest(range(parts)) AS part FROM documents d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source),
+counted AS (SELECT doc_id, source, sum(len(list_filter(c, lambda x: x <=
+    CAST('0x' || substr(md5('0|' || doc_id || '|' || part), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))) AS n
+  FROM drawn GROUP BY doc_id, source),
+copies AS (SELECT doc_id, source, CAST(n AS INTEGER) AS n_copies, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INTEGER) AS copy FROM counted)
+SELECT doc_id, source, n_copies, copy,
+  CAST('0x' || substr(md5('0|place|' || doc_id || '|' || copy), 1, 13) AS BIGINT) AS place FROM copies""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(table(spark, sf, "documents")).select(
+        "doc_id", "source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))
+
+
+def byte_bpe() -> str:
+    """The vocabulary file of the token queries; it is installed beside its library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenized(table(spark, sf, "documents"), byte_bpe())
