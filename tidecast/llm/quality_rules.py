@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import boosting
+from tidecast.llm.samples import labelled_sample
 from tidecast.llm.words import U64, find_words, mixed, prefix_sums, range_hashes, slices, window_hashes
 
 FIT_ROWS = 8_000   # labelled documents that the trees see
@@ -97,15 +98,6 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [part.column("_label"), pa.ListArray.from_arrays(ends, flat)], names=["label", "features"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``_id, _label, text`` of up to ``rows`` labelled documents, picked by a hash of their id."""
-    picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
-        F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).orderBy(
-        F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(picked), "_id")  # at most `rows` ids
-
-
 def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> boosting.Trees | None:
     """Trees from at most ``fit_rows`` labelled documents; None without both labels."""
     sample = labelled_sample(docs, labels, "quality", fit_rows).mapInArrow(_feature_rows, "label int, features array<double>")

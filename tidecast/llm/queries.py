@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.llm.compression_classifier import fit_compression, quality_scores
 from tidecast.llm.decontamination import contained_items
 from tidecast.llm.mixing import mixture
 from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
+from tidecast.llm.samples import fold
 from tidecast.llm.token_files import tokenized
 
 __all__ = ["QUERIES", "SQL"]
@@ -88,3 +90,11 @@ def byte_bpe() -> str:
 @query("op7_token_files")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return tokenized(table(spark, sf, "documents"), byte_bpe())
+
+
+@query("op6_compression_classifier")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = fit_compression(docs, table(spark, sf, "labels"), "quality", fold("_id", 4) != 2)
+    return quality_scores(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
