@@ -7,7 +7,7 @@
 2. Texts with equal sets are one class, led by their least id.
 3. Bands of registers put class leaders into buckets.  Small buckets propose
    all their pairs; larger ones propose each member against a few members
-   picked by hashes of the bucket, so proposals grow with the members only.
+   picked by hashes of their ids, so proposals grow with the members only.
 4. The joint likelihood of two sketches drops pairs that cannot be similar, and
    the full shingle sets decide on the others.
 5. Buckets that still hold more than one component are finished exactly: each
@@ -34,7 +34,7 @@ REGISTERS = 160
 MISSED = 1e-7              # most likely share of pairs at the asked similarity that meet in no band
 B, RATE = 1.1, 20.0
 SMALL_BUCKET = 8           # up to this size all pairs are proposed
-PIVOTS = 3                 # members that a larger bucket's others are held against
+PIVOTS = 2                 # members that the others of a larger bucket are held against
 UNLIKELY = 20.0            # natural log of a likelihood ratio: six standard deviations
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.first("_bands").alias("_bands")), "classes")
 
     rows = classes.select(F.explode("_bands").alias("_key"), F.col("_leader").alias("_id")).distinct()
-    picks = [F.min(F.struct(F.xxhash64("_key", "_id", F.lit(k)), F.col("_id"))).alias(f"_p{k}") for k in range(PIVOTS)]
+    picks = [F.min(F.struct(F.xxhash64("_id", F.lit(k)), F.col("_id"))).alias(f"_p{k}") for k in range(PIVOTS)]
     sized = rows.groupBy("_key").agg(F.count("*").alias("_size"), *picks).where("_size > 1").select(
         "_key", "_size", F.array_distinct(F.array(*[F.col(f"_p{k}._id") for k in range(PIVOTS)])).alias("_pivots"))
     buckets = written_table(rows.join(sized, "_key"), "buckets")
