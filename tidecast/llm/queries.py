@@ -13,6 +13,8 @@ from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
 from tidecast.llm.samples import fold
 from tidecast.llm.token_files import tokenized
+from tidecast.llm.toxicity import fit_toxicity, toxicity_scores
+from tidecast.llm.warc import archived
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -98,3 +100,25 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     model = fit_compression(docs, table(spark, sf, "labels"), "quality", fold("_id", 4) != 2)
     return quality_scores(docs, model).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = fit_toxicity(docs, table(spark, sf, "labels"), "toxic", fold("_id", 5) != 0)
+    return toxicity_scores(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_warc", """
+WITH named AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT html, max(page_id) AS f FROM named GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(h, 1 + 5 * CAST(floor(i / 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INT), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id != f THEN f END AS refers_to
+FROM named JOIN firsts USING (html)""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return archived(table(spark, sf, "pages"))
