@@ -12,6 +12,7 @@ from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
 from tidecast.llm.samples import fold
+from tidecast.llm.suffix_tree_lm import fit_language_model, language_scores
 from tidecast.llm.token_files import tokenized
 from tidecast.llm.toxicity import fit_toxicity, toxicity_scores
 from tidecast.llm.warc import archived
@@ -122,3 +123,10 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM named JOIN firsts USING (html)""")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return archived(table(spark, sf, "pages"))
+
+
+@query("op9_suffix_tree_lm")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = fit_language_model(docs, fold("doc_id", 5) != 1)
+    return language_scores(docs, model, fold("doc_id", 5) == 1)
