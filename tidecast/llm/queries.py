@@ -12,6 +12,7 @@ from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
 from tidecast.llm.samples import fold
+from tidecast.llm.suffix_dedup import without_repeats
 from tidecast.llm.suffix_tree_lm import fit_language_model, language_scores
 from tidecast.llm.token_files import tokenized
 from tidecast.llm.toxicity import fit_toxicity, toxicity_scores
@@ -130,3 +131,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = fit_language_model(docs, fold("doc_id", 5) != 1)
     return language_scores(docs, model, fold("doc_id", 5) == 1)
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
