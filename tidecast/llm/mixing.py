@@ -63,22 +63,35 @@ def _distribution(rates: DataFrame) -> DataFrame:
         F.col("source").alias("_source"), "_parts", "_cdf")
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "0") -> DataFrame:
-    """All columns of ``docs`` repeated to the target weights, with ``_copies``, ``_copy`` and ``_place``.
-
-    Rows come in random order: dealt to partitions by a hash of id and copy and
-    sorted by ``_place`` there.  A row without an id takes its text's digest
-    instead; repeated rows have equal counts.  Null texts weigh nothing but are
-    repeated like others of their source.  An empty table stays empty.
-    """
+def _mixed(docs: DataFrame, weights: dict[str, float] | None, epochs: float, seed: str) -> DataFrame:
+    """``_row`` (a struct of all columns), ``_copies``, ``_copy`` and ``_place`` of each copy."""
     rates = written_table(_distribution(source_rates(docs, weights, epochs)), "source-rates")
     few = rates.count() <= BROADCAST_SOURCES
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.select(F.col("source").alias("_of"), key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0),
-        lambda acc, part: acc + F.size(F.filter("_cdf", lambda c: c <= _uniform(F.lit(seed), key, part.cast("string")))))
-    counted = docs.join(F.broadcast(rates) if few else rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_copies", drawn)
+        lambda acc, part: acc + F.size(F.filter("_cdf", lambda c: c <= _uniform(F.lit(seed), F.col("_key"), part.cast("string")))))
+    counted = rows.join(F.broadcast(rates) if few else rates, F.col("_of").eqNullSafe(F.col("_source"))).select(
+        "_row", "_key", drawn.alias("_copies"))
     copies = counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     place = F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.lit(seed), F.lit("place"), key, F.col("_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
-    return copies.drop("_source", "_parts", "_cdf").withColumn("_place", place).repartition("_place").sortWithinPartitions("_place")
+        "|", F.lit(seed), F.lit("place"), F.col("_key"), F.col("_copy").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    return copies.select("_row", "_copies", "_copy", place.alias("_place")).repartition("_place").sortWithinPartitions("_place")
+
+
+def mixture(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "0") -> DataFrame:
+    """The rows of ``docs``, columns as they are, repeated to the target weights.
+
+    Rows come in random order: dealt to partitions by a hash of id and copy and
+    sorted by it there.  A row without an id takes its text's digest instead;
+    repeated rows have equal counts.  Null texts weigh nothing but are repeated
+    like others of their source.  An empty table stays empty.
+    """
+    return _mixed(docs, weights, epochs, seed).select("_row.*")
+
+
+def mixture_counts(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "0") -> DataFrame:
+    """``doc_id, source, n_copies, copy, place`` of each row of the mixture."""
+    return _mixed(docs, weights, epochs, seed).select(
+        "_row.doc_id", "_row.source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))

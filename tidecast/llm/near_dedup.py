@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         "_digest", F.coalesce("component", "_leader").alias("_mid"))
     final = nodes.join(second.withColumnRenamed("node", "_mid"), "_mid", "left").select(
         "_digest", F.coalesce("component", "_mid").alias("_component"))
-    part = F.when(F.col("_n") > 0, F.coalesce("_component", "_id")).otherwise(F.col("_id"))
+    part = F.when(F.col("_id").isNotNull() & (F.col("_n") > 0), F.coalesce("_component", "_id")).otherwise(F.col("_id"))
     return sketched.select("_id", "_n", "_digest").join(final, "_digest", "left").select(
         F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), part.alias("component_id"),
         F.coalesce(F.col("_id") == part, F.lit(True)).alias("kept"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm.compression_classifier import fit_compression, quality_scores
 from tidecast.llm.decontamination import contained_items
-from tidecast.llm.mixing import mixture
+from tidecast.llm.mixing import mixture_counts
 from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
@@ -80,8 +80,7 @@ copies AS (SELECT doc_id, source, CAST(n AS INTEGER) AS n_copies, CAST(unnest(ra
 SELECT doc_id, source, n_copies, copy,
   CAST('0x' || substr(md5('0|place|' || doc_id || '|' || copy), 1, 13) AS BIGINT) AS place FROM copies""")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture(table(spark, sf, "documents")).select(
-        "doc_id", "source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))
+    return mixture_counts(table(spark, sf, "documents"))
 
 
 def byte_bpe() -> str:

@@ -22,7 +22,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"): ord("Z") + 1] += 32
-_powers = {"n": 0}
+_powers = {"n": -1}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
