@@ -381,3 +381,64 @@ def test_whole_run_on_the_wave(series):
     assert chosen["selected_model"] == "ridge" and chosen["quality_flag"] == "acceptable"
     assert [g["gate"] for g in run.gates.collect() if not g["passed"]] == []
     assert {r["model"] for r in run.benchmarks.collect()} == {"naive_persistence", "arima_benchmark", "kmeans_benchmark"}
+
+
+def test_a_copy_that_starts_late_is_a_leak(spark):
+    """Null in its first 1,000 rows, with a large level and a small spread."""
+    from tidecast.functions.stats import correlations
+
+    df = spark.range(3000).selectExpr(
+        "id as t_idx", "1.7e9D + 100 * sin(id) as y", "if(id >= 1000, 1.7e9D + 100 * sin(id), null) as copy",
+        "cast(null as double) as empty", "1.0D as flat", "if(id = 5, double('NaN'), sin(id)) as holed")
+    found = correlations(df, [("copy", "y"), ("empty", "y"), ("flat", "y"), ("holed", "y")])
+    assert found[("copy", "y")] == pytest.approx(1.0) and found[("holed", "y")] == pytest.approx(1.0)
+    assert found[("empty", "y")] is None and found[("flat", "y")] is None
+    marked = {r["feature"]: r["candidate"] for r in leakage.detect_leakage(df, ["copy", "empty", "flat"], "y").collect()}
+    assert marked == {"copy": True, "empty": True, "flat": False}
+
+
+def test_width_does_not_change_a_correlation(spark):
+    cols = [f"if((id + {k}) % 5 = 0, null, sin(id * {k + 1})) as c{k}" for k in range(17)]
+    df = spark.range(400).selectExpr(*cols)
+    pair = lambda n: next(r["correlation"] for r in profile.correlation_pairs(df, [f"c{k}" for k in range(n)]).collect()
+                          if (r["column_a"], r["column_b"]) == ("c0", "c1"))
+    assert pair(16) == pytest.approx(pair(17), abs=1e-12)
+
+
+def test_missing_values_do_not_depend_on_stretches(series):
+    from tidecast.operators import order, smoothing
+
+    values = [None if i % 3 == 0 else NOISE[i % len(NOISE)] + i % 7 for i in range(900)]
+    whole = [v for v in values if v is not None]
+    curves = [{r["lag"]: r["acf"] for r in stattests.acf(series(v), "y", 5).collect()} for v in (values, whole)]
+    assert curves[0] == pytest.approx(curves[1], abs=1e-9)
+    found = []
+    for stretch in (50, order.STRETCH):
+        out = smoothing.smooth(series(values), [smoothing.Smoothing(0.3, 0.1)], stretch=stretch).orderBy("t_idx").collect()
+        assert [r["t_idx"] for r in out] == [i for i, v in enumerate(values) if v is not None]
+        found.append([r["prediction"] for r in out])
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+
+
+def test_nan_counts_as_null(spark):
+    from tidecast.operators import quantiles
+
+    df = spark.range(101).selectExpr("if(id = 7, double('NaN'), double(id)) as x")
+    assert quantiles.exact_quantiles(df, ["x"], [0.0, 1.0])["x"] == [0.0, 100.0]
+
+
+def test_random_search_is_asked_for():
+    grid = {"a": list(range(5)), "b": list(range(4))}
+    from tidecast.operators import training
+
+    assert len(training.parameter_sets(grid)) == 20 and len(training.parameter_sets(grid, 6)) == 6
+
+
+def test_feature_groups_and_model_subsets(spark):
+    from tidecast.functions.names import feature_groups
+    from tidecast.operators import features as fx
+
+    names = ["y_lag_1", "y_rolling_mean_7", "hour", "sin_1"]
+    groups = {r["feature_group"]: r["features"] for r in feature_groups(spark.createDataFrame([(n,) for n in names], "feature string")).collect()}
+    assert groups["lag"] == 1 and groups["rolling"] == 1
+    assert set(fx.model_subsets(names, ["SARIMA", "Linear Models"])) == {"SARIMA", "Linear Models"}

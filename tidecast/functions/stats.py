@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import sqrt
+from math import isnan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,44 +17,33 @@ def pearson(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.regr_sxy(a, b), spread)
 
 
+PAIRS_AT_ONCE = 40  # more in one aggregate no longer compile well
+KNOWN, CONSTANT, UNKNOWN = "known", "constant", "unknown"
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Correlation of column pairs over rows where both are known; None when one is constant.
 
-    Running sums are shared between pairs.  Only pairs with nulls need sums of
-    their own, taken in a second pass.  The shift comes from the first rows and
-    merely keeps the sums well scaled.
+def correlation_states(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[float | None, str]]:
+    """Correlation of column pairs over rows where both are known, and what it is worth.
+
+    ``known``; ``constant`` (None): one of the two does not vary over at least
+    two such rows; ``unknown`` (None): there are fewer rows.  NaN counts as
+    null.  One mergeable aggregate a pair, whatever the number of columns;
+    very many pairs take several passes.
     """
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    start = rows.limit(1000).agg(*[F.avg(c).alias(c) for c in cols]).first()
-    x = {c: F.col(c) - F.lit(start[c] or 0.0) for c in cols}
-    sums = [F.count("*").alias("n")]
-    for c in cols:
-        sums += [F.count(c).alias(f"n|{c}"), F.sum(x[c]).alias(f"s|{c}"), F.sum(x[c] * x[c]).alias(f"q|{c}")]
-    sums += [F.sum(x[a] * x[b]).alias(f"p|{i}") for i, (a, b) in enumerate(pairs)]
-    t = rows.agg(*sums).first().asDict()
-    gappy = {c for c in cols if t[f"n|{c}"] < t["n"]}
-    own = [(i, a, b) for i, (a, b) in enumerate(pairs) if a in gappy or b in gappy]
-    if own:
-        more = []
-        for i, a, b in own:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            more += [F.count_if(both).alias(f"n{i}")]
-            for side, c in (("a", a), ("b", b)):
-                known = F.when(both, x[c])
-                more += [F.sum(known).alias(f"s{side}{i}"), F.sum(known * known).alias(f"q{side}{i}")]
-        t |= rows.agg(*more).first().asDict()
-    out = {}
-    for i, (a, b) in enumerate(pairs):
-        if any(i == k for k, _, _ in own):
-            n, sa, sb, qa, qb = (t[f"{k}{i}"] for k in ("n", "sa", "sb", "qa", "qb"))
-        else:
-            n, sa, sb, qa, qb = t["n"], t[f"s|{a}"], t[f"s|{b}"], t[f"q|{a}"], t[f"q|{b}"]
-        if not n:
-            out[(a, b)] = None
-            continue
-        va, vb = qa - sa * sa / n, qb - sb * sb / n
-        flat = va <= 1e-12 * max(qa, 1e-300) or vb <= 1e-12 * max(qb, 1e-300)
-        out[(a, b)] = None if flat else (t[f"p|{i}"] - sa * sb / n) / sqrt(va) / sqrt(vb)
+    number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    rows = df.select(*[number(c) for c in cols])
+    out: dict[tuple[str, str], tuple[float | None, str]] = {}
+    for lo in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[lo: lo + PAIRS_AT_ONCE]
+        found = rows.agg(*[x for i, (a, b) in enumerate(part) for x in (
+            pearson(a, b).alias(f"r{i}"), F.regr_count(a, b).alias(f"n{i}"))]).first()
+        for i, pair in enumerate(part):
+            r, n = found[f"r{i}"], found[f"n{i}"]
+            usable = r is not None and not isnan(r)
+            out[pair] = (r, KNOWN) if usable else (None, CONSTANT if n > 1 else UNKNOWN)
     return out
+
+
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Correlation of column pairs over rows where both are known; None when one is constant or unknown."""
+    return {p: r for p, (r, _) in correlation_states(df, pairs).items()}

@@ -218,9 +218,12 @@ def adaptive_features(
 
 def features_for_models(
     col: str, models: Sequence[str], have: Sequence[str], top_lags: Sequence[int],
-    delay: int = 1, period: int | None = None,
+    delay: int = 1, period: int | None = None, pairs_of: int | None = None,
 ) -> list[Feature]:
-    """Features that named model types still need."""
+    """Features that named model types still need.
+
+    Interactions are made of all ``top_lags``, or of the first ``pairs_of``.
+    """
     wanted: list[Feature] = []
     for model in models:
         if model in ("ARIMA", "SARIMA"):
@@ -228,7 +231,7 @@ def features_for_models(
         elif model in ("LSTM", "Temporal CNN"):
             wanted += embedding_features(col, delay)
         elif model in ("Gradient Boosting", "Tree-Based"):
-            wanted += interaction_features(col, list(top_lags)[:3])
+            wanted += interaction_features(col, list(top_lags)[:pairs_of])
         elif model == "State-Space" and period:
             wanted += fourier_features(period)
     seen, out = set(have), []

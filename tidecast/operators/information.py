@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import inf, nextafter
+from math import inf, nan, nextafter
 from statistics import NormalDist
 
 from pyspark.ml.feature import Bucketizer
@@ -32,7 +32,8 @@ def with_bins(df: DataFrame, edges: dict[str, Sequence[float]], prefix: str = "_
     finder = Bucketizer(
         inputCols=list(edges), outputCols=[f"{prefix}{c}" for c in edges], splitsArray=splits, handleInvalid="keep"
     )
-    binned = finder.transform(df)
+    # NaN counts as null
+    binned = finder.transform(df.withColumns({c: F.nullif(F.col(c).cast("double"), F.lit(nan)) for c in edges}))
     return binned.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}").cast("int") for c in edges})
 
 

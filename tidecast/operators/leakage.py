@@ -12,7 +12,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions.stats import correlations
+from tidecast.functions.stats import UNKNOWN, correlation_states
 from tidecast.operators.features import Feature, build
 from tidecast.sources.files import write_parquet
 
@@ -24,12 +24,17 @@ CONFIRMED_R2 = 0.999
 def detect_leakage(
     df: DataFrame, features: Sequence[str], target: str, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Correlation of each feature with the target; proper target lags are exempt."""
+    """Correlation of each feature with the target; proper target lags are exempt.
+
+    A correlation that cannot be known (fewer than two rows with both values)
+    makes a candidate of the feature, whatever its name.
+    """
     if target not in df.columns:
         raise ValueError(f"target column {target} not found")
-    found = correlations(df, [(f, target) for f in features if f != target])
+    found = correlation_states(df, [(f, target) for f in features if f != target])
     rows = [
-        (f, r, r is not None and abs(r) >= threshold and not PROPER_LAG.match(f)) for (f, _), r in found.items()
+        (f, r, state == UNKNOWN or (r is not None and abs(r) >= threshold and not PROPER_LAG.match(f)))
+        for (f, _), (r, state) in found.items()
     ]
     return df.sparkSession.createDataFrame(rows, "feature string, correlation double, candidate boolean")
 
@@ -104,7 +109,7 @@ def leakage_audit(
     moved = {r["feature"]: r["changed"] for r in causality_audit(df, plan, col, series_cols).collect()}
     unclaimed = set(undeclared(spec))
     found = detect_leakage(built, names, col).collect()
-    candidates = [r["feature"] for r in found if r["candidate"]]
+    candidates = [r["feature"] for r in found if r["candidate"] and r["correlation"] is not None]
     probe = reconstruction_probe(built, candidates, col)
     rows = []
     for r in found:
@@ -114,10 +119,10 @@ def leakage_audit(
         if r["feature"] in unclaimed:
             reasons.append("no lag declared")
         if r["candidate"]:
-            reasons.append("correlation")
+            reasons.append("correlation" if r["correlation"] is not None else "correlation unknown")
         status = "fail" if reasons else "pass"
         rows.append((r["feature"], r["correlation"], moved.get(r["feature"]), r["candidate"],
-                     probe if r["candidate"] else None, status, "; ".join(reasons)))
+                     probe if r["feature"] in candidates else None, status, "; ".join(reasons)))
     schema = ("feature string, correlation double, changed bigint, candidate boolean, "
               "reconstruction_probe_r2 double, status string, reason string")
     return built, df.sparkSession.createDataFrame(rows, schema)

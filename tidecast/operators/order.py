@@ -65,6 +65,15 @@ def dense_index(
     return joined.select(*df.columns, (F.col(name) - F.col("_start")).alias(name))
 
 
+def without_nulls(df: DataFrame, col: str, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Rows whose ``col`` is neither null nor NaN, at dense positions; ``_was`` is the position before."""
+    missing = F.col(col).isNull() | F.col(col).cast("double").eqNullSafe(F.lit(float("nan")))
+    rows = df.where(~missing).withColumn("_was", F.col("t_idx"))
+    if not df.where(missing).limit(1).count():
+        return rows
+    return dense_index(rows.drop("t_idx"), ["_was"], series_cols)
+
+
 def stretch_of(index: str, size: int) -> Column:
     """Number of the stretch a position falls in."""
     return F.expr(f"`{index}` div {size}L")

@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.names import long_form
-from tidecast.functions.stats import correlations, pearson
+from tidecast.functions.stats import UNKNOWN, correlation_states, correlations, pearson
 from tidecast.operators.order import over_order
 
 # Fixed values of the screening rules.
@@ -20,7 +18,6 @@ LOW_VARIANCE = 1e-4
 MANY_VALUES = 50
 LEAK_CORRELATION = 0.98
 REDUNDANT_CORRELATION = 0.90
-_PAIRS_BY_AGGREGATE = 16
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -76,25 +73,15 @@ def high_cardinality(df: DataFrame, cols: Sequence[str], exact: bool = False) ->
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    found = correlations(df, [(f, target) for f in features])
-    rows = [(f, r, r is not None and abs(r) > LEAK_CORRELATION) for (f, _), r in found.items()]
+    """Correlation with the target; one that cannot be known is suspect too."""
+    found = correlation_states(df, [(f, target) for f in features])
+    rows = [(f, r, state == UNKNOWN or (r is not None and abs(r) > LEAK_CORRELATION)) for (f, _), (r, state) in found.items()]
     return df.sparkSession.createDataFrame(rows, "feature string, correlation double, leakage_suspect boolean")
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, from one pass over the rows.
-
-    Wide tables go through the matrix routine of the ML library, on rows
-    without nulls.
-    """
-    pairs = list(combinations(cols, 2))
-    if len(cols) <= _PAIRS_BY_AGGREGATE:
-        rows = [(a, b, r) for (a, b), r in correlations(df, pairs).items()]
-    else:
-        vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df.na.drop(subset=list(cols)))
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        at = {c: i for i, c in enumerate(cols)}
-        rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
+    """Pearson correlation of every pair of columns, each over the rows where both are known."""
+    rows = [(a, b, r) for (a, b), r in correlations(df, list(combinations(cols, 2))).items()]
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 

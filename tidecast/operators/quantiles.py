@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import ceil, floor, inf, nextafter
+from math import ceil, floor, inf, nan, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -144,7 +144,7 @@ def _rank(df: DataFrame, cols: Sequence[str], gaps: list[_Gap], found: dict) ->
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each column, nulls left out.
+    """Linearly interpolated quantiles of each column, nulls and NaN left out.
 
     Sketches only propose where to cut; exact counts decide.  Every pass leaves
     a small part of the rows in question until they are few enough to rank, so
@@ -152,7 +152,7 @@ def exact_quantiles(
     per column and probability.
     """
     cols = list(dict.fromkeys(cols))
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    df = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(nan)).alias(c) for c in cols])
     n = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     found: dict[tuple[int, int], float] = {}
     gaps = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -60,6 +61,9 @@ class Screening:
         )
 
 
+# Share of the most that bins can say about the target; more than this is a copy in disguise.
+HIGH_INFORMATION = 0.95
+
 # Reasons in the order they are decided; the first one wins.
 STAGES = ["low_variance", "high_cardinality", "leakage_suspect", "below_noise_baseline", "redundant"]
 
@@ -80,6 +84,9 @@ def screen_features(
         reasons.setdefault(row["feature"], STAGES[2])
     ranking, baseline = information.information_ranking(df, numeric, target, key)
     mi = {row["feature"]: row["mi_score"] for row in ranking.collect()}
+    for f in numeric:
+        if (mi.get(f) or 0.0) >= HIGH_INFORMATION * math.log(information.BINS):
+            reasons.setdefault(f, STAGES[2])
     open_to_noise = [(f, mi[f]) for f in numeric if f not in reasons]
     kept, _, loosened = above_noise(open_to_noise, baseline)
     for f, _ in open_to_noise:

@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.order import over_order
+from tidecast.operators.order import join_keys, over_order
 
 # Fixed values of the strength labels.
 WEAK, STRONG = 0.2, 0.5
@@ -104,10 +104,10 @@ def detect_seasonality(
 ) -> DataFrame:
     """Strength, spectral share and label per period; the strongest period is dominant."""
     keys = list(series_cols)
-    both = strengths(df, col, periods, keys).join(spectrum(df, col, periods, keys), [*keys, "period"])
+    both = join_keys(strengths(df, col, periods, keys), spectrum(df, col, periods, keys), [*keys, "period"])
     first = F.struct(F.round("seasonal_strength", 6), -F.col("period"))
     best = both.groupBy(*keys).agg(F.max_by("period", first).alias("dominant_period"))
-    joined = both.join(best, keys) if keys else both.join(
+    joined = join_keys(both, best, keys) if keys else both.join(
         best, F.col("period") == F.col("dominant_period"), "left"
     )
     return joined.select(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.order import stretch_of
+from tidecast.operators.order import stretch_of, join_keys, without_nulls
 
 STRETCH = 4096
 
@@ -143,8 +143,8 @@ def smooth(
     shape = step.shape[:2]
     head = 2 * max(options[0].period, 1)
     flag = F.col("is_train") if "is_train" in df.columns else F.lit(True)
-    rows = df.where(F.col(col).isNotNull()).withColumn("_all", F.lit(0)).select(
-        *keys, "t_idx", F.col(col).cast("double").alias("y"), flag.alias("is_train"),
+    rows = without_nulls(df, col, series_cols).withColumn("_all", F.lit(0)).select(
+        *keys, "t_idx", "_was", F.col(col).cast("double").alias("y"), flag.alias("is_train"),
         stretch_of("t_idx", stretch).alias("at"),
     )
     groups = [*keys, "at"]
@@ -194,7 +194,7 @@ def smooth(
         )
         total = scored.groupBy(*keys, "option").agg(F.sum("sse").alias("sse"))
         best = total.groupBy(*keys).agg(F.min_by("option", F.struct("sse", "option")).alias("option"))
-        openings = openings.join(best, keys)
+        openings = join_keys(openings, best, keys)
     else:
         openings = openings.withColumn("option", F.lit(0))
 
@@ -202,7 +202,7 @@ def smooth(
         pdf, f = forecasts(pdf, opening)
         option = int(opening["option"].iloc[0])
         pdf = pdf.assign(prediction=f[:, option], option=option)
-        return pdf[[*keys, "t_idx", "y", "is_train", "option", "prediction"]]
+        return pdf[[*keys, "_was", "y", "is_train", "option", "prediction"]].rename(columns={"_was": "t_idx"})
 
     out = rows.groupBy(*groups).cogroup(openings.groupBy(*groups)).applyInPandas(
         predict,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.stats import pearson
 from tidecast.functions.tails import chi2_tail, dickey_fuller_p, f_tail
-from tidecast.operators.order import over_order
+from tidecast.operators.order import over_order, without_nulls
 
 SMALL_SERIES = 50
 SIGNIFICANT_ACF = 0.1
@@ -32,9 +32,10 @@ def acf(df: DataFrame, col: str, max_lag: int = 24, series_cols: Sequence[str] =
     """
     keys = list(series_cols)
     lags = range(1, max_lag + 1)
+    df = without_nulls(df, col, keys)
     shift = F.lit(df.agg(F.avg(col)).first()[0] or 0.0)
     lagged = over_order(
-        df.where(F.col(col).isNotNull()).select(*keys, "t_idx", (F.col(col) - shift).alias("y")),
+        df.select(*keys, "t_idx", (F.col(col) - shift).alias("y")),
         lambda w: {f"y{k}": F.lag("y", k).over(w) for k in lags},
         behind=max_lag, series_cols=keys,
     )
@@ -164,20 +165,25 @@ def unpack(v: Sequence[float], width: int) -> tuple[int, np.ndarray, np.ndarray]
     return int(n), mean, square / n - np.outer(mean, mean)
 
 
-def adf_lags(n: int, most: int = 12) -> int:
-    """Schwert's rule, up to ``most`` lags."""
-    return int(min(most, floor(12 * (n / 100) ** 0.25), max(n // 2 - 3, 0)))
+def adf_lags(n: int) -> int:
+    """Schwert's rule, for series of at least a few rows."""
+    return int(max(min(floor(12 * (n / 100) ** 0.25), n // 2 - 3), 0))
 
 
-def adf(df: DataFrame, col: str, max_lag: int = 12, series_cols: Sequence[str] = ()) -> DataFrame:
+def adf(df: DataFrame, col: str, max_lag: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant; lag order by AIC.
 
+    Orders up to ``max_lag`` are tried; if it is not given, up to Schwert's
+    rule for the longest series.
     One aggregate yields all moments; every lag order is solved from them.
     Series under 50 rows get nulls instead of a test.
     """
     keys = list(series_cols)
+    df = without_nulls(df, col, keys)
     centre = df.agg(F.avg(col)).first()[0] or 0.0
-    rows = df.where(F.col(col).isNotNull()).select(*keys, "t_idx", (F.col(col) - F.lit(centre)).alias("y"))
+    rows = df.select(*keys, "t_idx", (F.col(col) - F.lit(centre)).alias("y"))
+    if max_lag is None:
+        max_lag = adf_lags((rows.agg(F.max("t_idx")).first()[0] or 0) + 1)
     reach = max_lag + 1
 
     def columns(w):

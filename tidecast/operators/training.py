@@ -119,10 +119,10 @@ UNAVAILABLE = {
 }
 
 
-def parameter_sets(grid: dict[str, list], most: int = 8) -> list[dict]:
-    """The whole grid when small, a seeded sample of ``most`` sets otherwise."""
+def parameter_sets(grid: dict[str, list], tries: int | None = None) -> list[dict]:
+    """The whole grid, or with ``tries`` a random search: so many sets of it, drawn with a fixed seed."""
     sets = [dict(zip(grid, values)) for values in product(*grid.values())]
-    return sets if len(sets) <= most else Random(SEED).sample(sets, most)
+    return sets if tries is None else Random(SEED).sample(sets, min(tries, len(sets)))
 
 
 def fit(candidate: Candidate, train: DataFrame, features: list[str], params: dict) -> PipelineModel:
@@ -240,7 +240,8 @@ def _menu() -> list[tuple[str, object, object]]:
         ("holt_winters", seasonal, F.lit("confirmed seasonality")),
         ("sarima", seasonal, F.lit("confirmed seasonality")),
         ("gradient_boosting", always, boost),
-        ("rbf_kernel", F.col("rows") < 50_000, F.lit("medium dataset, smooth target")),
+        ("rbf_kernel", always, F.when(F.col("rows") < 50_000, "medium dataset, smooth target").otherwise(
+            "large dataset: linear in rows here, kernel methods elsewhere are not")),
         ("random_forest", always, F.lit("general purpose")),
     ]
 

@@ -88,6 +88,23 @@ def leakage_suspects(spark, sf):
     return found.withColumn("correlation", rounded("correlation"))
 
 
+@query("b5_leakage_of_late_columns", f"""WITH late AS (SELECT l_extendedprice AS y,
+    CASE WHEN l_orderkey > 600 THEN l_extendedprice + l_tax END AS late_copy, CASE WHEN l_orderkey < 0 THEN 1.0 END AS empty,
+    l_quantity * 0 AS flat FROM lineitem)
+  SELECT feature, {r("c")} AS correlation, coalesce(abs(c) > 0.98, feature = 'empty') AS leakage_suspect FROM (
+    SELECT 'late_copy' AS feature, corr(late_copy, y) AS c FROM late
+    UNION ALL SELECT 'empty', NULL FROM (SELECT count(*) FROM late) UNION ALL SELECT 'flat', NULL FROM (SELECT count(*) FROM late))""")
+def late_leakage(spark, sf):
+    """A copy of the target that is null in its first rows, a column without values, and a constant one."""
+    late = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("y"),
+        F.when(F.col("l_orderkey") > 600, F.col("l_extendedprice") + F.col("l_tax")).alias("late_copy"),
+        F.when(F.col("l_orderkey") < 0, F.lit(1.0)).alias("empty"), (F.col("l_quantity") * 0).alias("flat"),
+    )
+    found = profile.target_correlations(late, ["late_copy", "empty", "flat"], "y")
+    return found.withColumn("correlation", rounded("correlation"))
+
+
 def _edges(col: str, src: str) -> str:
     return f"(SELECT quantile_cont({col}, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]) FROM {src})"
 
@@ -178,6 +195,20 @@ def correlation_matrix(spark, sf):
     return pairs.withColumn("correlation", rounded("correlation"))
 
 
+# Twenty columns, each null in a seventh of the rows of its own.
+_WIDE = {f"c{k}": f"CASE WHEN (l_orderkey + {k}) % 7 <> 0 THEN l_quantity * {k % 3} + l_discount * {k} * 10 + l_tax * {k % 5} END"
+         for k in range(1, 21)}
+_WIDE_SQL = f"WITH wide AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _WIDE.items())} FROM lineitem)"
+
+
+@query("b9_wide_matrix_with_gaps", f"""{_WIDE_SQL} SELECT column_a, column_b, {r('correlation')} AS correlation FROM ({
+    " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS correlation FROM wide"
+                       for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1:])})""")
+def wide_matrix(spark, sf):
+    wide = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()])
+    return profile.correlation_pairs(wide, list(_WIDE)).withColumn("correlation", rounded("correlation"))
+
+
 @query("b9_strongest_pair", f"""{_PAIR_SQL} SELECT column_a, column_b, {r('correlation')} AS correlation FROM pairs
   ORDER BY round(abs(correlation), 6) DESC, column_a DESC, column_b DESC LIMIT 1""")
 def strongest_pair(spark, sf):
@@ -332,6 +363,17 @@ def autocorrelation(spark, sf):
     return stattests.acf(event_series(spark, sf), "y").withColumn("acf", rounded("acf"))
 
 
+_GAPS = f"""{EV}, gaps AS (SELECT y, row_number() OVER (ORDER BY t_idx) - 1 AS t_idx FROM ev WHERE event_id % 3 <> 0)"""
+
+
+@query("b18_autocorrelation_with_gaps", f"""WITH {_GAPS}, a AS {acf_sql("gaps", 24)}
+  SELECT lag, n, {r("acf")} AS acf FROM a WHERE lag <= n // 4""")
+def autocorrelation_with_gaps(spark, sf):
+    """Rows without a value are left out, and the rest counts as neighbours."""
+    gaps = event_series(spark, sf).withColumn("y", F.when(F.col("event_id") % 3 != 0, F.col("y")))
+    return stattests.acf(gaps, "y").withColumn("acf", rounded("acf"))
+
+
 @query("b18_significant_lags", f"""WITH {SEAS}, a AS {acf_sql("seas", 24)}
   SELECT lag, n, {r("acf")} AS acf FROM a WHERE lag <= n // 4 AND acf > 0.1""")
 def significant(spark, sf):

@@ -314,19 +314,6 @@ def warm_up(spark, sf):
     return fx.drop_warm_up(event_series(spark, sf), 30)[1]
 
 
-@query("c22_feature_count_gate", "SELECT 'one' AS plan, false AS accepted UNION ALL SELECT 'full', true FROM (SELECT count(*) FROM events)")
-def feature_count_gate(spark, sf):
-    built = fx.build(event_series(spark, sf), fx.lag_features("y", [1, 2, 3]))
-    rows = []
-    for name, names in (("one", ["y_lag_1"]), ("full", [c for c in built.columns if c.startswith("y_lag")])):
-        try:
-            fx.validate_feature_count(names)
-            rows.append((name, True))
-        except ValueError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "plan string, accepted boolean")
-
-
 def full_plan(col: str) -> list[fx.Feature]:
     """The feature set of a default run."""
     return [
@@ -347,16 +334,6 @@ def model_preselection(spark, sf):
     return chosen.select("model_type", "score", "suitability", "rank", "top_3")
 
 
-@query("c24_model_subsets", """SELECT 'SARIMA' AS model, 3 + 4::BIGINT AS features UNION ALL SELECT 'Linear Models', 23
-  UNION ALL SELECT 'Gradient Boosting', 33 UNION ALL SELECT 'Tree-Based', 33 UNION ALL SELECT 'State-Space', 4""")
-def model_subsets(spark, sf):
-    built = fx.build(event_series(spark, sf), full_plan("y"))
-    names = [f.name for f in full_plan("y") if f.name in built.columns]
-    models = ["SARIMA", "Linear Models", "Gradient Boosting", "Tree-Based", "State-Space"]
-    rows = [(m, len(v)) for m, v in fx.model_subsets(names, models).items()]
-    return spark.createDataFrame(rows, "model string, features bigint")
-
-
 @query("c25_scaling_metadata", """WITH b AS (SELECT 'y_lag_1' AS feature, false AS never_scale UNION ALL SELECT 'hour', false
     UNION ALL SELECT 'is_weekend', (SELECT count_if(NOT ((isodow(ts) >= 6)::INT IN (0, 1))) = 0 FROM events))
   SELECT m AS model_type, feature, CASE WHEN never_scale THEN NULL ELSE s END AS scaler, never_scale

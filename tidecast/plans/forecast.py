@@ -18,7 +18,7 @@ from tidecast.operators import (
     benchmarks, evaluation, features as fx, leakage, metrics, package, profile, screening,
     seasonality, selection, split, stattests, training,
 )
-from tidecast.operators.order import over_order
+from tidecast.operators.order import join_keys, over_order, without_nulls
 from tidecast.storage import scratch_path, written_table
 
 
@@ -38,7 +38,7 @@ def noise_flags(df: DataFrame, col: str, series_cols: Sequence[str] = (), lags:
         steps.select(*keys, one, F.col("white_noise").alias("white_steps")),
         unit_root.select(*keys, one, "stationary"),
     ]
-    joined = parts[0].join(parts[1], [*keys, "_one"], "left").join(parts[2], [*keys, "_one"], "left")
+    joined = join_keys(join_keys(parts[0], parts[1], [*keys, "_one"], "left"), parts[2], [*keys, "_one"], "left")
     return joined.select(
         *keys, "stationary", "white_noise",
         (~F.col("stationary") & F.col("white_steps")).alias("random_walk"),
@@ -109,12 +109,12 @@ def forecast_run(
     split.resolve_split_mode(split_mode, "t_idx" in df.columns)
     run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     rows = df.withColumnRenamed(target, "y") if target != "y" else df
-    rows = rows.where(F.col("y").isNotNull())
+    rows = without_nulls(rows, "y").drop("_was")
     facts = series_profile(rows)
 
     found = screening.screen_features(rows, "y", F.col("t_idx"), list(sources)) if sources else screening.Screening(
         [], [], {}, 0.0, False, [])
-    steps = sorted({*lags, *[k for k in facts["significant_lags"][:10]]})
+    steps = sorted({*lags, *facts["significant_lags"]})
 
     def plan(col: str) -> list[fx.Feature]:
         out = [*fx.lag_features(col, steps), *fx.rolling_features(col, windows), *fx.differencing_features(col, (1,))]

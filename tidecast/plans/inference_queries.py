@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.functions.names import feature_groups
 from tidecast.operators import features as fx, inference, metrics, package, selection, split, training
 from tidecast.plans.inputs import EV, PANEL, event_panel, event_series, r, rounded, table
 from tidecast.plans.model_queries import (
@@ -183,27 +182,6 @@ def residual_histogram(spark, sf):
     return found.withColumns({c: rounded(c) for c in ("low", "high")})
 
 
-_GROUPED = [
-    *(f"y_lag_{k}" for k in (1, 2, 3, 7, 14)), "x_lag_1", "y_lag_1_x_lag_2",
-    *(f"y_rolling_{s}_{n}" for n in (7, 14, 30) for s in ("mean", "std", "min", "max", "range")),
-    "hour", "day_of_week", "month", "quarter", "year", "is_weekend", "sin_1", "cos_1", "sin_2", "cos_2",
-]
-
-
-@query("g10_feature_groups", f"""WITH n AS (SELECT f, regexp_matches(f, 'time|date|year|month|day|hour|dow') AS t,
-    contains(f, 'lag') AS l, regexp_matches(f, 'rolling|mean|std') AS w FROM (SELECT unnest({_GROUPED}) AS f))
-  SELECT 'time' AS feature_group, count_if(t)::BIGINT AS features FROM n UNION ALL SELECT 'lag', count_if(l)::BIGINT FROM n
-  UNION ALL SELECT 'rolling', count_if(w)::BIGINT FROM n UNION ALL SELECT 'other', count_if(NOT (t OR l OR w))::BIGINT FROM n""")
-def groups(spark, sf):
-    plan = [
-        *fx.lag_features("y", [1, 2, 3, 7, 14]), *fx.lag_features("x", [1], "x", "source"), *fx.interaction_features("y", [1, 2]),
-        *fx.rolling_features("y"), *fx.calendar_features(), *fx.fourier_features(7),
-    ]
-    built = fx.build(event_series(spark, sf), plan)
-    names = [c for c in built.columns if c in {f.name for f in plan}]
-    return feature_groups(spark.createDataFrame([(n,) for n in names], "feature string"))
-
-
 @query("g11_comparison_table", f"""WITH {RUNS}, c AS (SELECT model, r2, rmse, mae FROM m WHERE run_id = 'click wave'),
   k AS (SELECT *, model = 'naive_persistence' AS is_benchmark FROM c
     UNION ALL SELECT 'arima_benchmark', r2, rmse, mae, true FROM m WHERE run_id = 'view wave' AND model = 'ridge')

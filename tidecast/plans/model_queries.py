@@ -7,7 +7,7 @@ from math import floor
 from pyspark.sql import functions as F
 
 from tidecast.operators import benchmarks, evaluation, features as fx, metrics, profile, selection, smoothing, split, stattests, training
-from tidecast.operators.order import over_order
+from tidecast.operators.order import join_keys, over_order
 from tidecast.plans.inputs import (
     EV, PANEL, event_panel, event_series, r, rounded, seasonal_series, shared, table,
 )
@@ -56,20 +56,6 @@ def chronological_holdout(spark, sf):
     return both.select("event_id", "part")
 
 
-@query("d2_split_mode", """SELECT unnest(['auto', 'time_series', 'random', 'auto without order']) AS mode,
-  unnest(['time_series', 'time_series', 'refused', 'refused']) AS resolved FROM (SELECT count(*) FROM events)""")
-def split_mode(spark, sf):
-    found = profile.numeric_columns(table(spark, sf, "events"))
-    rows = []
-    for label, mode, ordered in (("auto", "auto", bool(found)), ("time_series", "time_series", True),
-                                 ("random", "random", True), ("auto without order", "auto", False)):
-        try:
-            rows.append((label, split.resolve_split_mode(mode, ordered)))
-        except ValueError:
-            rows.append((label, "refused"))
-    return spark.createDataFrame(rows, "mode string, resolved string")
-
-
 @query("d3_expanding_folds", f"""WITH {EV}, n AS (SELECT floor(0.8 * count(*))::BIGINT AS n FROM ev),
   f AS (SELECT i, n - (5 - i) * (n // 7) AS s, n // 7 AS w FROM n, range(5) t(i))
   SELECT CAST(i AS INTEGER) AS fold, role, count(*) AS "rows", min(t_idx) AS first_idx, max(t_idx) AS last_idx FROM (
@@ -181,6 +167,29 @@ def holt_fixed(spark, sf):
     return named.select("event_type", "event_id", rounded("prediction").alias("prediction"))
 
 
+@query("d15_holt_with_gaps", f"""WITH RECURSIVE {PANEL}, named AS (
+    SELECT CASE WHEN event_type <> 'view' THEN event_type END AS series, event_id, t_idx,
+      CASE WHEN event_id % 3 <> 0 THEN y END AS y FROM panel),
+  s AS MATERIALIZED (SELECT series, list(y ORDER BY t_idx) AS ys, list(event_id ORDER BY t_idx) AS ids
+    FROM named WHERE y IS NOT NULL GROUP BY 1),
+  h(series, i, l, b, f) AS (
+    SELECT series, 1::BIGINT, ys[1] - (ys[2] - ys[1]), ys[2] - ys[1], ys[1] FROM s
+    UNION ALL
+    SELECT h.series, i + 1, l + b + 0.3::DOUBLE * (ys[i] - l - b), b + 0.03::DOUBLE * (ys[i] - l - b),
+      l + b + 0.3::DOUBLE * (ys[i] - l - b) + b + 0.03::DOUBLE * (ys[i] - l - b)
+    FROM h JOIN s ON h.series IS NOT DISTINCT FROM s.series WHERE i < len(ys))
+  SELECT h.series, ids[i] AS event_id, {r("f")} AS prediction FROM h JOIN s ON h.series IS NOT DISTINCT FROM s.series""")
+def holt_with_gaps(spark, sf):
+    """A panel with an unnamed series and a third of the values missing; two equal options compete."""
+    panel = event_panel(spark, sf).select(
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("series"), "event_id", "t_idx",
+        F.when(F.col("event_id") % 3 != 0, F.col("y")).alias("y"))
+    options = [smoothing.Smoothing(0.3, 0.1), smoothing.Smoothing(0.3, 0.1)]
+    smoothed = smoothing.smooth(panel, options, "y", ["series"], stretch=50)
+    named = join_keys(smoothed, panel.select("series", "t_idx", "event_id"), ["series", "t_idx"])
+    return named.select("series", "event_id", rounded("prediction").alias("prediction"))
+
+
 @query("d15_holt_winters_search")
 def holt_winters_search(spark, sf):
     series = seasonal_series(spark, sf)
@@ -354,7 +363,8 @@ def cached_features(spark, sf):
     CASE WHEN seasonal THEN {'family': 'holt_winters', 'reason': 'confirmed seasonality'} END,
     CASE WHEN seasonal THEN {'family': 'sarima', 'reason': 'confirmed seasonality'} END,
     {'family': 'gradient_boosting', 'reason': CASE WHEN auto THEN 'non-linear interactions' ELSE 'tabular default' END},
-    CASE WHEN n < 50000 THEN {'family': 'rbf_kernel', 'reason': 'medium dataset, smooth target'} END,
+    {'family': 'rbf_kernel', 'reason': CASE WHEN n < 50000 THEN 'medium dataset, smooth target'
+      ELSE 'large dataset: linear in rows here, kernel methods elsewhere are not' END},
     {'family': 'random_forest', 'reason': 'general purpose'}], lambda e: e IS NOT NULL)) AS e FROM u)
   SELECT user_id, e.family AS family, e.reason AS reason FROM k""")
 def candidate_menu(spark, sf):
