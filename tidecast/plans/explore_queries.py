@@ -304,6 +304,17 @@ def adf_test(spark, sf):
     return out.withColumns({c: rounded(c) for c in ("adf_stat", "p_value")})
 
 
+@query("b15_adf_without_lags", f"""WITH {PANEL}, l AS (SELECT event_type, lag(y) OVER w AS level, y - lag(y) OVER w AS step
+    FROM panel WINDOW w AS (PARTITION BY event_type ORDER BY t_idx)),
+  f AS (SELECT event_type, count(level) AS n, regr_slope(step, level) AS b, regr_sxx(step, level) AS sxx,
+    regr_syy(step, level) - regr_slope(step, level) * regr_sxy(step, level) AS rss FROM l GROUP BY 1)
+  SELECT event_type, {r("CASE WHEN n + 1 >= 50 THEN b / sqrt(rss / (n - 2) / sxx) END")} AS adf_stat, 0 AS used_lag, n AS n_obs FROM f""")
+def adf_without_lags(spark, sf):
+    """Dickey-Fuller statistics per series: a slope over its error."""
+    found = stattests.adf(event_panel(spark, sf), "y", max_lag=0, series_cols=["event_type"])
+    return found.select("event_type", rounded("adf_stat").alias("adf_stat"), "used_lag", "n_obs")
+
+
 def acf_sql(src: str, lags: int) -> str:
     """Rows (lag, n, acf) of a CTE with t_idx and y."""
     terms = ", ".join(

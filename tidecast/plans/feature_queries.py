@@ -385,6 +385,16 @@ def reconstruction_probe(spark, sf):
     )
 
 
+@query("c28_confirmed_leaks", f"""WITH {SEAS}, f AS (SELECT y, y * 2 AS copy, lag(y, 1) OVER (ORDER BY t_idx) AS y_lag_1 FROM seas)
+  SELECT 'copy' AS feature, corr(copy, y) ** 2 > 0.9 AS rebuilt FROM f
+  UNION ALL SELECT 'y_lag_1', corr(y_lag_1, y) ** 2 > 0.9 FROM f""")
+def confirmed_leaks(spark, sf):
+    """Which columns rebuild the target: nearly all of its variance, by either measure."""
+    built = fx.build(seasonal_series(spark, sf), fx.lag_features("y", [1])).withColumn("copy", F.col("y") * 2)
+    rows = [(c, leakage.reconstruction_probe(built, [c], "y") > 0.9) for c in ("copy", "y_lag_1")]
+    return spark.createDataFrame(rows, "feature string, rebuilt boolean")
+
+
 _AUDITED = [f.name for f in full_plan("y")]
 
 

@@ -207,6 +207,95 @@ def parameter_search(spark, sf):
     return spark.createDataFrame(rows, training.Trained.FOLD_SCHEMA)
 
 
+# One feature: the same fits in closed form.  Features and target are scaled by their population spread.
+_ONE = f"""{EV}, l AS (SELECT t_idx, y, lag(y, 1) OVER (ORDER BY t_idx) AS y_lag_1, count(*) OVER () AS n FROM ev),
+  train AS (SELECT * FROM l WHERE y_lag_1 IS NOT NULL AND t_idx < floor(0.8 * n)), hold AS (SELECT * FROM l WHERE t_idx >= floor(0.8 * n)),
+  s AS (SELECT avg(y) AS my, avg(y_lag_1) AS mx, stddev_pop(y) AS sy, stddev_pop(y_lag_1) AS sx, corr(y, y_lag_1) AS c FROM train)"""
+
+
+def _one_feature(spark, sf):
+    rows = fx.build(event_series(spark, sf), fx.lag_features("y", [1])).select("t_idx", "y", "y_lag_1")
+    train, holdout = split.chronological(rows)
+    return train.where("y_lag_1 is not null"), holdout
+
+
+for _name, _mix, _reg in (("d7_ridge", 0.0, 2.0), ("d8_lasso", 1.0, 0.2), ("d9_elastic_net", 0.5, 0.2)):
+    def _fitted(spark, sf, name=_name[3:], reg=_reg):
+        train, holdout = _one_feature(spark, sf)
+        model = training.fit(training.CANDIDATES[name], train, ["y_lag_1"], {"regParam": reg})
+        scored = metrics.evaluate(model.transform(holdout).withColumn("model", F.lit(name)))
+        return scored.select("model", *[rounded(c, 4).alias(c) for c in ("r2", "rmse", "mae")])
+
+    query(f"{_name}_closed_form", f"""WITH {_ONE}, b AS (SELECT *, sign(c) * greatest(abs(c) - {_mix} * {_reg} / sy, 0)
+        / (1 + {1 - _mix} * {_reg} / sy) * sy / sx AS slope FROM s),
+      p AS (SELECT y, my + slope * (y_lag_1 - mx) AS f FROM hold, b),
+      e AS (SELECT sum((y - f) ** 2) AS sse, avg(abs(y - f)) AS mae, count(*) AS n, var_pop(y) AS v FROM p)
+      SELECT '{_name[3:]}' AS model, {r("1 - sse / (n * v)", 4)} AS r2, {r("sqrt(sse / n)", 4)} AS rmse, {r("mae", 4)} AS mae FROM e""")(_fitted)
+
+
+@query("g4_ridge_coefficient", f"""WITH {_ONE} SELECT 'y_lag_1' AS feature, {r("c / (1 + 2.0 / sy) * sy / sx")} AS value FROM s""")
+def ridge_coefficient(spark, sf):
+    from tidecast.operators import inference
+
+    train, _ = _one_feature(spark, sf)
+    model = training.fit(training.CANDIDATES["ridge"], train, ["y_lag_1"], {"regParam": 2.0})
+    return inference.importance(model, ["y_lag_1"], spark).select("feature", rounded("value").alias("value"))
+
+
+@query("d16_ridge_search_closed_form", f"""WITH {_ONE}, f AS (SELECT i AS fold, (SELECT floor(0.8 * any_value(n))::BIGINT FROM l) AS n FROM range(5) t(i)),
+    w AS (SELECT fold, n - (5 - fold) * (n // 7) AS first, n // 7 AS width FROM f),
+    m AS (SELECT fold, first, width, avg(y) AS my, avg(y_lag_1) AS mx, stddev_pop(y) AS sy, stddev_pop(y_lag_1) AS sx, corr(y, y_lag_1) AS c
+      FROM w JOIN train ON t_idx < first - width GROUP BY ALL),
+    b AS (SELECT *, c / (1 + reg / sy) * sy / sx AS slope FROM m, (SELECT unnest([0.01, 0.1, 1.0]::DOUBLE[]) AS reg)),
+    p AS (SELECT fold, reg, y, my + slope * (y_lag_1 - mx) AS f FROM b JOIN train ON t_idx >= first AND t_idx < first + width)
+  SELECT CAST(fold AS INTEGER) AS fold, reg, {r("sqrt(avg((y - f) ** 2))", 5)} AS rmse, {r("avg(abs(y - f))", 5)} AS mae FROM p GROUP BY fold, reg""")
+def ridge_search(spark, sf):
+    """Every fold with every parameter set."""
+    train, _ = _one_feature(spark, sf)
+    folds = split.expanding_folds(train.agg(F.max("t_idx")).first()[0] + 1)
+    ridge = training.CANDIDATES["ridge"]
+    rows = training.cross_validate(ridge, train, ["y_lag_1"], folds, training.parameter_sets(ridge.grid))
+    found = spark.createDataFrame(rows, training.Trained.FOLD_SCHEMA)
+    reg = F.regexp_extract("params", r"regParam\W+([0-9.]+)", 1).cast("double").alias("reg")
+    return found.select("fold", reg, rounded("rmse", 5).alias("rmse"), rounded("mae", 5).alias("mae"))
+
+
+@query("d6_kmeans_of_two_groups", f"""WITH {EV}, g AS (SELECT *, (user_id % 2) * 1000.0::DOUBLE AS place, count(*) OVER () AS n FROM ev),
+    m AS (SELECT place, avg(y) AS prediction FROM g WHERE t_idx < floor(0.8 * n) GROUP BY 1)
+  SELECT place, count(*) AS "rows", {r("any_value(prediction)")} AS prediction, {r("avg(abs(y - prediction))")} AS mae
+  FROM g JOIN m USING (place) WHERE t_idx >= floor(0.8 * n) GROUP BY place""")
+def kmeans_of_two_groups(spark, sf):
+    """Two places far apart are the two clusters, and predict their training means."""
+    rows = event_series(spark, sf).select("t_idx", "y", ((F.col("user_id") % 2) * F.lit(1000.0)).alias("place"))
+    train, holdout = split.chronological(rows)
+    scored, _ = benchmarks.kmeans_benchmark(train, holdout, ["place"], k=2)
+    return scored.groupBy("place").agg(
+        F.count("*").alias("rows"), rounded(F.first("prediction")).alias("prediction"),
+        rounded(F.avg(F.abs(F.col("y") - F.col("prediction")))).alias("mae"))
+
+
+# One tree of one split over a feature of two values: a leaf is a group mean.
+_LEAVES = f"""WITH {EV}, g AS (SELECT *, (user_id % 2) * 1.0::DOUBLE AS side, count(*) OVER () AS n FROM ev),
+    m AS (SELECT side, avg(y) AS f FROM g WHERE t_idx < floor(0.8 * n) GROUP BY 1)
+  SELECT side, count(*) AS "rows", {r("any_value(f)", 5)} AS prediction, {r("avg(abs(y - f))", 5)} AS mae
+  FROM g JOIN m USING (side) WHERE t_idx >= floor(0.8 * n) GROUP BY side"""
+# A forest draws its rows, so it learns from the means themselves.
+for _name, _params in (("d10_gradient_boosting", {"maxDepth": 1, "maxIter": 1}), ("d11_random_forest", {"maxDepth": 1, "numTrees": 3}),
+                       ("d12_extra_trees", {"maxDepth": 1, "numTrees": 1})):
+    def _leaves(spark, sf, name=_name[4:], params=_params):
+        rows = event_series(spark, sf).select("t_idx", "y", ((F.col("user_id") % 2) * F.lit(1.0)).alias("side"))
+        train, holdout = split.chronological(rows)
+        if name == "random_forest":
+            means = train.groupBy("side").agg(F.avg("y").alias("y"))
+            train = train.drop("y").join(F.broadcast(means), "side")  # two rows
+        scored = training.fit(training.CANDIDATES[name], train, ["side"], params).transform(holdout)
+        return scored.groupBy("side").agg(
+            F.count("*").alias("rows"), rounded(F.first("prediction"), 5).alias("prediction"),
+            rounded(F.avg(F.abs(F.col("y") - F.col("prediction"))), 5).alias("mae"))
+
+    query(f"{_name}_leaves", _LEAVES)(_leaves)
+
+
 # Naive rules as candidates: everything about them can be checked in SQL.
 RUNS = PANEL + """, runs2 AS (
     SELECT event_type || ' raw' AS run_id, t_idx, y FROM panel
