@@ -6,8 +6,9 @@ A byte goes if some ``WINDOW`` bytes around it also start elsewhere.
    leftmost of equals.  Equal windows have equal anchors at equal places, so
    only anchors whose hash occurs twice can lie in a repeat.  There is about
    one anchor in 137 bytes.
-2. An anchor's context is what the windows around it cover.  Contexts met
-   twice are repeats from end to end, found by counting digests.
+2. An anchor's context is what the windows of that anchor cover, so each window
+   is in one context.  Contexts met twice are repeats from end to end, found by
+   counting digests.
 3. The others, and one of each kind of context with the same anchor, are
    gathered in shards of bounded size.  A shard is sorted into a suffix array
    by Larsson-Sadakane refinement (only groups not yet sorted are refined, with
@@ -40,12 +41,13 @@ _PACK = 7                      # symbols in a first key; 9 bits each
 NO_ID = -(1 << 63)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all windows' anchors, their hashes, and the documents they are in."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per anchor: position, hash, document, and begin and end of what its windows cover."""
     n = len(data)
     sizes = np.diff(offsets)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    long = np.flatnonzero(sizes >= WINDOW)
+    if not len(long):
+        return tuple(np.zeros(0, k) for k in (np.int64, U64, np.int64, np.int64, np.int64))
     at = np.arange(n - GRAM + 1)
     hashes = range_hashes(prefix_sums(data), at, at + GRAM)
     least = hashes >> U64(32) << U64(32) | at.astype(U64)
@@ -56,34 +58,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     rest = REACH + 1 - width
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
-    long = np.flatnonzero(sizes >= WINDOW)
     counts = sizes[long] - WINDOW + 1
     starts = np.arange(counts.sum()) + np.repeat(offsets[:-1][long] - np.cumsum(counts) + counts, counts)
     found = (least[starts] & U64(0xFFFFFFFF)).astype(np.int64)
-    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
-    return found, hashes[found], np.searchsorted(offsets, found, side="right") - 1
-
-
-def context(at: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What windows around an anchor cover, within its document."""
-    return np.maximum(at - REACH, start), np.minimum(at + WINDOW, end)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    last = np.append(first[1:], len(found)) - 1
+    found = found[first]
+    return found, hashes[found], np.searchsorted(offsets, found, side="right") - 1, starts[first], starts[last] + WINDOW
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, max_bytes=2 << 20):
             data, offsets = text_bytes(part.column("text"))
-            at, hashes, doc = anchors(data, offsets)
-            lo, hi = context(at, offsets[doc], offsets[doc + 1])
+            at, hashes, doc, lo, hi = anchors(data, offsets)
             view = data.tobytes()
             digests = np.array([hashlib.blake2b(view[a:b], digest_size=16, salt=struct.pack("<q", p - a)).digest()
                                 for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())], "S16")
             pair = np.frombuffer(digests.tobytes(), np.int64).reshape(-1, 2)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([
-                part.column("_doc").take(take), part.column("_th").take(take), pa.array(at - offsets[doc]),
-                pa.array(hashes.view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
-                names=["_doc", "_th", "pos", "h", "c1", "c2"])
+                part.column("_doc").take(take), part.column("_th").take(take), pa.array(lo - offsets[doc]),
+                pa.array(hi - offsets[doc]), pa.array(hashes.view(np.int64)), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                names=["_doc", "_th", "begin", "end", "h", "c1", "c2"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +91,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, th, text, asked in zip(*(part.column(c) for c in ("_doc", "_th", "text", "asked"))):
                 data = text.as_py().encode()
                 for x in asked.as_py():
-                    lo, hi = max(x["pos"] - REACH, 0), min(x["pos"] + WINDOW, len(data))
-                    rows.append((x["shard"], x["salt"], x["hot"], x["many"], doc.as_py(), th.as_py(), lo, data[lo:hi]))
+                    rows.append((x["shard"], x["salt"], x["hot"], x["many"], doc.as_py(), th.as_py(), x["begin"],
+                                 data[x["begin"]: x["end"]]))
             for at in range(0, len(rows), 10_000):
                 cols = zip(*rows[at: at + 10_000])
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -221,7 +218,7 @@ def _sort_shard(ranges: int):
             return _table([])
         owner = shard.owner[at]
         place = begin[owner] + at - shard.starts[owner]
-        # Windows of neighbouring anchors may be the same bytes of one document: they are no repeat.
+        # A row that stands twice in the table is read twice; its own bytes are no repeat here.
         _, doc_no = np.unique(np.stack([doc, th]), axis=1, return_inverse=True)
         origin = doc_no.ravel()[owner] << 40 | place
         group = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(at))))
@@ -254,7 +251,7 @@ def _merge_runs(block: pa.Table) -> pa.Table:
         inside = np.flatnonzero(at < len(merged))
         met[inside] = merged["digest"][at[inside]] == run["digest"][inside]
         old, new = at[met], run[met]
-        # the same bytes of one document may come from two anchors
+        # a row that stands twice in the table may meet itself
         same = np.logical_and.reduce([merged[c][old] == new[c] for c in ("doc", "th", "begin")])
         other = ~same | merged["twice"][old] | new["twice"]
         hit[old[other]] = True
@@ -274,17 +271,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``_doc, _th, begin, end``: spans of bytes that lie in repeated windows, several a document.
 
     ``_th`` is the text's hash, so that rows sharing an id keep apart.  Spans
-    overlap, and may reach beyond the end of their document.
+    overlap.
     """
     source = _source(docs)
     found = written_table(source.where(F.octet_length("text") >= WINDOW).mapInArrow(
-        _anchor_rows, "_doc long, _th long, pos long, h long, c1 long, c2 long"), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+        _anchor_rows, "_doc long, _th long, begin long, end long, h long, c1 long, c2 long"), "anchors")
+    often = written_table(found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "often")
     again = written_table(found.join(often, "h", "left_semi"), "repeated-anchors")
     kinds = written_table(again.groupBy("h", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("_doc", "_th", "pos")).alias("first")), "contexts")
+        F.count("*").alias("n"), F.min(F.struct("_doc", "_th", "begin", "end")).alias("first")), "contexts")
     full = again.join(kinds.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select(
-        "_doc", "_th", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("begin"), (F.col("pos") + WINDOW).alias("end"))
+        "_doc", "_th", "begin", "end")
 
     open_ = written_table(kinds.groupBy("h").agg(
         F.count("*").alias("_kinds"), F.sum((F.col("n") == 1).cast("long")).alias("_single")).where(
@@ -293,8 +290,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total, hot_total = open_.agg(F.coalesce(F.sum("_kinds"), F.lit(0)), F.coalesce(F.sum(F.when(hot, F.col("_kinds"))), F.lit(0))).first()
     shards, ranges = -(-total // SHARD_CONTEXTS) or 1, -(-hot_total * REACH // RANGE_WINDOWS) or 1
     salt = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("_kinds") / SHARD_CONTEXTS)) + 1
-    asked = kinds.join(open_, "h").select("first.*", F.struct(
-        "first.pos", F.when(hot, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"),
+    asked = kinds.join(open_, "h").select("first._doc", "first._th", F.struct(
+        "first.begin", "first.end", F.when(hot, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))).alias("shard"),
         F.when(hot, salt).otherwise(F.lit(0).cast("long")).alias("salt"), hot.alias("hot"),
         (F.col("n") > 1).alias("many")).alias("_ask")).groupBy("_doc", "_th").agg(F.collect_list("_ask").alias("asked"))
     contexts = source.join(asked, ["_doc", "_th"]).mapInArrow(
