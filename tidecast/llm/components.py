@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round is a minimum per node (combined before the shuffle) and a join, so a
-hub with very many links is one aggregation row and a join that Spark may
-split.  Nothing but two numbers a round reaches the driver.
+hub with very many links is one aggregation row, in a table of its own, and a
+join that Spark may split.  Nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written_table(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = edges.join(least, "u")
     if both_ways:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     rows = classes.select(F.explode("_bands").alias("_key"), F.col("_leader").alias("_id")).distinct()
     picks = [F.min(F.struct(F.xxhash64("_id", F.lit(k)), F.col("_id"))).alias(f"_p{k}") for k in range(PIVOTS)]
-    sized = rows.groupBy("_key").agg(F.count("*").alias("_size"), *picks).where("_size > 1").select(
-        "_key", "_size", F.array_distinct(F.array(*[F.col(f"_p{k}._id") for k in range(PIVOTS)])).alias("_pivots"))
+    # What is joined back by a hot key is a table of its own: Spark may then split the join.
+    sized = written_table(rows.groupBy("_key").agg(F.count("*").alias("_size"), *picks).where("_size > 1").select(
+        "_key", "_size", F.array_distinct(F.array(*[F.col(f"_p{k}._id") for k in range(PIVOTS)])).alias("_pivots")), "bucket-sizes")
     buckets = written_table(rows.join(sized, "_key"), "buckets")
     few = buckets.where(F.col("_size") <= SMALL_BUCKET).groupBy("_key").agg(
         F.array_sort(F.collect_list("_id")).alias("_ids"))
@@ -236,16 +237,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         first.withColumnRenamed("node", "_id"), "_id", "left").select(
         "_key", "_id", F.coalesce("component", "_id").alias("_label"))
     shares = labelled.groupBy("_key", "_label").agg(F.count("*").alias("_n"))
-    main = shares.groupBy("_key").agg(
+    main = written_table(shares.groupBy("_key").agg(
         F.max(F.struct("_n", "_label"))["_label"].alias("_main"), F.sum("_n").alias("_all"),
-        F.max("_n").alias("_most")).where("_all > _most")
+        F.max("_n").alias("_most")).where("_all > _most"), "open-buckets")
     open_rows = written_table(
         labelled.join(main, "_key").withColumn("_asks", F.col("_label") != F.col("_main")), "open")
     size = F.length("_set") / F.lit(8 * BLOCK_SHINGLES / BLOCK_MEMBERS) + 1
     dealt = open_rows.join(sets, "_id").withColumn("_w", size)
-    weights = dealt.groupBy("_key").agg(
+    weights = written_table(dealt.groupBy("_key").agg(
         F.ceil(F.sum("_w") / BLOCK_MEMBERS).alias("_member_blocks"),
-        F.ceil(F.sum(F.when(F.col("_asks"), F.col("_w"))) / BLOCK_MEMBERS).alias("_query_blocks"))
+        F.ceil(F.sum(F.when(F.col("_asks"), F.col("_w"))) / BLOCK_MEMBERS).alias("_query_blocks")), "bucket-weights")
     placed = dealt.drop("_w").join(weights, "_key")
     spot = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(n))
     asked = placed.where("_asks").withColumn("_q", spot("_query_blocks", 1)).withColumn(

@@ -112,8 +112,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                           F.col("html").cast("string").alias("html"))
     named = source.where("page_id is not null").select(
         "page_id", F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("_bytes"))
-    first = named.groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_first"), F.min("page_id").alias("_least"))
-    again = named.join(first.where("_first != _least"), ["_digest", "_bytes"]).where("page_id != _first").select(
+    # A table of its own, so that Spark may split the join at a payload of very many pages.
+    first = written_table(named.groupBy("_digest", "_bytes").agg(
+        F.max("page_id").alias("_first"), F.min("page_id").alias("_least")).where("_first != _least"), "payloads")
+    again = named.join(first, ["_digest", "_bytes"]).where("page_id != _first").select(
         F.col("page_id").alias("_page"), F.col("_digest").alias("_of"), F.col("_first").alias("refers_to")).distinct()
     same = (F.col("page_id") == F.col("_page")) & (F.sha1(payload) == F.col("_of"))
     ready = source.where("page_id is not null").join(again, same, "left").select("page_id", "url", "html", "refers_to")
