@@ -92,6 +92,6 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, epochs: fl
 
 
 def mixture_counts(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = "0") -> DataFrame:
-    """``doc_id, source, n_copies, copy, place`` of each row of the mixture."""
+    """``doc_id, source, text, n_copies, copy, place`` of each row of the mixture."""
     return _mixed(docs, weights, epochs, seed).select(
-        "_row.doc_id", "_row.source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))
+        "_row.doc_id", "_row.source", "_row.text", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_place").alias("place"))

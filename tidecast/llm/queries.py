@@ -77,8 +77,9 @@ counted AS (SELECT doc_id, source, sum(len(list_filter(c, lambda x: x <=
     CAST('0x' || substr(md5('0|' || doc_id || '|' || part), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))) AS n
   FROM drawn GROUP BY doc_id, source),
 copies AS (SELECT doc_id, source, CAST(n AS INTEGER) AS n_copies, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INTEGER) AS copy FROM counted)
-SELECT doc_id, source, n_copies, copy,
-  CAST('0x' || substr(md5('0|place|' || doc_id || '|' || copy), 1, 13) AS BIGINT) AS place FROM copies""")
+SELECT c.doc_id, c.source, text, n_copies, copy,
+  CAST('0x' || substr(md5('0|place|' || c.doc_id || '|' || copy), 1, 13) AS BIGINT) AS place
+FROM copies c JOIN documents d ON c.doc_id = d.doc_id""")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixture_counts(table(spark, sf, "documents"))
 
