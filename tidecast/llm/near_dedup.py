@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.min("_id").alias("_leader"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs"),
         F.first("_bands").alias("_bands")), "classes")
 
-    rows = classes.select(F.explode("_bands").alias("_key"), F.col("_leader").alias("_id")).distinct()
+    rows = classes.select(F.explode("_bands").alias("_key"), F.col("_leader").alias("_id"), F.col("_n").alias("_shingles")).distinct()
     picks = [F.min(F.struct(F.xxhash64("_id", F.lit(k)), F.col("_id"))).alias(f"_p{k}") for k in range(PIVOTS)]
     # What is joined back by a hot key is a table of its own: Spark may then split the join.
     sized = written_table(rows.groupBy("_key").agg(F.count("*").alias("_size"), *picks).where("_size > 1").select(
@@ -233,21 +233,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = written_table(components(links), "components")
 
     # Buckets of several components: all that are not in the largest one are held against the rest.
-    labelled = buckets.where(F.col("_size") > SMALL_BUCKET).select("_key", "_id", "_size").join(
+    labelled = buckets.where(F.col("_size") > SMALL_BUCKET).select("_key", "_id", "_shingles").join(
         first.withColumnRenamed("node", "_id"), "_id", "left").select(
-        "_key", "_id", F.coalesce("component", "_id").alias("_label"))
+        "_key", "_id", "_shingles", F.coalesce("component", "_id").alias("_label"))
     shares = labelled.groupBy("_key", "_label").agg(F.count("*").alias("_n"))
     main = written_table(shares.groupBy("_key").agg(
         F.max(F.struct("_n", "_label"))["_label"].alias("_main"), F.sum("_n").alias("_all"),
         F.max("_n").alias("_most")).where("_all > _most"), "open-buckets")
     open_rows = written_table(
         labelled.join(main, "_key").withColumn("_asks", F.col("_label") != F.col("_main")), "open")
-    size = F.length("_set") / F.lit(8 * BLOCK_SHINGLES / BLOCK_MEMBERS) + 1
-    dealt = open_rows.join(sets, "_id").withColumn("_w", size)
-    weights = written_table(dealt.groupBy("_key").agg(
-        F.ceil(F.sum("_w") / BLOCK_MEMBERS).alias("_member_blocks"),
-        F.ceil(F.sum(F.when(F.col("_asks"), F.col("_w"))) / BLOCK_MEMBERS).alias("_query_blocks")), "bucket-weights")
-    placed = dealt.drop("_w").join(weights, "_key")
+    weight = F.col("_shingles") / F.lit(BLOCK_SHINGLES / BLOCK_MEMBERS) + 1
+    weights = written_table(open_rows.groupBy("_key").agg(
+        F.ceil(F.sum(weight) / BLOCK_MEMBERS).alias("_member_blocks"),
+        F.ceil(F.sum(F.when(F.col("_asks"), weight)) / BLOCK_MEMBERS).alias("_query_blocks")), "bucket-weights")
+    placed = open_rows.join(weights, "_key").join(sets, "_id")
     spot = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.col(n))
     asked = placed.where("_asks").withColumn("_q", spot("_query_blocks", 1)).withColumn(
         "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_member_blocks") - 1)))
