@@ -11,14 +11,15 @@ decompresses only the documents it wants.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -26,64 +27,164 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.files import attempt_name, opened
-from tidecast.llm.words import slices
+from tidecast.llm.words import U64, WHITE, Words, find_words, piece_hashes, slices
 from tidecast.storage import scratch_path, written_table
 
 END_ID = 2
-LEVEL = 3
-CACHED_PIECES = 400_000
+LEVEL = 1
+CACHED_PIECES = 2_000_000  # about 30 bytes each
 NO_ID = -(1 << 63)  # in a directory: the row had no id
 # Fixed values of the seekable format and of skippable frames.
 SEEK_FRAME, DIRECTORY_FRAME, SEEK_END = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 
 
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,")] = True
+_PLAIN[[*range(65, 91), *range(97, 123)]] = True
+
+# The alphabet of byte-level vocabularies: printable bytes are their own letter, the others follow from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+_SPACE = _BYTE_LETTERS[32]
+_PLAIN_WHITE = np.zeros(256, bool)
+_PLAIN_WHITE[list(b" \n")] = True
+# White space beyond ASCII, in UTF-8.
+_OTHER_WHITE = tuple(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                     "\u2028\u2029\u202f\u205f\u3000")
+_WHITE_LEAD = np.zeros(256, bool)
+_WHITE_LEAD[[c[0] for c in _OTHER_WHITE]] = True
+_SELDOM = (b"\t", b"\v", b"\f", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_WHITE_2, _WHITE_3 = ([int.from_bytes(c, "big") for c in _OTHER_WHITE if len(c) == n] for n in (2, 3))
+
+
 class PieceEncoder:
     """Ids of whole texts, with a memory of pieces between spaces.
 
     The tokenizer never joins a character with white space that follows it, so
-    a text may be cut before each run of ASCII white space without changing
-    its ids.  Texts with other white space are given to the tokenizer whole.
+    a text may be cut before single spaces and line breaks without changing its
+    ids.  All pieces of a batch are hashed together (64 bits), and each distinct
+    one is looked up or encoded once.  Texts with other or repeated white space
+    are given to the tokenizer whole.
     """
 
-    _other_white = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-    _odd = re.compile(r"[ \n]{2}|[\t\v\f\r]|^[ \n]|[ \n]$")
-    _piece = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Keys of the pieces; a key is the piece, or what follows its single leading space."""
-        if self._other_white.search(text):
-            return None
-        if self._odd.search(text):
-            return [p[1:] if p[0] == " " and p[1:2] not in ("", " ", "\n", "\t", "\v", "\f", "\r") else "\n" + p if p[0] == "\n" else "\t" + p
-                    for p in self._piece.findall(text)]
-        first, *rest = text.replace("\n", " \n\n").split(" ")
-        return ["\t" + first, *rest] if first else rest
-
-    @staticmethod
-    def _spelt(key: str) -> str:
-        """The piece a key stands for: after a line break or tab the piece itself, else a space comes first."""
-        return key[1:] if key[0] in "\n\t" else " " + key
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        keys = [self._pieces(t) for t in texts]
-        if len(self.known) > CACHED_PIECES:
-            self.known = {}
-        new = list(set().union(*[k for k in keys if k]).difference(self.known))
-        self.known.update(zip(new, self._ids([self._spelt(k) for k in new])))
-        whole = dict(zip([i for i, k in enumerate(keys) if k is None],
-                         self._ids([t for t, k in zip(texts, keys) if k is None])))
-        return [whole[i] if k is None else b"".join(map(self.known.__getitem__, k)) for i, k in enumerate(keys)]
+        self.model = self.tokenizer.model
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.marks = np.zeros(256, "<u4")
+        for c in np.flatnonzero(_MARK).tolist():
+            self.marks[c] = self.tokenizer.encode(chr(c), add_special_tokens=False).ids[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: sorted hashes, and where each one's ids stand in one array."""
+        self.keys, self.begin, self.length = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _remember(self, keys: np.ndarray, place: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Take in new pieces; ``place`` is where their keys go among the old ones."""
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need - len(self.flat), len(self.flat)), "<u4")])
+        self.flat[self.used: need] = ids
+        begin = (self.used + np.cumsum(lengths) - lengths).astype(np.int32)
+        self.keys = np.insert(self.keys, place, keys)
+        self.begin, self.length = np.insert(self.begin, place, begin), np.insert(self.length, place, lengths)
+        self.used = need
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has.
+
+        Plain words, with a space or line break before them, are one step of
+        the tokenizer and go to its model alone.
+        """
+        flat: list[int] = []
+        lengths: list[int] = []
+        tokenize, table = self.model.tokenize, _BYTE_LETTERS
+        for text in texts:
+            head = text[:1]
+            word = text[1:] if head == " " or head == "\n" else text
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                ids = [t.id for t in tokenize(_SPACE + letters if head == " " else letters)]
+                if head == "\n":
+                    ids = self.line_break + ids
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            flat += ids
+            lengths.append(len(ids))
+        return np.array(flat, "<u4"), np.array(lengths, np.int32)
+
+    def _whole(self, words: Words) -> np.ndarray:
+        """Which documents have white space that is not single spaces and line breaks between words."""
+        data, offsets = words.data, words.offsets
+        n_words = np.diff(words.first)
+        inside = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
+        white = np.diff(offsets) - (inside[words.first[1:]] - inside[words.first[:-1]])
+        odd = white != np.maximum(n_words - 1, 0)
+        text = data.tobytes()
+        if any(map(text.__contains__, _SELDOM)):
+            bad = WHITE[data] & ~_PLAIN_WHITE[data]
+            high = np.flatnonzero(_WHITE_LEAD[data])
+            two = data[high].astype(np.int64) << 8 | data[np.minimum(high + 1, len(data) - 1)]
+            three = two << 8 | data[np.minimum(high + 2, len(data) - 1)]
+            bad[high] |= np.isin(two, _WHITE_2) | np.isin(three, _WHITE_3)
+            sums = np.concatenate([[0], np.cumsum(bad)])
+            odd |= sums[offsets[1:]] > sums[offsets[:-1]]
+        return odd
+
+    def _looked_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the batch's pieces, and where each document's start."""
+        starts = words.starts - 1
+        starts[words.first[:-1][np.diff(words.first) > 0]] += 1  # a text's first piece has no space before it
+        # A full stop or comma after a plain letter, at a piece's end, is always a token of its own.
+        last = words.data[words.ends - 1]
+        mark = _MARK[last] & _PLAIN[words.data[np.maximum(words.ends - 2, 0)]] & (words.ends - words.starts > 1)
+        ends_at = words.ends - mark
+        hashes = piece_hashes(words.data, starts, ends_at)
+        piece, keys = pd.factorize(hashes)
+        at = np.empty(len(keys), np.int64)
+        at[piece[::-1]] = np.arange(len(piece))[::-1]
+        if len(self.keys) > CACHED_PIECES:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = np.flatnonzero(place < len(self.keys))
+        fresh[inside] = self.keys[place[inside]] != keys[inside]
+        new = np.flatnonzero(fresh)
+        new = new[np.argsort(keys[new])]
+        data = words.data.tobytes()
+        spelt = [data[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends_at[at[new]].tolist())]
+        if spelt:
+            self._remember(keys[new], place[new], *self._ids(spelt))
+        place += np.searchsorted(keys[new], keys)  # each new key before it moves a key by one
+        begins, lengths = self.begin[place], self.length[place]
+        each = lengths[piece] + mark
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        spots = np.repeat(begins[piece] - ends[:-1], each) + np.arange(ends[-1], dtype=np.int32)
+        taken = self.flat[np.minimum(spots, len(self.flat) - 1)]
+        taken[ends[1:][mark] - 1] = self.marks[last[mark]]
+        return taken, ends[words.first]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
+        words = find_words(texts, lower=False)
+        whole = self._whole(words)
+        if whole.any():
+            mask = pa.array(whole)
+            words = find_words(pc.if_else(mask, pa.scalar("", texts.type), texts), lower=False)
+            alone = iter(texts.filter(mask).to_pylist())
+        taken, at = self._looked_up(words)
+        for w, a, b in zip(whole.tolist(), at[:-1].tolist(), at[1:].tolist()):
+            if w:
+                ids = self.tokenizer.encode(next(alone), add_special_tokens=False).ids
+                yield np.array(ids, "<u4").tobytes()
+            else:
+                yield taken[a:b].tobytes()
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -150,9 +251,8 @@ def _write_tokens(folder: str, tokenizer: str, end_id: int):
         with files.open_output_stream(f"{path}/{name}", compression=None) as sink:
             writer = TokenFileWriter(sink)
             for batch in batches:
-                for piece in slices(batch, max_bytes=1 << 20):
-                    ids = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
-                    for doc, tokens in zip(piece.column("_doc").to_pylist(), ids):
+                for piece in slices(batch, max_bytes=2 << 20):
+                    for doc, tokens in zip(piece.column("_doc").to_pylist(), encoder.encode(piece.column("text"))):
                         writer.add(doc, tokens + end)
             writer.finish()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, len(writer.ids), sum(
