@@ -306,3 +306,12 @@ def test_contained_items(spark, monkeypatch, block):
     assert table(clean, "doc_id") == sorted(((r[0],) for r in rows if r[0] not in dirty), key=repr)
     assert decontamination.contained_items(corner.documents(spark), bench.limit(0)).count() == 0
     assert decontamination.contained_items(corner.empty(spark), bench).count() == 0
+
+
+def test_language_model_sees_seven_symbols_back(spark):
+    rows = [(2 * i, "qmmmmmma") for i in range(40)] + [(2 * i + 1, "zmmmmmmb") for i in range(40)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    model = suffix_tree_lm.fit_language_model(train, F.lit(True))
+    asked = spark.createDataFrame([(0, "qmmmmmma"), (1, "qmmmmmmb"), (2, "zmmmmmmb"), (3, "zmmmmmma")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in suffix_tree_lm.language_scores(asked, model, F.lit(False)).collect()}
+    assert score[0] > score[1] + 0.5 and score[2] > score[3] + 0.5
