@@ -315,3 +315,23 @@ def test_language_model_sees_seven_symbols_back(spark):
     asked = spark.createDataFrame([(0, "qmmmmmma"), (1, "qmmmmmmb"), (2, "zmmmmmmb"), (3, "zmmmmmma")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in suffix_tree_lm.language_scores(asked, model, F.lit(False)).collect()}
     assert score[0] > score[1] + 0.5 and score[2] > score[3] + 0.5
+
+
+def test_toxicity_decodes_edges_doubles_short_runs_and_masks(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    filler = lambda: " ".join("".join(rnd.choice(["ta", "ri", "on", "ek", "su", "lo"]) for _ in range(3)) for _ in range(30))
+    rows, marks = [], []
+    for i in range(320):
+        bad = i % 4 == 0
+        rows.append((i, filler() + (f" {['impwort', 'snotwort', 'oafling', 'zug'][i // 4 % 4]} " if bad else " zuug ") + filler()))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert set(model.lexicon) == {"impwort", "snotwort", "oafling", "zug"}
+    tricks = ["!mpwort", "snotwor+", "|mpwort!", "ooaafflliinngg", "z u g", "! m p w o r t", "s*otwort", "oaf*ing", "i*p*ort",
+              "¡mpwort"]
+    found = lambda t: toxicity.hits(pa.array([f"tarion {t} sulori"]), model)[0, 0]
+    assert [t for t in tricks if not found(t)] == []
+    assert [t for t in ["zuug", "zuug!", "(tarion)", "! ! !", "| a | b |", "", "% * !", "snootling", "a b c d"] if found(t)] == []
