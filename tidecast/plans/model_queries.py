@@ -129,10 +129,11 @@ def kmeans_benchmark(spark, sf):
 
 def _single(name):
     def run(spark, sf):
-        train, holdout, _ = parts(spark, sf)
-        candidate = training.CANDIDATES[name]
-        model = training.fit(candidate, train, FEATURES, training.parameter_sets(candidate.grid)[0])
-        scored = model.transform(holdout).withColumn("model", F.lit(name))
+        train, holdout, folds = parts(spark, sf)
+        done = training.train_candidates(train, holdout, FEATURES, [name], folds)
+        if name not in done.models:
+            raise RuntimeError(f"{name}: {done.skipped}")
+        scored = done.models[name].transform(holdout).withColumn("model", F.lit(name))
         return rounded_metrics(metrics.evaluate(scored))
     return run
 
@@ -371,7 +372,7 @@ def candidate_table(spark, sf):
 @query("d17_trained_candidates")
 def trained_candidates(spark, sf):
     train, holdout, folds = parts(spark, sf)
-    done = training.train_candidates(train, holdout, FEATURES, ["ridge", "random_forest"], folds[-2:], search=False)
+    done = training.train_candidates(train, holdout, FEATURES, ["ridge", "random_forest"], folds)
     return done.table(spark).drop("fit_time_sec")
 
 
@@ -402,7 +403,7 @@ def benchmark_deltas(spark, sf):
 @query("d20_skipped_models")
 def skipped_models(spark, sf):
     train, holdout, folds = parts(spark, sf)
-    done = training.train_candidates(train, holdout, FEATURES, ["xgboost", "mlp", "ridge"], folds[-1:], search=False)
+    done = training.train_candidates(train, holdout, FEATURES, ["xgboost", "mlp", "ridge"], folds)
     return done.table(spark).select("model", "status", "reason")
 
 
@@ -417,7 +418,7 @@ def best_by_holdout(spark, sf):
 def saved_models(spark, sf):
     """Predictions of reloaded models next to the originals."""
     train, holdout, folds = parts(spark, sf)
-    done = training.train_candidates(train, holdout, FEATURES, ["ridge", "rbf_kernel"], folds[-1:], search=False)
+    done = training.train_candidates(train, holdout, FEATURES, ["ridge", "rbf_kernel"], folds)
     paths = training.save_models(done.models, scratch_path(spark, "models"), "ridge")
     out = None
     for name, path in sorted(paths.items()):
@@ -551,9 +552,9 @@ def expansion_round(spark, sf):
     names = [f.name for f in plan]
     rows, _ = fx.drop_warm_up(fx.build(series, plan), 3)
     train, holdout = split.chronological(rows)
-    folds = split.expanding_folds(train.agg(F.max("t_idx")).first()[0] + 1)[-1:]
-    first = training.train_candidates(train, holdout, names, ["ridge"], folds, search=False)
-    done, grade = evaluation.expansion_round(first, train, holdout, names, folds, search=False)
+    folds = split.expanding_folds(train.agg(F.max("t_idx")).first()[0] + 1)
+    first = training.train_candidates(train, holdout, names, ["ridge"], folds)
+    done, grade = evaluation.expansion_round(first, train, holdout, names, folds)
     return done.table(spark).select("model", rounded("r2").alias("r2"), "status", F.lit(grade).alias("quality_assessment"))
 
 
