@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.llm.chat_format import formatted_conversations, parsed_conversations
 from tidecast.llm.compression_classifier import fit_compression, quality_scores
 from tidecast.llm.decontamination import contained_items
+from tidecast.llm.hard_negatives import hard_negatives, integer_rows
 from tidecast.llm.mixing import mixture_counts
 from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
@@ -168,3 +169,23 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op12_hard_negatives", """
+WITH rows AS MATERIALIZED (SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.id AS anchor, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.id % 100 = 0 AND a.id != b.id),
+positives AS (SELECT anchor, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same
+  AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(integer_rows(table(spark, sf, "embeddings"), label), F.col("id") % 100 == 0)
