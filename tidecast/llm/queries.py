@@ -14,6 +14,7 @@ from tidecast.llm.near_dedup import near_duplicates
 from tidecast.llm.quality_rules import fit_rules, quality_verdicts
 from tidecast.llm.registry import QUERIES, SQL, query, table
 from tidecast.llm.samples import fold
+from tidecast.llm.source_divergence import source_divergence
 from tidecast.llm.suffix_dedup import without_repeats
 from tidecast.llm.suffix_tree_lm import fit_language_model, language_scores
 from tidecast.llm.token_files import tokenized
@@ -159,8 +160,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM placed GROUP BY conv_id""")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(
-        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
+    one_more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(one_more)
     formatted = written_table(formatted_conversations(turns), "chat")
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     read = parsed_conversations(formatted)
@@ -189,3 +192,31 @@ QUALIFY rank <= 10""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(integer_rows(table(spark, sf, "embeddings"), label), F.col("id") % 100 == 0)
+
+
+@query("op13_source_divergence", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM (SELECT r, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS lang_n FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS all_n FROM kept GROUP BY lang),
+sizes AS (SELECT lang, source, sum(n) AS n FROM counts SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS MATERIALIZED (SELECT lang, source, coalesce(v, 0) AS v, coalesce(all_n, 0) AS all_n, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN sizes USING (lang, source)),
+shares AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST((1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS BIGINT) AS p,
+    1 + CAST((1000000000::HUGEINT * (lang_n + 5)) // (g.all_n + 5 * g.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+results AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM results QUALIFY part = 'pair' OR rank <= 50""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
