@@ -93,6 +93,8 @@ def galloping(needles: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     and double their stride until they have passed, then halve the last stride.
     """
     n = len(sorted_)
+    if not n:
+        return np.zeros(len(needles), np.int64)
     low = np.repeat(np.searchsorted(sorted_, needles[::STEP]), STEP)[: len(needles)]
     high, stride, active = low.copy(), 1, np.arange(len(needles))
     while len(active):
