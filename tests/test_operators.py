@@ -72,6 +72,30 @@ def test_malformed_csv_keeps_every_line(spark, tmp_path):
         files.scan_csv(spark, str(tmp_path / "missing.csv"))
 
 
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    from pyspark.sql import types as T
+    (tmp_path / "in a[1]").mkdir()
+    (tmp_path / "in a[1]" / "one 1.csv").write_text("\ufeffa,b,,A\n1,2,3,4\n5\n")
+    (tmp_path / "in a[1]" / "two.csv").write_text('b,"a",c\n6,7,8\n9,10,11,12\n')
+    (tmp_path / "in a[1]" / "none.csv").write_text("")
+    (tmp_path / "in a[1]" / "three.csv").write_text("c,a\n")
+    scan = files.scan_csv(spark, str(tmp_path / "in a\\[1\\]"))
+    got = {(r["a"], r["b"], r["_c2"], r["A_2"], r["c"], r[files.CORRUPT]) for r in scan.collect()}
+    assert got == {("1", "2", "3", "4", None, None), ("5", None, None, None, None, "5"), ("7", "6", None, None, "8", None),
+                   ("10", "9", None, None, "11", "9,10,11,12")}
+    typed = files.scan_csv(spark, str(tmp_path / "in a\\[1\\]" / "two.csv"), T.StructType.fromDDL("a int"))
+    assert [(r["a"], r["b"]) for r in typed.collect()] == [(7, "6"), (10, "9")]
+    with pytest.raises(ValueError, match="hinted"):
+        files.scan_csv(spark, str(tmp_path / "in a\\[1\\]" / "two.csv"), T.StructType.fromDDL("z int"))
+    assert files.scan_csv(spark, str(tmp_path / "in a\\[1\\]" / "none.csv")).count() == 0
+
+
+def test_header_is_read_without_the_rest(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n" + "1,2\n" * 400_000)
+    assert [tuple(r)[1] for r in files.header_lines(spark, [str(path)]).collect()] == ["a,b"]
+
+
 def test_mixed_types_are_cast_leniently(spark):
     df = spark.createDataFrame([("1", "1.5", "2024-01-01 00:00:00"), ("x", None, "2024-01-02 00:00:00")], "a string, b string, c string")
     typed, report = cleanse.infer_types(df, {"a": "bigint"})
@@ -397,6 +421,21 @@ def test_a_copy_that_starts_late_is_a_leak(spark):
     assert marked == {"copy": True, "empty": True, "flat": False}
 
 
+def test_correlations_survive_levels_gaps_and_infinities(spark):
+    from tidecast.functions.stats import correlation_states
+
+    df = spark.range(0, 60_000, 1, 7).selectExpr(
+        "if(id < 30000, sin(id), 1.7e9D + 100 * sin(id)) as y", "if(id >= 30000, sin(id), null) as late",
+        "if(id % 3 = 0, 0.1D, null) as flat", "if(id % 1000 = 7, double('inf'), sin(id)) as holed", "if(id < 30000, 0.3D, 1e9D) as step",
+        "if(id = 4, 1D, null) as once", "sin(id) as wave", "double('NaN') as never")
+    found = correlation_states(df, [("late", "y"), ("flat", "y"), ("holed", "wave"), ("step", "late"), ("once", "y"), ("never", "y"), ("wave", "wave")])
+    assert found[("late", "y")] == (pytest.approx(1.0, abs=1e-6), "known") and found[("wave", "wave")] == (pytest.approx(1.0), "known")
+    assert found[("holed", "wave")] == (pytest.approx(1.0), "known")
+    assert found[("flat", "y")] == found[("step", "late")] == (None, "constant")
+    assert found[("once", "y")] == found[("never", "y")] == (None, "unknown")
+    assert correlation_states(df.limit(0), [("late", "y")]) == {("late", "y"): (None, "unknown")}
+
+
 def test_width_does_not_change_a_correlation(spark):
     cols = [f"if((id + {k}) % 5 = 0, null, sin(id * {k + 1})) as c{k}" for k in range(17)]
     df = spark.range(400).selectExpr(*cols)

@@ -22,10 +22,56 @@ _ORDER_TEXT = """
        "o_orderpriority FROM orders")
 def csv_scan(spark, sf):
     path = files.write_csv(table(spark, sf, "orders"), scratch_path(spark, "orders-csv"))
-    typed, _ = cleanse.infer_types(files.scan_csv(spark, path))
+    typed, _ = cleanse.infer_types(files.scan_csv(spark, path).drop(files.CORRUPT))
     return typed
 
 
+def _mixed_folder(spark, sf) -> list[str]:
+    """Orders as CSV in two folders: with other orders and sets of columns, and lines with a field too many or too few."""
+    o = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    text = {"o_orderkey": key.cast("string"), "o_custkey": F.col("o_custkey").cast("string"),
+            "price": F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "Status": F.col("o_orderstatus")}
+    base, folders = scratch_path(spark, "mixed-csv"), []
+    for rest, names in enumerate((["o_orderkey", "o_custkey", "price"], ["Status", "price", "o_orderkey", "o_custkey"])):
+        line = F.concat_ws(",", *[text[n] for n in names], F.when(key % 50 == rest, F.lit("extra")))
+        line = F.when(key % 77 == rest, text[names[0]]).otherwise(line)
+        folder = f"{base}/part={rest} of 2"
+        # A separator that no line holds keeps the lines as they are.
+        o.where(key % 2 == rest).select(line.alias(",".join(n.upper() if n == "price" and rest else n for n in names))).write.option(
+            "header", True).option("sep", "\u0001").csv(folder)
+        folders.append(folder)
+    return folders
+
+
+_MIXED = """mixed AS (SELECT o_orderkey % 2 AS half, o_orderkey % 50 = half AS long_line, o_orderkey % 77 = half AS short_line, *,
+    CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM orders WHERE half IN (0, 1))"""
+_MIXED_LINE = """CASE WHEN short_line THEN CASE half WHEN 0 THEN o_orderkey::VARCHAR ELSE o_orderstatus END
+    WHEN long_line AND half = 0 THEN concat_ws(',', o_orderkey, o_custkey, p, 'extra')
+    WHEN long_line THEN concat_ws(',', o_orderstatus, p, o_orderkey, o_custkey, 'extra') END"""
+
+
+@query("a1_csv_folder_with_other_headers", f"""WITH {_MIXED}
+  SELECT CASE WHEN NOT short_line OR half = 0 THEN o_orderkey END AS o_orderkey, CASE WHEN NOT short_line THEN o_custkey END AS o_custkey,
+    CASE WHEN NOT short_line THEN CAST(p AS DOUBLE) END AS price, CASE WHEN half = 1 THEN o_orderstatus END AS status,
+    {_MIXED_LINE} AS raw_line FROM mixed""")
+def csv_folder(spark, sf):
+    scan = files.scan_csv(spark, _mixed_folder(spark, sf))
+    return scan.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), F.col("price").cast("double").alias("price"),
+                       F.col("status"), F.col(files.CORRUPT).alias("raw_line"))
+
+
+@query("a2_malformed_in_mixed_folder", f"""WITH {_MIXED}
+  SELECT {_MIXED_LINE} AS raw_line, CASE WHEN NOT short_line OR half = 0 THEN o_orderkey END AS o_orderkey,
+    CASE WHEN NOT short_line THEN o_custkey END AS o_custkey,
+    CASE WHEN NOT short_line THEN CAST(p AS DOUBLE) END AS price, CASE WHEN half = 1 THEN o_orderstatus END AS status
+  FROM mixed WHERE long_line OR short_line""")
+def malformed_in_folder(spark, sf):
+    hints = T.StructType.fromDDL("o_custkey bigint, price double, o_orderkey bigint, status string")
+    found = files.malformed_rows(files.scan_csv(spark, _mixed_folder(spark, sf), hints))
+    return found.select("raw_line", "o_orderkey", "o_custkey", "price", "status")
+
+
 @query("a2_malformed_rows", f"""
   SELECT CASE WHEN o_orderkey % 50 = 0 THEN k || ',' || c || ',' || p || ',' || s || ',extra'
               ELSE k || ',' || c || ',n/a,' || s END AS raw_line,

@@ -2,37 +2,96 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.storage import written_table
+from tidecast.storage import scratch_path, written_table
 
 CORRUPT = "_corrupt"
+WHOLE_FILE = str(1 << 50)
+
 
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a partition; the rest is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
 
-def scan_csv(
-    spark: SparkSession, path: str, hints: T.StructType | None = None, columns: list[str] | None = None
-) -> DataFrame:
-    """Scan a CSV with a header.
 
-    With ``hints`` every field is parsed to its hinted type and broken rows keep
-    their raw line in ``_corrupt``.  Without, all columns come as text, ready
-    for ``cleanse.infer_types``.  An unreadable path fails at once.
+def header_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, header``: the first line of every file that has one.
+
+    One task a file, which stops after its first batch of lines.  The settings
+    that keep files apart are those of a session of its own.
+    """
+    apart, path = spark.newSession(), scratch_path(spark, "headers")
+    for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        apart.conf.set(setting, WHOLE_FILE)
+    apart.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = apart.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+    lines.mapInArrow(_first_line, "file string, header string").write.parquet(path)
+    return spark.read.schema("file string, header string").parquet(path)
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line; missing ones are numbered, repeated ones get ``_2``, ``_3``."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")]), [])):
+        name, taken = name.strip() or f"_c{i}", {n.lower() for n in names}
+        again, plain = 2, name
+        while name.lower() in taken:
+            name, again = f"{plain}_{again}", again + 1
+        names.append(name)
+    return names
+
+
+def _literal(file: str) -> str:
+    """A file's URI as a path without escapes, its pattern signs taken literally."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", unquote(file))
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], hints: T.StructType | None = None) -> DataFrame:
+    """Scan CSV files with headers; rows that do not fit keep their raw line in ``_corrupt``.
+
+    Every file is read by its own header, so files may have other orders or
+    sets of columns; a column that a file lacks is null there, and names are
+    the same whatever their case.  Columns come as text, ready for
+    ``cleanse.infer_types``, or parsed to their hinted type.  Lines with too
+    many or too few fields, or with a value its type cannot take, are marked.
+    An unreadable path fails at once, and so does a hint for an unknown column.
+    Headers may not span lines.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if hints is None:
-        names = columns or spark.read.option("header", True).csv(path).columns
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        return reader.schema(text).csv(path)
-    marked = T.StructType([*hints.fields, T.StructField(CORRUPT, T.StringType())])
+    paths = [path] if isinstance(path, str) else list(path)
+    headers = header_lines(spark, paths)
+    kinds = sorted(r["header"] for r in headers.select("header").distinct().collect())
+    types = {f.name.lower(): f for f in hints or ()}
+    unknown = types.keys() - {n.lower() for line in kinds for n in header_names(line)}
+    if unknown and kinds:
+        raise ValueError(f"no header has the hinted columns {sorted(unknown)}")
     # Pruned columns would not be parsed, and their faults would go unseen.
-    return (
-        reader.schema(marked)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .csv(path)
-    )
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+    corrupt = T.StructField(CORRUPT, T.StringType())
+
+    def read(line: str) -> DataFrame:
+        fields = [types.get(n.lower(), T.StructField(n, T.StringType())) for n in header_names(line)]
+        files = paths if len(kinds) == 1 else [
+            _literal(r["file"]) for r in headers.where(F.col("header") == line).select("file").collect()]
+        return reader.schema(T.StructType([*fields, corrupt])).csv(files)
+
+    if not kinds:
+        return spark.createDataFrame([], T.StructType([*(hints.fields if hints else []), corrupt]))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(read, kinds))
+    return whole.select(*[F.col(f"`{c}`") for c in whole.columns if c != CORRUPT], CORRUPT)
 
 
 def malformed_rows(scan: DataFrame) -> DataFrame:
