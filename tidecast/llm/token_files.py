@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.files import attempt_name, opened
+from tidecast.llm.files import FILE_BYTES, attempt_name, one_a_task, opened
 from tidecast.llm.words import U64, WHITE, Words, find_words, piece_hashes, slices
 from tidecast.storage import scratch_path, written_table
 
@@ -240,38 +240,52 @@ class TokenFileReader:
         return ids
 
 
-def _write_tokens(folder: str, tokenizer: str, end_id: int):
+def _write_tokens(folder: str, tokenizer: str, end_id: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, PieceEncoder(tokenizer))
         part = TaskContext.get().partitionId()
         files, path = opened(folder)
-        name = attempt_name(part, ".tokens.zst")
         files.create_dir(path, recursive=True)
-        end = struct.pack("<I", end_id)
-        with files.open_output_stream(f"{path}/{name}", compression=None) as sink:
-            writer = TokenFileWriter(sink)
-            for batch in batches:
-                for piece in slices(batch, max_bytes=2 << 20):
-                    for doc, tokens in zip(piece.column("_doc").to_pylist(), encoder.encode(piece.column("text"))):
-                        writer.add(doc, tokens + end)
+        end, number, writer = struct.pack("<I", end_id), 0, None
+
+        def finished() -> pa.RecordBatch:
             writer.finish()
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, len(writer.ids), sum(
-            struct.unpack_from("<I", writer.table, 12 * i + 4)[0] // 4 for i in range(len(writer.ids))))],
-            names=["part", "file", "n_docs", "n_tokens"])
+            writer.sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, number, name, len(writer.ids), held // 4)],
+                                              names=["part", "number", "file", "n_docs", "n_tokens"])
+
+        for batch in batches:
+            for piece in slices(batch, max_bytes=2 << 20):
+                for doc, tokens in zip(piece.column("_doc").to_pylist(), encoder.encode(piece.column("text"))):
+                    if writer is None:
+                        name, held = attempt_name(part, ".tokens.zst"), 0
+                        writer = TokenFileWriter(files.open_output_stream(f"{path}/{name}", compression=None))
+                    writer.add(doc, tokens + end)
+                    held += len(tokens) + len(end)
+                    if held >= file_bytes:
+                        yield finished()
+                        writer, number = None, number + 1
+        if writer is not None:
+            yield finished()
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write ids in ascending ``doc_id`` order; ``part, file, n_docs, n_tokens`` of each file.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, by_id: bool = True,
+                      file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write ids; ``part, number, file, n_docs, n_tokens`` of each file, which follow each other by part and number.
 
-    Equal ids are in the order of their texts' hashes.  Rows without an id come
-    first; null texts are empty and give the end id alone.
+    Documents go in ascending ``doc_id`` order, equal ids in the order of their
+    texts' hashes, rows without an id first.  With ``by_id`` off they stay in
+    the order they come in, as a mixture needs, and nothing is shuffled.  Null
+    texts are empty and give the end id alone.  A file that holds ``file_bytes``
+    of ids is followed by another.  A text is held whole in a task, at about 40
+    times its bytes.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    dealt = source.repartitionByRange("_doc", tie).sortWithinPartitions(F.col("_doc"), tie, F.col("text"))
+    dealt = source.repartitionByRange("_doc", tie).sortWithinPartitions(F.col("_doc"), tie, F.col("text")) if by_id else source
     return written_table(dealt.mapInArrow(
-        _write_tokens(folder, tokenizer, end_id), "part long, file string, n_docs long, n_tokens long"), "token-files")
+        _write_tokens(folder, tokenizer, end_id, file_bytes), "part long, number long, file string, n_docs long, n_tokens long"), "token-files")
 
 
 def _read_tokens(folder: str):
@@ -294,13 +308,13 @@ def _read_tokens(folder: str):
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files themselves."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    based = files.where("n_docs > 0").select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
-    return based.repartition("file").mapInArrow(
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    based = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
+    return one_a_task(based).mapInArrow(
         _read_tokens(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_id: bool = True) -> DataFrame:
     """Write the files to a new folder of the shared one and read them back."""
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, folder, tokenizer, end_id), folder)
+    return read_token_files(write_token_files(docs, folder, tokenizer, end_id, by_id), folder)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.files import attempt_name, opened
+from tidecast.llm.files import FILE_BYTES, attempt_name, one_a_task, opened
 from tidecast.storage import scratch_path, written_table
 
 CHUNK = 1 << 20
@@ -81,28 +81,42 @@ def records(source) -> Iterator[bytes]:
         raise ValueError(f"{len(held)} bytes after the last whole record")
 
 
-def _write_archive(folder: str):
+def _write_archive(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = opened(folder)
         files.create_dir(path, recursive=True)
-        name, n = attempt_name(TaskContext.get().partitionId(), ".warc.gz"), 0
-        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-        with files.open_output_stream(f"{path}/{name}", compression=None) as sink:
-            for batch in batches:
-                columns = (batch.column(c) for c in ("page_id", "url", "html", "refers_to"))
-                for page, url, html, refers in zip(*columns):
-                    sink.write(pack.compress(record(
-                        page.as_py(), url.as_py(), (html.as_py() or "").encode(), refers.as_py())))
-                    n += 1
+        part = TaskContext.get().partitionId()
+        sink = None
+
+        def finished() -> pa.RecordBatch:
             sink.write(pack.flush())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "records"])
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "records"])
+
+        for batch in batches:
+            columns = (batch.column(c) for c in ("page_id", "url", "html", "refers_to"))
+            for page, url, html, refers in zip(*columns):
+                if sink is None:
+                    name, n, size = attempt_name(part, ".warc.gz"), 0, 0
+                    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    sink = files.open_output_stream(f"{path}/{name}", compression=None)
+                whole = record(page.as_py(), url.as_py(), (html.as_py() or "").encode(), refers.as_py())
+                sink.write(pack.compress(whole))
+                n, size = n + 1, size + len(whole)
+                if size >= file_bytes:
+                    yield finished()
+                    sink = None
+        if sink is not None:
+            yield finished()
     return run
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``page_id, url, html`` rows to archives of one gzip stream each; ``file, records``.
 
+    A stream cannot be split, so an archive that holds ``file_bytes`` is
+    followed by another one.
+
     Equal payloads are found by digest and length of the html (null: empty).
     Of rows that repeat the largest page id all are responses; rows without a
     page id are responses that nothing refers to.
@@ -121,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     ready = source.where("page_id is not null").join(again, same, "left").select("page_id", "url", "html", "refers_to")
     nameless = source.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long"))
     return written_table(ready.unionByName(nameless).mapInArrow(
-        _write_archive(folder), "file string, records long"), "archives")
+        _write_archive(folder, file_bytes), "file string, records long"), "archives")
 
 
 def _normalise(folder: str):
@@ -146,7 +160,7 @@ def _normalise(folder: str):
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite each archive with a gzip member per record and an ``.idx`` file of ``offset length`` lines."""
-    return written_table(archives.repartition("file").mapInArrow(_normalise(folder), "file string, records long"), "members")
+    return written_table(one_a_task(archives).mapInArrow(_normalise(folder), "file string, records long"), "members")
 
 
 def parsed(whole: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -185,11 +199,14 @@ def _read_members(folder: str):
 
 def read_members(members: DataFrame, folder: str) -> DataFrame:
     """Every record of normalised archives, each read alone at its indexed offset."""
-    return members.repartition("file").mapInArrow(
+    return one_a_task(members).mapInArrow(
         _read_members(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write, normalise and read back; empty tables give no archive and no rows."""
+    """Write, normalise and read back; empty tables give no archive and no rows.
+
+    A record is held whole in a task, at about four times the bytes of its html.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     return read_members(normalise_archives(write_archives(pages, folder), folder), folder)
