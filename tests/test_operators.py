@@ -72,6 +72,25 @@ def test_malformed_csv_keeps_every_line(spark, tmp_path):
         files.scan_csv(spark, str(tmp_path / "missing.csv"))
 
 
+def test_periods_nobody_named(spark):
+    from tidecast.operators import periods
+
+    noise = [RNG.gauss(0, 1) for _ in range(3000)]
+    shapes = {"saw": lambda i: i % 23, "wave": lambda i: 5 * math.sin(2 * math.pi * i / 12), "noise": lambda i: 0.0,
+              "flat": lambda i: None, None: lambda i: 4 * math.sin(2 * math.pi * i / 50) + 0.01 * i, "short": lambda i: 9 * (i % 5 == 0)}
+    rows = [(k, i, None if (i + len(k or "")) % 17 == 3 or k == "flat" else float(f(i) + noise[(i * 7 + len(k or "")) % 3000]))
+            for k, f in shapes.items() for i in range(60 if k == "short" else 2500)]
+    df = spark.createDataFrame(rows, "id string, t_idx long, y double")
+    found = {}
+    for r in periods.find_periods(df, "y", ["id"], segment=512).collect():
+        found.setdefault(r["id"], []).append((r["rank"], r["period"]))
+    assert {k: [p for _, p in sorted(v)][0] for k, v in found.items()} == {"saw": 23, "wave": 12, None: 50, "short": 5}
+    assert all(len(v) == 1 for k, v in found.items() if k != "short")
+    curve = {r["lag"]: r["acf"] for r in periods.long_acf(df.where("id = 'saw'").drop("id"), "y", segment=512).collect()}
+    assert curve[23] > 0.8 and len(curve) == 256
+    assert periods.find_periods(df.where("t_idx < 0"), "y").count() == 0
+
+
 def test_csv_files_with_their_own_headers(spark, tmp_path):
     from pyspark.sql import types as T
     (tmp_path / "in a[1]").mkdir()

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tidecast.operators import features as fx
-from tidecast.operators import information, leakage, profile, scaling, seasonality, split, stattests
+from tidecast.operators import information, leakage, periods, profile, scaling, seasonality, split, stattests
 from tidecast.plans.explore_queries import _edges, _mi, acf_sql, phase_sql
 from tidecast.plans.inputs import (
     EV, PANEL, SEAS, event_panel, event_series, r, rounded, seasonal_series, table,
@@ -90,6 +90,57 @@ def acf_and_information_lags(spark, sf):
     return lists.withColumn("rank", place).where("rank <= 10").select("list", "rank", "lag")
 
 
+# A wave of 37 rows and a pulse every 11, neither among the usual candidates.
+_PLANTED = EV + """, planted AS (SELECT t_idx // 512 AS seg, t_idx % 512 AS p,
+    y / 100 + 3 * sin(2 * 3.141592653589793 * t_idx / 37) + CASE WHEN t_idx % 11 = 0 THEN 6 ELSE 0 END + t_idx / 1000.0::DOUBLE AS y FROM ev),
+  lines AS (SELECT seg, avg(p) AS mp, avg(y) AS my, coalesce(regr_slope(y, p), 0) AS b, count(*) AS n FROM planted GROUP BY seg),
+  residual AS MATERIALIZED (SELECT seg, p, y - my - b * (p - mp) AS e FROM planted JOIN lines USING (seg)),
+  spectrum AS MATERIALIZED (SELECT frequency, 512.0::DOUBLE / frequency AS period, sum(c * c + s * s) / (SELECT sum(n) FROM lines) AS power FROM (
+    SELECT seg, frequency, sum(e * cos(2 * pi() * frequency * p / 512)) AS c, sum(e * sin(2 * pi() * frequency * p / 512)) AS s
+    FROM residual, (SELECT unnest(range(1, 257)) AS frequency) GROUP BY seg, frequency) GROUP BY frequency),
+  peaks AS MATERIALIZED (SELECT *, power / sum(power) OVER () AS power_share, power / quantile_cont(power, 0.5) OVER (
+      ORDER BY frequency ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS power_ratio,
+    power > coalesce(lag(power) OVER o, 0) AND power >= coalesce(lead(power) OVER o, 0) AS peak FROM spectrum WINDOW o AS (ORDER BY frequency)),
+  products AS MATERIALIZED (SELECT b.p - a.p AS lag, sum(a.e * b.e) / count(*) AS m, count(*) AS pairs
+    FROM residual a JOIN residual b ON a.seg = b.seg AND b.p BETWEEN a.p AND a.p + 256 GROUP BY 1),
+  curve AS MATERIALIZED (SELECT lag, m / (SELECT m FROM products WHERE lag = 0) AS acf, pairs FROM products WHERE lag > 0)"""
+
+
+def _planted(spark, sf):
+    at = F.col("t_idx")
+    y = F.col("y") / 100 + 3 * F.sin(F.lit(2 * 3.141592653589793) * at / 37) + F.when(at % 11 == 0, 6).otherwise(0) + at / F.lit(1000.0)
+    return event_series(spark, sf).select("t_idx", y.alias("y"))
+
+
+@query("c5_periodogram", f"""WITH {_PLANTED} SELECT frequency, period, {r("power")} AS power, {r("power_share")} AS power_share,
+    {r("power_ratio")} AS power_ratio FROM peaks""")
+def periodogram(spark, sf):
+    found = periods.periodogram(_planted(spark, sf), "y", segment=512)
+    return found.withColumns({c: rounded(c) for c in ("power", "power_share", "power_ratio")})
+
+
+@query("c5_long_acf", f"""WITH {_PLANTED} SELECT lag, {r("acf")} AS acf, pairs FROM curve""")
+def long_acf(spark, sf):
+    return periods.long_acf(_planted(spark, sf), "y", segment=512).withColumn("acf", rounded("acf"))
+
+
+@query("c5_found_periods", f"""WITH {_PLANTED},
+  lags AS (SELECT frequency, power_ratio, unnest(range(greatest(2, ceil(512 / (frequency + 0.5)))::BIGINT,
+      greatest(2, floor(512 / (frequency - 0.5)))::BIGINT + 1)) AS lag FROM peaks WHERE peak AND power_ratio >= 6 AND frequency >= 2),
+  best AS (SELECT frequency, power_ratio, lag, acf FROM lags JOIN curve USING (lag)
+    QUALIFY row_number() OVER (PARTITION BY frequency ORDER BY round(acf, 6) DESC, lag) = 1),
+  beside AS (SELECT b.lag, quantile_cont(c.acf, 0.5) FILTER (c.lag < b.lag) AS before, quantile_cont(c.acf, 0.5) FILTER (c.lag > b.lag) AS after
+    FROM (SELECT DISTINCT lag, greatest(1, lag // 8) AS w FROM best) b
+    JOIN curve c ON c.lag BETWEEN b.lag - 2 * w AND b.lag - w OR c.lag BETWEEN b.lag + w AND b.lag + 2 * w GROUP BY b.lag),
+  tops AS (SELECT lag AS period, max(acf) AS acf, max(power_ratio) AS power_ratio FROM best JOIN beside USING (lag)
+    WHERE acf > 0.1 AND acf > coalesce(before, -1) AND acf > coalesce(after, -1) GROUP BY lag)
+  SELECT period, {r("acf")} AS acf, {r("power_ratio")} AS power_ratio,
+    CAST(row_number() OVER (ORDER BY round(acf, 6) DESC, period) AS INTEGER) AS rank FROM tops""")
+def found_periods(spark, sf):
+    found = periods.find_periods(_planted(spark, sf), "y", segment=512)
+    return found.withColumns({c: rounded(c) for c in ("acf", "power_ratio")})
+
+
 @query("c5_seasonality", f"""WITH {SEAS}, s AS (
     SELECT * FROM {phase_sql("seas", 7)} UNION ALL SELECT * FROM {phase_sql("seas", 12)}
     UNION ALL SELECT * FROM {phase_sql("seas", 24)}),

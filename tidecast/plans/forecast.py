@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.operators import (
-    benchmarks, evaluation, features as fx, leakage, metrics, package, profile, screening,
+    benchmarks, evaluation, features as fx, leakage, metrics, package, periods, profile, screening,
     seasonality, selection, split, stattests, training,
 )
 from tidecast.operators.order import join_keys, over_order, without_nulls
@@ -45,10 +45,12 @@ def noise_flags(df: DataFrame, col: str, series_cols: Sequence[str] = (), lags:
     )
 
 
-def series_profile(df: DataFrame, col: str = "y", periods: Sequence[int] = (7, 12, 24)) -> dict:
-    """Flags, step and significant lags of one series.
+def series_profile(df: DataFrame, col: str = "y", usual: Sequence[int] = (7, 12, 24), found: int = 3) -> dict:
+    """Flags, step, periods and significant lags of one series.
 
-    Series under 50 rows keep unknown test results and a warning.
+    The periods tried are the usual ones and the strongest that the series
+    shows by itself.  Series under 50 rows keep unknown test results and a
+    warning.
     """
     n = (df.agg(F.max("t_idx")).first()[0] or 0) + 1
     out = {"rows": n, "warnings": [], "multiple_series": False}
@@ -60,10 +62,11 @@ def series_profile(df: DataFrame, col: str = "y", periods: Sequence[int] = (7, 1
         out["warnings"].append(f"only {n} rows: tests skipped")
         return out
     out |= noise_flags(df, col).first().asDict()
-    usable = [p for p in periods if 3 * p < n] or [2]
-    found = seasonality.detect_seasonality(df, col, usable)
-    out |= seasonality.component_flags(found).first().asDict()
-    out["period"] = found.where("dominant").first()["period"]
+    shown = [r["period"] for r in periods.find_periods(df, col).where(F.col("rank") <= found).collect()]
+    usable = sorted({p for p in (*usual, *shown) if 3 * p < n}) or [2]
+    strength = seasonality.detect_seasonality(df, col, usable)
+    out |= seasonality.component_flags(strength).first().asDict()
+    out["period"], out["found_periods"] = strength.where("dominant").first()["period"], shown
     curve = stattests.acf(df, col, 24)
     out["significant_lags"] = sorted(r["lag"] for r in stattests.significant_lags(curve).collect())
     return out
