@@ -3,26 +3,28 @@
 ARIMA orders are fitted by the Hannan-Rissanen regressions: a long
 autoregression stands in for the shocks, then lags and shocks are regressed
 together.  Both steps need one aggregate over the rows, whatever the number of
-orders tried, and one-step forecasts are plain column expressions.
+orders tried and of series, and one-step forecasts are plain column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from math import log
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.order import over_order
+from tidecast.operators.order import join_keys, over_order
 from tidecast.operators.stattests import moments, unpack
+from tidecast.storage import written_table
 
 
 def persistence(df: DataFrame, col: str = "y", series_cols: Sequence[str] = ()) -> DataFrame:
@@ -34,16 +36,15 @@ def persistence(df: DataFrame, col: str = "y", series_cols: Sequence[str] = ())
 
 @dataclass(frozen=True)
 class Arima:
-    """A fitted model; ``coefficients`` go with ``ar`` lags, then ``ma`` lags."""
+    """A fitted model; ``ar_coefficients`` go with the lags ``ar``, ``ma_coefficients`` with the shocks ``ma``."""
 
     order: tuple[int, int, int]
     seasonal: tuple[int, int, int, int] | None
     ar: tuple[int, ...]
     ma: tuple[int, ...]
     intercept: float
-    coefficients: tuple[float, ...]
-    long_intercept: float
-    long_coefficients: tuple[float, ...]
+    ar_coefficients: tuple[float, ...]
+    ma_coefficients: tuple[float, ...]
     aic: float
 
 
@@ -72,30 +73,54 @@ def _regress(n: float, mean: np.ndarray, cov: np.ndarray, pick: Sequence[int], t
     return mean[target] - beta @ mean[list(pick)], beta, rss
 
 
-class _Lagged:
-    """Columns of the differenced series and its shocks at any lag, from lags of the raw series."""
-
-    def __init__(self, diff: dict[int, float], long: int, most: int, centre: float):
-        self.diff, self.long, self.centre = diff, long, centre
-        self.reach = max(diff) + long + most
-
-    def columns(self, w, col: str) -> dict[str, Column]:
-        y = F.col(col) - F.lit(self.centre)
-        return {f"_l{k}": F.lag(y, k).over(w) if k else y for k in range(self.reach + 1)}
-
-    def value(self, k: int) -> Column:
-        return _linear(0.0, [(c, F.col(f"_l{k + j}")) for j, c in self.diff.items()])
-
-    def shock(self, k: int, intercept: float, phi: Sequence[float]) -> Column:
-        fitted = _linear(intercept, [(c, self.value(k + j + 1)) for j, c in enumerate(phi)])
-        return self.value(k) - fitted
-
-    def carried(self) -> Column:
-        """What centring and differencing took away, from earlier rows only."""
-        return _linear(self.centre, [(-c, F.col(f"_l{k}")) for k, c in self.diff.items() if k])
-
-
-def arima(
+def _per_series(sums: DataFrame, keys: Sequence[str], schema: str, solve: Callable[[list[float]], list | None]) -> DataFrame:
+    """One row of ``solve`` for the moments ``v`` of each series; series it gives nothing for drop out."""
+    types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    names = [*keys, *(part.split()[0] for part in schema.split(", "))]
+
+    def run(batches):
+        for pdf in batches:
+            found = [(key, solve(v)) for *key, v in pdf[[*keys, "v"]].itertuples(index=False)]
+            yield pd.DataFrame([[*key, *x] for key, x in found if x is not None], columns=names)
+
+    return sums.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema]))
+
+
+def _long_regression(long: int):
+    def solve(v: list[float]) -> list | None:
+        if v[0] <= long + 1:
+            return None
+        n, mean, cov = unpack(v, long + 1)
+        found = _regress(n, mean, cov, range(1, long + 1), 0) or (mean[0], np.zeros(long))
+        return [float(found[0]), [float(x) for x in found[1]]]
+    return solve
+
+
+def _best_order(ar_all: list[int], ma_all: list[int], orders: Sequence[tuple], period: int):
+    """The order with the least AIC from the moments of lags, shocks and the value itself; coefficients not used are 0."""
+    width = len(ar_all) + len(ma_all) + 1
+
+    def solve(v: list[float]) -> list | None:
+        if v[0] <= width:
+            return None
+        n, mean, cov = unpack(v, width)
+        best = None
+        for p, q, sp, sq in orders:
+            ar = [i for i, k in enumerate(ar_all) if (k <= p if k != period else sp)]
+            ma = [len(ar_all) + i for i, k in enumerate(ma_all) if (k <= q if k != period else sq)]
+            fit = _regress(n, mean, cov, [*ar, *ma], width - 1)
+            if fit is None or fit[2] <= 0:
+                continue
+            aic = n * log(fit[2] / n) + 2 * (len(ar) + len(ma) + 1)
+            if best is None or aic < best[4] - 1e-9:
+                beta = np.zeros(width - 1)
+                beta[[*ar, *ma]] = fit[1]
+                best = [p, q, sp, sq, float(aic), float(fit[0]), beta[: len(ar_all)].tolist(), beta[len(ar_all):].tolist()]
+        return best
+    return solve
+
+
+def panel_arima(
     df: DataFrame,
     train: Column,
     d: int = 0,
@@ -106,65 +131,72 @@ def arima(
     seasonal_d: int = 0,
     long: int = 12,
     order: tuple[int, int] | None = None,
-) -> tuple[DataFrame, Arima]:
-    """One-step forecasts of a series by the order with the best AIC on the training rows.
-
-    With ``period`` the seasonal lag joins both the lags and the shocks.  An
-    order that cannot be solved falls back to (1, d, 1).
+    series_cols: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """One-step forecasts of every series by its own order with the best AIC, and ``p, q, sp, sq, aic, ...`` of each.
+
+    Fitting goes over moments: one array a series, partial before the shuffle,
+    solved where the shuffle put it.  The rows are read twice, for the long
+    autoregression and for lags and shocks; only lags in use become columns, so
+    a long period costs no more than a short one.  With ``period`` the seasonal
+    lag joins both the lags and the shocks.  A series too short to fit, or
+    without a solvable order, has no model and null predictions.
     """
-    diff = _difference_lags(d, period, seasonal_d)
-    extra = [0, 1] if period else [0]
-    most = max([max_p, max_q, period] if period else [max_p, max_q])
-    lagged = _Lagged(diff, long, most, df.agg(F.avg(col)).first()[0] or 0.0)
-    rows = over_order(
-        df, lambda w: lagged.columns(w, col), behind=lagged.reach
-    )
-    usable = rows.where(train & F.col(f"_l{lagged.reach}").isNotNull())
-    first = usable.select(*[lagged.value(k).alias(f"w{k}") for k in range(long + 1)])
-    m = moments(first, [f"w{k}" for k in range(long + 1)]).first()
-    if m is None or m["v"][0] <= long + 1:
-        raise ValueError("too few rows for the ARIMA benchmark")
-    n, mean, cov = unpack(m["v"], long + 1)
-    solved = _regress(n, mean, cov, range(1, long + 1), 0)
-    if solved is None:
-        solved = (mean[0], np.zeros(long), 0.0)
-    long_c, phi = float(solved[0]), tuple(float(x) for x in solved[1])
-
-    ar_all = list(range(1, max_p + 1)) + ([period] if period else [])
-    ma_all = list(range(1, max_q + 1)) + ([period] if period else [])
-    names = [*(f"w{k}" for k in ar_all), *(f"e{k}" for k in ma_all), "w0"]
-    second = usable.select(
-        *[lagged.value(k).alias(f"w{k}") for k in ar_all],
-        *[lagged.shock(k, long_c, phi).alias(f"e{k}") for k in ma_all],
-        lagged.value(0).alias("w0"),
-    )
-    n, mean, cov = unpack(moments(second, names).first()["v"], len(names))
-    orders = [(*order, 0, 0)] if order else list(product(range(max_p + 1), range(max_q + 1), extra, extra))
-    best = None
-    for p, q, sp, sq in orders:
-        ar = [*range(1, p + 1), *([period] if sp else [])]
-        ma = [*range(1, q + 1), *([period] if sq else [])]
-        pick = [names.index(f"w{k}") for k in ar] + [names.index(f"e{k}") for k in ma]
-        fit = _regress(n, mean, cov, pick, len(names) - 1)
-        if fit is None or fit[2] <= 0:
-            continue
-        aic = n * log(fit[2] / n) + 2 * (len(pick) + 1)
-        if best is None or aic < best.aic - 1e-9:
-            best = Arima(
-                (p, d, q), (sp, seasonal_d, sq, period) if period else None, tuple(ar), tuple(ma),
-                float(fit[0]), tuple(float(x) for x in fit[1]), long_c, phi, aic,
-            )
-    if best is None:
-        if order == (1, 1):
-            raise ValueError("no ARIMA order could be solved")
-        return arima(df, train, d, col, max_p, max_q, 0, 0, long, (1, 1))
-    terms = [(c, lagged.value(k)) for c, k in zip(best.coefficients, best.ar)]
-    terms += [
-        (c, lagged.shock(k, long_c, phi)) for c, k in zip(best.coefficients[len(best.ar):], best.ma)
-    ]
-    forecast = _linear(best.intercept, terms) + lagged.carried()
-    out = rows.withColumn("prediction", forecast).drop(*[f"_l{k}" for k in range(lagged.reach + 1)])
-    return out, best
+    keys, diff = list(series_cols), _difference_lags(d, period, seasonal_d)
+    ar_all = [*range(1, max_p + 1), *([period] if period else [])]
+    ma_all = [*range(1, max_q + 1), *([period] if period and max_q else [])]
+    long = long if ma_all else 0
+    extra, seasonal_q = ([0, 1] if period else [0]), ([0, 1] if period and max_q else [0])
+    orders = [(*order, 0, 0)] if order else list(product(range(max_p + 1), range(max_q + 1), extra, seasonal_q))
+    if keys:
+        centred = join_keys(df, df.groupBy(*keys).agg(F.avg(col).alias("_centre")), keys)
+    else:
+        centred = df.withColumn("_centre", F.lit(df.agg(F.avg(col)).first()[0] or 0.0))
+    used = sorted({k + j for k in range(long + 1) for j in diff})
+    y = F.col(col) - F.col("_centre")
+    rows = over_order(centred, lambda w: {f"_l{k}": F.lag(y, k).over(w) if k else y for k in used}, behind=used[-1], series_cols=keys)
+    value = lambda k: _linear(0.0, [(c, F.col(f"_l{k + j}")) for j, c in diff.items()])
+    # What centring and differencing took away, from earlier rows only.
+    carried = F.col("_centre") + _linear(0.0, [(-c, F.col(f"_l{k}")) for k, c in diff.items() if k])
+    if long:
+        first = rows.where(train).select(*keys, *[value(k).alias(f"w{k}") for k in range(long + 1)]).dropna(
+            subset=[f"w{k}" for k in range(long + 1)])
+        fitted = written_table(_per_series(
+            moments(first, [f"w{k}" for k in range(long + 1)], keys), keys, "_c double, _phi array<double>", _long_regression(long)), "long-ar")
+        rows = join_keys(rows, fitted, keys, "left") if keys else rows.crossJoin(F.broadcast(fitted))  # one row
+        shock = value(0) - reduce(lambda a, j: a + F.col("_phi")[j] * value(j + 1), range(long), F.col("_c"))
+    else:
+        shock = F.lit(None).cast("double")
+    shocked = written_table(rows.select(*df.columns, value(0).alias("_w"), shock.alias("_e"), carried.alias("_carried")), "shocks")
+    reach = max([*ar_all, *ma_all, 1])
+    lagged = over_order(shocked, lambda w: {
+        **{f"_w{k}": F.lag("_w", k).over(w) for k in ar_all}, **{f"_e{k}": F.lag("_e", k).over(w) for k in ma_all}},
+        behind=reach, series_cols=keys)
+    names = [*(f"_w{k}" for k in ar_all), *(f"_e{k}" for k in ma_all), "_w"]
+    second = lagged.where(train).select(*keys, *names).dropna(subset=names)
+    fallback = [] if order else [(1, 1, 0, 0)]
+    models = written_table(_per_series(
+        moments(second, names, keys), keys,
+        "p int, q int, sp int, sq int, aic double, intercept double, ar array<double>, ma array<double>",
+        _best_order(ar_all, ma_all, [*orders, *fallback], period)), "arima")
+    picked = models.select(*keys, F.col("intercept").alias("_b"), F.col("ar").alias("_ar"), F.col("ma").alias("_ma"))
+    joined = join_keys(lagged, picked, keys, "left") if keys else lagged.join(F.broadcast(picked), how="left")  # one row
+    term = lambda c, x: F.when(c != 0, c * F.col(x)).otherwise(0.0)
+    terms = [term(F.col("_ar")[i], f"_w{k}") for i, k in enumerate(ar_all)] + [term(F.col("_ma")[i], f"_e{k}") for i, k in enumerate(ma_all)]
+    forecast = reduce(lambda a, t: a + t, terms, F.col("_b")) + F.col("_carried")
+    return joined.select(*df.columns, forecast.alias("prediction")), models
+
+
+def arima(df: DataFrame, train: Column, d: int = 0, col: str = "y", period: int = 0, seasonal_d: int = 0, **options) -> tuple[DataFrame, Arima]:
+    """``panel_arima`` of one series, and its model."""
+    scored, models = panel_arima(df, train, d, col, period=period, seasonal_d=seasonal_d, **options)
+    m = models.first()
+    if m is None:
+        raise ValueError("too few rows for the ARIMA benchmark, or no order that can be solved")
+    ar = tuple(k for k in [*range(1, m["p"] + 1), *([period] if m["sp"] else [])])
+    ma = tuple(k for k in [*range(1, m["q"] + 1), *([period] if m["sq"] else [])])
+    return scored, Arima((m["p"], d, m["q"]), (m["sp"], seasonal_d, m["sq"], period) if period else None, ar, ma, m["intercept"],
+                         tuple(x for x in m["ar"] if x), tuple(x for x in m["ma"] if x), m["aic"])
 
 
 def kmeans_benchmark(

@@ -119,6 +119,51 @@ def arima_benchmark(spark, sf):
     return _benchmark_row(scored, "arima_benchmark", spark, order=str(model.order))
 
 
+# Order 0 or 1 by AIC for every series, in closed form.
+_AR = f"""{PANEL}, placed AS (SELECT event_type, t_idx, y, lag(y) OVER (PARTITION BY event_type ORDER BY t_idx) AS x,
+    t_idx < floor(0.8 * count(*) OVER (PARTITION BY event_type)) AS train FROM panel),
+  sums AS (SELECT event_type, count(*) AS n, var_pop(y) AS vy, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m,
+    var_pop(y) - pow(covar_pop(x, y), 2) / var_pop(x) AS left_over FROM placed WHERE train AND x IS NOT NULL GROUP BY 1),
+  fits AS (SELECT *, n * ln(vy) + 2 AS aic0, n * ln(left_over) + 4 AS aic1 FROM sums)"""
+
+
+def _ar_panel(spark, sf, **options):
+    panel = event_panel(spark, sf).select("event_type", "t_idx", "y")
+    firsts = panel.groupBy("event_type").agg(F.floor(0.8 * (F.max("t_idx") + 1)).alias("first"))
+    marked = join_keys(panel, firsts, ["event_type"])
+    scored, models = benchmarks.panel_arima(marked, F.col("t_idx") < F.col("first"), series_cols=["event_type"], **options)
+    return scored.where(F.col("t_idx") >= F.col("first")), models
+
+
+@query("d5_arima_panel_models", f"""WITH {_AR} SELECT event_type, CASE WHEN aic1 < aic0 - 1e-9 THEN 1 ELSE 0 END AS p,
+  {r("least(aic0, aic1)", 5)} AS aic, CASE WHEN aic1 < aic0 - 1e-9 THEN {r("b")} ELSE 0.0 END AS coefficient FROM fits""")
+def arima_panel_models(spark, sf):
+    _, models = _ar_panel(spark, sf, max_p=1, max_q=0)
+    return models.select("event_type", "p", rounded("aic", 5).alias("aic"), rounded(F.col("ar")[0]).alias("coefficient"))
+
+
+@query("d5_ar1_panel_scores", f"""WITH {_AR}, p AS (SELECT event_type, y, a + b * x AS f FROM placed JOIN fits USING (event_type) WHERE NOT train)
+  SELECT event_type, count(*) AS n, {r("sqrt(avg(pow(y - f, 2)))")} AS rmse, {r("avg(abs(y - f))")} AS mae,
+    {r("1 - avg(pow(y - f, 2)) / var_pop(y)")} AS r2 FROM p GROUP BY 1""")
+def ar1_panel_scores(spark, sf):
+    scored, _ = _ar_panel(spark, sf, max_p=1, max_q=0, order=(1, 0))
+    found = metrics.evaluate(scored, ["event_type"])
+    return found.select("event_type", "n", *[rounded(c).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+@query("d5_arima_panel")
+def arima_panel(spark, sf):
+    """Every order with shocks, for every series."""
+    scored, models = _ar_panel(spark, sf)
+    return join_keys(rounded_metrics(metrics.evaluate(scored, ["event_type"])), models.select("event_type", "p", "q"), ["event_type"])
+
+
+@query("d14_seasonal_arima_panel")
+def seasonal_arima_panel(spark, sf):
+    scored, models = _ar_panel(spark, sf, period=24, seasonal_d=1, max_p=1, max_q=1)
+    return join_keys(rounded_metrics(metrics.evaluate(scored, ["event_type"])), models.select("event_type", "p", "q", "sp", "sq"), ["event_type"])
+
+
 @query("d6_kmeans_benchmark")
 def kmeans_benchmark(spark, sf):
     train, holdout, _ = parts(spark, sf)
