@@ -66,6 +66,27 @@ def expanding_folds(n: int, folds: int = FOLDS) -> list[Fold]:
     return [Fold(i, s - width, s, s + width) for i, s in enumerate(starts)]
 
 
+def panel_folds(df: DataFrame, series_cols: Sequence[str], folds: int = FOLDS, index: str = "t_idx") -> DataFrame:
+    """``fold, train_end, test_start, test_end`` of every series, by its own length; too short series have none."""
+    keys = list(series_cols)
+    n = df.groupBy(*keys).agg(F.floor((1 - HOLDOUT_SHARE) * (F.max(index) + 1)).alias("_n")).withColumn(
+        "_width", F.expr(f"_n div {folds + 2}")).where("_width > 0")
+    start = F.col("_n") - (folds - F.col("fold")) * F.col("_width")
+    return n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select(
+        *keys, "fold", (start - F.col("_width")).alias("train_end"), start.alias("test_start"), (start + F.col("_width")).alias("test_end"))
+
+
+def panel_fold_roles(df: DataFrame, series_cols: Sequence[str], folds: int = FOLDS, index: str = "t_idx") -> DataFrame:
+    """Like ``fold_roles``, every series by its own folds; bounds meet the rows as one array a series."""
+    keys = list(series_cols)
+    bounds = panel_folds(df, keys, folds, index).groupBy(*keys).agg(
+        F.collect_list(F.struct("fold", "train_end", "test_start", "test_end")).alias("_folds"))
+    role = lambda f: F.when(F.col(index) < f["train_end"], "train").when(
+        (F.col(index) >= f["test_start"]) & (F.col(index) < f["test_end"]), "test")
+    roles = F.transform("_folds", lambda f: F.struct(f["fold"].alias("fold"), role(f).alias("role")))
+    return join_keys(df, bounds, keys).select(*df.columns, F.inline(F.filter(roles, lambda x: x["role"].isNotNull())))
+
+
 def fold_roles(df: DataFrame, folds: Sequence[Fold], index: str = "t_idx") -> DataFrame:
     """Each row once per fold and role it plays."""
     roles = [

@@ -6,7 +6,7 @@ from math import floor
 
 from pyspark.sql import functions as F
 
-from tidecast.operators import benchmarks, evaluation, features as fx, metrics, profile, selection, smoothing, split, stattests, training
+from tidecast.operators import benchmarks, evaluation, features as fx, metrics, panel, profile, selection, smoothing, split, stattests, training
 from tidecast.operators.order import join_keys, over_order
 from tidecast.plans.inputs import (
     EV, PANEL, event_panel, event_series, r, rounded, seasonal_series, shared, table,
@@ -164,6 +164,52 @@ def seasonal_arima_panel(spark, sf):
     return join_keys(rounded_metrics(metrics.evaluate(scored, ["event_type"])), models.select("event_type", "p", "q", "sp", "sq"), ["event_type"])
 
 
+_PANEL_FOLDS = f"""{PANEL}, sized AS (SELECT *, CAST(floor(0.8 * count(*) OVER (PARTITION BY event_type)) AS BIGINT) AS n,
+    lag(y) OVER (PARTITION BY event_type ORDER BY t_idx) AS x FROM panel),
+  bounds AS (SELECT event_type, fold, n - (5 - fold) * (n // 7) - n // 7 AS train_end, n - (5 - fold) * (n // 7) AS test_start,
+    n - (4 - fold) * (n // 7) AS test_end FROM (SELECT DISTINCT event_type, n FROM sized), (SELECT unnest(range(5)) AS fold)),
+  roles AS (SELECT s.event_type, CAST(fold AS INTEGER) AS fold, CASE WHEN t_idx < train_end THEN 'train' ELSE 'test' END AS role, x, y
+    FROM sized s JOIN bounds b ON s.event_type = b.event_type AND (t_idx < train_end OR t_idx >= test_start AND t_idx < test_end))"""
+_PANEL_RIDGE = f"""{_PANEL_FOLDS}, penalties AS (SELECT unnest([0.0, 0.01, 0.1, 1.0])::DOUBLE AS penalty),
+  fits AS (SELECT event_type, fold, penalty, covar_pop(x, y) / (var_pop(x) * (1 + penalty)) AS b, avg(x) AS mx, avg(y) AS my
+    FROM roles, penalties WHERE role = 'train' AND x IS NOT NULL GROUP BY event_type, fold, penalty),
+  tested AS (SELECT r.event_type, r.fold, penalty, 1 - avg(pow(y - my - b * (x - mx), 2)) / var_pop(y) AS r2,
+    sqrt(avg(pow(y - my - b * (x - mx), 2))) AS rmse FROM roles r JOIN fits f ON r.event_type = f.event_type AND r.fold = f.fold
+    WHERE role = 'test' GROUP BY r.event_type, r.fold, penalty)"""
+
+
+def _lagged_panel(spark, sf):
+    return over_order(event_panel(spark, sf).select("event_type", "t_idx", "y"), lambda w: {"x": F.lag("y", 1).over(w)},
+                      behind=1, series_cols=["event_type"])
+
+
+@query("d3_panel_folds", f"""WITH {_PANEL_FOLDS} SELECT event_type, fold, role, count(*) AS n, {r("sum(y)", 3)} AS total FROM roles GROUP BY ALL""")
+def panel_folds(spark, sf):
+    roles = split.panel_fold_roles(event_panel(spark, sf).select("event_type", "t_idx", "y"), ["event_type"])
+    return roles.groupBy("event_type", "fold", "role").agg(F.count("*").alias("n"), rounded(F.sum("y"), 3).alias("total"))
+
+
+@query("d17_panel_folds", f"""WITH {_PANEL_RIDGE} SELECT event_type, fold, penalty, {r("r2")} AS r2, {r("rmse")} AS rmse FROM tested""")
+def panel_cross_validation(spark, sf):
+    found = panel.panel_ridge(_lagged_panel(spark, sf), ["x"], ["event_type"])
+    return found.select("event_type", F.inline("folds")).select(
+        "event_type", "fold", "penalty", rounded("r2").alias("r2"), rounded("rmse").alias("rmse"))
+
+
+@query("d16_panel_ridge", f"""WITH {_PANEL_RIDGE},
+  means AS (SELECT event_type, penalty, avg(r2) AS m, stddev_samp(r2) AS s FROM tested GROUP BY ALL),
+  best AS (SELECT * FROM means QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(m, 9) DESC, penalty) = 1),
+  final AS (SELECT event_type, covar_pop(x, y) / (var_pop(x) * (1 + penalty)) AS b, avg(x) AS mx, avg(y) AS my
+    FROM sized JOIN best USING (event_type) WHERE t_idx < n AND x IS NOT NULL GROUP BY event_type, penalty)
+  SELECT s.event_type, any_value(penalty) AS penalty, {r("any_value(m)")} AS cv_mean_r2, {r("any_value(s.s)")} AS cv_std_r2, {r("any_value(b)")} AS coefficient,
+    {r("1 - avg(pow(y - my - b * (x - mx), 2)) / var_pop(y)")} AS r2, {r("sqrt(avg(pow(y - my - b * (x - mx), 2)))")} AS rmse
+  FROM (SELECT * FROM sized JOIN best USING (event_type)) s JOIN final f ON s.event_type = f.event_type WHERE t_idx >= n GROUP BY s.event_type""")
+def panel_ridge(spark, sf):
+    found = panel.panel_ridge(_lagged_panel(spark, sf), ["x"], ["event_type"])
+    return found.select("event_type", "penalty", *[rounded(c).alias(c) for c in ("cv_mean_r2", "cv_std_r2", "r2", "rmse")],
+                        rounded(F.col("coefficients")[0]).alias("coefficient"))
+
+
 @query("d6_kmeans_benchmark")
 def kmeans_benchmark(spark, sf):
     train, holdout, _ = parts(spark, sf)
