@@ -140,7 +140,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeats(table(spark, sf, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 _CHAT_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
