@@ -72,6 +72,75 @@ def test_malformed_csv_keeps_every_line(spark, tmp_path):
         files.scan_csv(spark, str(tmp_path / "missing.csv"))
 
 
+def test_tree_attributions_equal_all_subsets(spark):
+    from itertools import combinations
+
+    from tidecast.operators import trees
+
+    x = [[RNG.random() for _ in range(4)] for _ in range(400)]
+    rows = [(i, *v, 3 * v[0] + (v[1] > 0.5) * v[2] - v[3] * v[0]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "t_idx long, a double, b double, c double, d double, y double")
+    names = ["a", "b", "c", "d"]
+    for family, params in (("random_forest", {"maxDepth": 5, "numTrees": 4}), ("gradient_boosting", {"maxDepth": 3, "maxIter": 3, "stepSize": 0.3})):
+        model = training.fit(training.CANDIDATES[family], df, names, params)
+        found = trees.leaves(model)
+
+        def worth(row, subset):
+            return sum(leaf.value * math.prod(
+                float(lo < row[f] <= hi) if f in subset else z for f, lo, hi, z in zip(leaf.features, leaf.low, leaf.high, leaf.share)) for leaf in found)
+        got = {}
+        for r in trees.tree_attributions(model, df.where("t_idx < 12"), names).collect():
+            got.setdefault(r["row_id"], {})[r["feature"]] = r["shap"]
+        predicted = {r["t_idx"]: r["prediction"] for r in model.transform(df.where("t_idx < 12")).collect()}
+        for i, row in enumerate(x[:12]):
+            for j, name in enumerate(names):
+                others = [k for k in range(4) if k != j]
+                exact = sum(math.factorial(n) * math.factorial(3 - n) / 24 * (worth(row, {*s, j}) - worth(row, s))
+                            for n in range(4) for s in map(set, combinations(others, n)))
+                assert got[i][name] == pytest.approx(exact, abs=1e-9)
+            assert sum(got[i].values()) == pytest.approx(predicted[i] - trees.base_value(found), abs=1e-9)
+    missing = trees.tree_attributions(model, df.where("t_idx < 3").withColumn("a", F.lit(None).cast("double")), names).collect()
+    assert len(missing) == 12 and all(math.isfinite(r["shap"]) for r in missing)
+
+
+def test_panel_ridge_against_single_series(spark):
+    from tidecast.operators import panel
+
+    rows = [(k, i, RNG.random(), RNG.random()) for k in ("a", "b", None) for i in range(200)]
+    rows = [(k, i, u, v, 1000.0 + (2 * u - v if k == "a" else v) + 0.1 * RNG.random()) for k, i, u, v in rows] + [("tiny", 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, t_idx long, u double, v double, y double")
+    found = {r["id"]: r for r in panel.panel_ridge(df, ["u", "v"], ["id"]).collect()}
+    assert found.keys() == {"a", "b", None} and found["a"]["penalty"] == 0.0 and found["a"]["r2"] > 0.95
+    assert found["a"]["coefficients"] == pytest.approx([2, -1], abs=0.1) and found["b"]["coefficients"][0] == pytest.approx(0, abs=0.1)
+    mine = np.array([r[2:] for r in rows if r[0] == "a" and r[1] < 160])
+    fit = np.linalg.lstsq(np.column_stack([np.ones(160), mine[:, :2]]), mine[:, 2], rcond=None)[0]
+    assert [found["a"]["intercept"], *found["a"]["coefficients"]] == pytest.approx(fit.tolist(), abs=1e-6)
+    models = panel.panel_ridge(df, ["u", "v"], ["id"])
+    scored = panel.panel_predictions(df.where("id = 'a' and t_idx >= 160"), models, ["u", "v"], ["id"])
+    assert metrics.evaluate(scored, ()).first()["r2"] == pytest.approx(found["a"]["r2"], abs=1e-6)
+
+
+def test_forecast_with_known_sources(spark):
+    from tidecast.operators import features as fx, inference
+
+    rows = [("a", i, 1.0 * i, float(i % 3)) for i in range(10)] + [("b", i, 5.0, 2.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "id string, t_idx long, y double, x double").selectExpr(
+        "id", "t_idx", "y", "x", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(t_idx as int) * 60) as t")
+    plan = [*fx.lag_features("y", [1]), *fx.lag_features("x", [1], "x", "source")]
+    model = inference.FixedLinear(("y_lag_1", "x_lag_1"), (0.5, 1.0), 0.0)
+    ahead = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", 3, None)], "id string, step int, x double")
+    got = {(r["id"], r["step"]): r["forecasted_value"] for r in inference.forecast_recursive(
+        model, df, plan, 5, 60, ["id"], ["x"], ahead).collect()}
+    want, y, x = {}, 9.0, 0.0
+    for step, known in enumerate([10.0, 20.0, 20.0, 20.0, 20.0], 1):
+        y = 0.5 * y + x
+        want["a", step], x = y, known
+    y = 5.0
+    for step in range(1, 6):
+        y = want["b", step] = 0.5 * y + 2.0
+    assert got == pytest.approx(want)
+
+
 def test_periods_nobody_named(spark):
     from tidecast.operators import periods
 

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from random import Random
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.functions.names import long_form
 from tidecast.operators.features import Feature, build
 from tidecast.operators.order import join_keys, over_order
-from tidecast.storage import written_table
+from tidecast.storage import scratch_path, written_table
 
 TOP = 15
 BENCHMARKS = ["arima_benchmark", "kmeans_benchmark", "naive_persistence"]
 _WRITE_EVERY = 10
+_RING_STEPS = 2
 
 
 def dot(weights: Sequence[float], cols: Sequence[Column | str], intercept: float) -> Column:
@@ -110,47 +113,73 @@ def forecast_roll(
     )
 
 
+@dataclass(frozen=True)
+class FixedLinear:
+    """A linear model with given weights, for ``transform`` like a fitted one."""
+
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", dot(self.weights, self.features, self.intercept))
+
+
 def forecast_recursive(
-    model: PipelineModel,
+    model: PipelineModel | FixedLinear,
     df: DataFrame,
     plan: Sequence[Feature],
     k: int,
     step_seconds: int,
     series_cols: Sequence[str] = (),
+    sources: Sequence[str] = (),
+    future: DataFrame | None = None,
 ) -> DataFrame:
     """k steps of any model with its features rebuilt from the predictions so far.
 
-    Only the rows the longest look-back needs are kept per series and all series
-    advance together.  Each step reads the rows so far twice, so every second
-    step is written out to keep the plan short.
+    ``future`` has what is known ahead of the ``sources``: series columns,
+    ``step`` (from 1) and any of the sources, one row a series and step.  A
+    source, or a value of it, that is not known ahead keeps its last value.
+
+    All series advance together on a ring of the rows that the longest look-back
+    needs.  Each step reads the ring twice, so every second step is written out;
+    what is read and written grows with k, not with its square.
     """
-    keys = list(series_cols)
-    reach = max(max((f.farthest for f in plan), default=1), 1)
+    spark, keys, sources = df.sparkSession, list(series_cols), list(sources)
+    reach = max(max((f.farthest for f in plan), default=1), _RING_STEPS)
     ends = df.groupBy(*keys).agg(F.max("t_idx").alias("_end"))
     if keys:
         recent = join_keys(df, ends, keys).where(F.col("t_idx") > F.col("_end") - reach)
     else:
         end = F.lit(ends.first()[0])
         recent = df.where(F.col("t_idx") > end - reach).withColumn("_end", end)
-    tail = written_table(
-        recent.select(*keys, "t", "y", "t_idx", (F.col("t_idx") - F.col("_end")).alias("_step")), "tail"
-    )
+    ring = written_table(recent.select(
+        *keys, "t", "y", "t_idx", *sources, (F.col("t_idx") - F.col("_end")).alias("_step")), "ring")
+    known = [s for s in sources if future is not None and s in future.columns]
+    if known:
+        future = written_table(future.select(*keys, F.col("step").cast("long").alias("_step"), *[F.col(s).alias(f"_next_{s}") for s in known]), "future")
+    paths = []
     for i in range(1, k + 1):
-        following = tail.where(F.col("_step") == i - 1).select(
+        following = ring.where(F.col("_step") == i - 1).select(
             *keys, (F.col("t") + F.make_dt_interval(secs=F.lit(step_seconds))).alias("t"),
-            F.lit(None).cast("double").alias("y"), (F.col("t_idx") + 1).alias("t_idx"), F.lit(i).alias("_step"),
+            F.lit(None).cast("double").alias("y"), (F.col("t_idx") + 1).alias("t_idx"), *sources, F.lit(i).cast("long").alias("_step"),
         )
-        window_rows = tail.where(F.col("_step") > i - 1 - reach).unionByName(following)
-        built = build(window_rows, plan, keys).where(F.col("_step") == i)
-        predicted = model.transform(built).select(
-            *keys, "t", F.col("prediction").alias("y"), "t_idx", "_step"
-        )
-        tail = tail.unionByName(predicted)
-        if i % 2 == 0 or i == k:
-            tail = written_table(tail, "forecast")
-    return tail.where("_step > 0").select(
-        *keys, F.col("_step").cast("int").alias("step"), F.col("y").alias("forecasted_value")
-    )
+        if known:
+            following = join_keys(following, future.where(F.col("_step") == i), [*keys, "_step"], "left").withColumns(
+                {s: F.coalesce(f"_next_{s}", s) for s in known}).drop(*[f"_next_{s}" for s in known])
+        built = build(ring.unionByName(following), plan, keys).where(F.col("_step") == i)
+        predicted = model.transform(built).select(*keys, "t", F.col("prediction").alias("y"), "t_idx", *sources, "_step")
+        ring = ring.where(F.col("_step") > i - reach).unionByName(predicted)
+        if i % _RING_STEPS == 0 or i == k:
+            paths.append(scratch_path(spark, "ring"))
+            fresh = F.col("_step") > max(i - (i % _RING_STEPS or _RING_STEPS), 0)
+            ring.withColumn("_fresh", fresh).write.parquet(paths[-1])
+            ring = spark.read.schema(ring.schema).parquet(paths[-1])
+    if not paths:
+        return ring.where("_step > 0").select(*keys, F.col("_step").cast("int").alias("step"), F.col("y").alias("forecasted_value"))
+    written = T.StructType([*ring.schema.fields, T.StructField("_fresh", T.BooleanType())])
+    return spark.read.schema(written).parquet(*paths).where("_fresh").select(
+        *keys, F.col("_step").cast("int").alias("step"), F.col("y").alias("forecasted_value"))
 
 
 def forecast_summary(forecast: DataFrame, historical_mean: float) -> DataFrame:

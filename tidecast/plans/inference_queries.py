@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.operators import features as fx, inference, metrics, package, selection, split, training
-from tidecast.plans.inputs import EV, PANEL, event_panel, event_series, r, rounded, table
+from tidecast.operators import features as fx, inference, metrics, package, selection, split, training, trees
+from tidecast.operators.order import dense_index, join_keys
+from tidecast.plans.inputs import EV, PANEL, SEAS, event_panel, event_series, r, rounded, table
 from tidecast.plans.model_queries import (
     FEATURES, HOLD, RUNS, _FLAGS, _SCORED, _runs, candidates, parts, run_metrics,
 )
@@ -65,6 +66,30 @@ def forecast_roll(spark, sf):
     return out.select("event_type", "step", rounded("forecasted_value").alias("forecasted_value"))
 
 
+@query("g2_forecast_with_sources", """WITH RECURSIVE panel AS (SELECT event_type, value AS y, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t_idx FROM events),
+  ends AS (SELECT event_type, max(t_idx) AS e FROM panel GROUP BY 1),
+  ahead AS (SELECT p.event_type, t_idx - e + 40 AS step, x FROM panel p JOIN ends USING (event_type) WHERE t_idx - e + 40 BETWEEN 1 AND 8),
+  last AS (SELECT p.event_type, list(y ORDER BY t_idx) AS ys, max_by(x, t_idx) AS x FROM panel p JOIN ends USING (event_type)
+    WHERE t_idx > e - 3 GROUP BY 1),
+  f(event_type, step, ys, x) AS (SELECT event_type, 0::BIGINT, ys, x FROM last
+    UNION ALL SELECT f.event_type, f.step + 1, [ys[2], ys[3], 1.0::DOUBLE + 0.4::DOUBLE * ys[3] + 0.2::DOUBLE * ys[1] + 0.5::DOUBLE * f.x],
+      coalesce(a.x, f.x) FROM f LEFT JOIN ahead a ON a.event_type = f.event_type AND a.step = f.step + 1 WHERE f.step < 12)
+  SELECT event_type, CAST(step AS INTEGER) AS step, """ + r("ys[3]") + """ AS forecasted_value FROM f WHERE step > 0""")
+def forecast_with_sources(spark, sf):
+    """12 steps of a linear model that also sees a source: known for 8 steps, then kept."""
+    events = table(spark, sf, "events").select(
+        "event_type", "event_id", F.col("ts").alias("t"), F.col("value").alias("y"), F.get_json_object("props", "$.k").cast("double").alias("x"))
+    panel = dense_index(events, ["t", "event_id"], ["event_type"])
+    ends = panel.groupBy("event_type").agg(F.max("t_idx").alias("e"))
+    step = F.col("t_idx") - F.col("e") + 40
+    ahead = join_keys(panel, ends, ["event_type"]).where(step.between(1, 8)).select("event_type", step.alias("step"), "x")
+    plan = [*fx.lag_features("y", [1, 3]), *fx.lag_features("x", [1], "x", "source")]
+    model = inference.FixedLinear(("y_lag_1", "y_lag_3", "x_lag_1"), (0.4, 0.2, 0.5), 1.0)
+    out = inference.forecast_recursive(model, panel, plan, 12, 3600, ["event_type"], ["x"], ahead)
+    return out.select("event_type", "step", rounded("forecasted_value").alias("forecasted_value"))
+
+
 @query("g2_forecast_forest")
 def forecast_forest(spark, sf):
     """Twelve steps of a forest with lags and rolling means rebuilt at every step, all series at once."""
@@ -143,6 +168,44 @@ def sampled_attributions(spark, sf):
     return found.withColumn("shap", rounded("shap"))
 
 
+_TREE_NAMES = ["y_lag_1", "y_lag_7", "sin_1", "cos_1"]
+
+
+def _explained(spark, sf, family, params):
+    train, holdout, _ = parts(spark, sf)
+    model = training.fit(training.CANDIDATES[family], train, _TREE_NAMES, params)
+    return model, holdout, trees.tree_attributions(model, holdout, _TREE_NAMES)
+
+
+@query("g5_tree_attributions")
+def tree_attributions(spark, sf):
+    """Exact attributions of a forest for every holdout row."""
+    _, _, found = _explained(spark, sf, "random_forest", {"maxDepth": 5, "numTrees": 10})
+    return found.withColumn("shap", rounded("shap"))
+
+
+@query("g5_tree_attributions_add_up", f"""WITH {SEAS}, w AS (SELECT * FROM (SELECT t_idx, row_number() OVER (ORDER BY t_idx) - 1 AS i,
+    lag(y, 1) OVER (ORDER BY t_idx) AS y_lag_1, lag(y, 7) OVER (ORDER BY t_idx) AS y_lag_7 FROM seas) WHERE t_idx >= 14),
+  h AS (SELECT * FROM w WHERE t_idx >= (SELECT floor(0.8 * (max(t_idx) + 1)) FROM w))
+  SELECT family, count(*) AS rows_explained, {r("avg(y_lag_1)")} AS mean_lag_1, {r("avg(y_lag_7)")} AS mean_lag_7, 0::BIGINT AS rows_off
+  FROM h, (SELECT unnest(['random_forest', 'gradient_boosting']) AS family) GROUP BY family""")
+def tree_attributions_add_up(spark, sf):
+    """Per row the attributions and the base value give the prediction."""
+    out = None
+    for family, params in (("random_forest", {"maxDepth": 5, "numTrees": 10}), ("gradient_boosting", {"maxDepth": 3, "maxIter": 5, "stepSize": 0.2})):
+        model, holdout, found = _explained(spark, sf, family, params)
+        base = trees.base_value(trees.leaves(model))
+        summed = found.groupBy("row_id").agg(F.sum("shap").alias("shap"), *[
+            F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in ("y_lag_1", "y_lag_7")])
+        both = model.transform(holdout).select(F.col("t_idx").alias("row_id"), "prediction").join(summed, "row_id", "left")
+        off = F.abs(F.col("prediction") - F.col("shap") - F.lit(base)) > 1e-9
+        one = both.agg(F.count("*").alias("rows_explained"), rounded(F.avg("y_lag_1")).alias("mean_lag_1"),
+                       rounded(F.avg("y_lag_7")).alias("mean_lag_7"), F.count_if(F.coalesce(off, F.lit(True))).alias("rows_off"))
+        one = one.withColumn("family", F.lit(family))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("g6_attribution_ranking", f"""WITH {_SHAP} SELECT feature, {r("avg(abs(shap))")} AS mean_shap FROM shap GROUP BY feature
   ORDER BY mean_shap DESC LIMIT 15""")
 def attribution_ranking(spark, sf):
