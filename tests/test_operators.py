@@ -141,6 +141,23 @@ def test_forecast_with_known_sources(spark):
     assert got == pytest.approx(want)
 
 
+def test_targets_without_values_and_holed_columns(spark):
+    from tidecast.operators import cleanse, features as fx
+
+    df = spark.createDataFrame([("a", i, float("nan") if i % 4 == 0 else None if i % 4 == 1 else float(i)) for i in range(40)] + [("b", 0, None)],
+                               "id string, t_idx long, y double")
+    empty = fx.target_distribution(df.where("id = 'b'"), "y").first()
+    assert empty["mean"] is None and empty["outlier_fraction"] is None and empty["tree_model_suitable"] == "not suitable"
+    known = [float(i) for i in range(40) if i % 4 > 1]
+    assert fx.target_distribution(df, "y").first()["mean"] == pytest.approx(np.mean(known))
+    report = cleanse.outlier_report(df, ["y"]).first()
+    assert (report["outliers"], report["values"]) == (0, 20)
+    filled = cleanse.fill_nulls(df, "y", "mean", series_cols=["id"], fitted_on=F.col("t_idx") < 20).collect()
+    assert {r["y"] for r in filled if r["id"] == "a" and r["t_idx"] % 4 < 2} == {np.mean([v for v in known if v < 20])}
+    assert [r["y"] for r in filled if r["id"] == "b"] == [None]
+    assert cleanse.fill_nulls(df, "y", "drop").count() == 20
+
+
 def test_periods_nobody_named(spark):
     from tidecast.operators import periods
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.operators.order import last_known
+from tidecast.operators.order import join_keys, last_known
 from tidecast.operators.quantiles import exact_quantiles
 
 # Types tried in this order.
@@ -78,8 +78,13 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def known(col: str) -> Column:
+    """The column as a number, NaN as null."""
+    return F.nullif(F.col(col).cast("double"), F.lit(float("nan")))
+
+
 def outlier_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Values beyond 1.5 interquartile ranges from the quartiles."""
+    """Values beyond 1.5 interquartile ranges from the quartiles; NaN counts as null."""
     quartiles = exact_quantiles(df, cols, [0.25, 0.75])
     counts = {}
     for c in cols:
@@ -88,14 +93,14 @@ def outlier_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             counts[c] = (F.lit(None), F.lit(None), F.lit(0))
             continue
         low, high = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)
-        counts[c] = (F.lit(low), F.lit(high), F.count_if((F.col(c) < low) | (F.col(c) > high)))
+        counts[c] = (F.lit(low), F.lit(high), F.count_if((known(c) < low) | (known(c) > high)))
     wide = df.agg(*[
         F.struct(
             F.lit(c).alias("column"),
             lo.cast("double").alias("low_fence"),
             hi.cast("double").alias("high_fence"),
             n.cast("bigint").alias("outliers"),
-            F.count(c).alias("values"),
+            F.count(known(c)).alias("values"),
         ).alias(c)
         for c, (lo, hi, n) in counts.items()
     ])
@@ -181,16 +186,26 @@ def fill_nulls(
     out: str | None = None,
     series_cols: Sequence[str] = (),
     index: str = "t_idx",
+    fitted_on: Column | None = None,
 ) -> DataFrame:
-    """Treat nulls of one column: ``drop``, ``constant``, ``mean`` or ``forward``."""
+    """Treat nulls of one column: ``drop``, ``constant``, ``mean`` or ``forward``; NaN counts as null.
+
+    The mean is each series' own, over the rows that meet ``fitted_on`` (such as
+    the training rows); a series without a value there keeps its nulls.
+    """
     out = out or col
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        df = df.withColumn(col, F.nullif(F.col(col), F.lit(float("nan"))))
     if how == "drop":
         return df.where(F.col(col).isNotNull()).withColumn(out, F.col(col))
     if how == "constant":
         return df.withColumn(out, F.coalesce(F.col(col), F.lit(value)))
     if how == "mean":
-        mean = df.agg(F.avg(col)).first()[0]
-        return df.withColumn(out, F.coalesce(F.col(col), F.lit(mean)))
+        fitted = df if fitted_on is None else df.where(fitted_on)
+        if not series_cols:
+            return df.withColumn(out, F.coalesce(F.col(col), F.lit(fitted.agg(F.avg(col)).first()[0])))
+        means = fitted.groupBy(*series_cols).agg(F.avg(col).alias("_mean"))
+        return join_keys(df, means, series_cols, "left").withColumn(out, F.coalesce(F.col(col), F.col("_mean"))).drop("_mean")
     if how == "forward":
         return last_known(df, col, out, series_cols, index)
     raise ValueError(f"unknown null treatment {how}")

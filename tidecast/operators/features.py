@@ -337,16 +337,21 @@ def scaling_metadata(df: DataFrame, target: str, models: Sequence[str]) -> DataF
 
 
 def target_distribution(df: DataFrame, col: str) -> DataFrame:
-    """Moments, quartile range and how well the target suits tree models."""
+    """Moments, quartile range and how well the target suits tree models.
+
+    NaN counts as null; a target without values has null statistics and is not
+    suitable.
+    """
     from tidecast.operators.quantiles import exact_quantiles
 
     q1, q3 = exact_quantiles(df, [col], [0.25, 0.75])[col]
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    known = F.nullif(F.col(col).cast("double"), F.lit(float("nan")))
+    outside = F.lit(None) if q1 is None else (known < q1 - 1.5 * (q3 - q1)) | (known > q3 + 1.5 * (q3 - q1))
     stats = df.agg(
-        F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"),
-        F.stddev_samp(col).alias("std"), F.skewness(col).alias("skewness"), F.kurtosis(col).alias("kurtosis"),
-        F.lit(q3 - q1).alias("iqr"),
-        F.avg(((F.col(col) < low) | (F.col(col) > high)).cast("double")).alias("outlier_fraction"),
+        F.min(known).alias("min"), F.max(known).alias("max"), F.avg(known).alias("mean"),
+        F.stddev_samp(known).alias("std"), F.skewness(known).alias("skewness"), F.kurtosis(known).alias("kurtosis"),
+        F.lit(None if q1 is None else q3 - q1).cast("double").alias("iqr"),
+        F.avg(outside.cast("double")).alias("outlier_fraction"),
     ).withColumn("cv", F.try_divide(F.col("std"), F.abs("mean")))
     good = reduce(lambda a, b: a + b, [
         F.coalesce(c, F.lit(False)).cast("int")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import inf, nan, nextafter
+from collections.abc import Iterator, Sequence
+from math import inf, log, nan, nextafter
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +21,7 @@ from tidecast.storage import spread_out
 
 BINS = 8
 NOISE_COLUMNS = 5
+FAR, LEAST_SPREAD = 3.0, 0.05
 
 
 def bin_edges(df: DataFrame, cols: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
@@ -37,12 +42,57 @@ def with_bins(df: DataFrame, edges: dict[str, Sequence[float]], prefix: str = "_
     return binned.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}").cast("int") for c in edges})
 
 
-def _information(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mutual information per key from (key, xbin, ybin) rows.
+def joint_counts(
+    binned: DataFrame, columns: dict[object, str], target: str, label: str, bins: int = BINS, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``keys, label, xbin, ybin, n`` of bin columns against the target's, nulls left out.
 
-    Only bin counters are shuffled: at most bins squared per key.
+    ``columns`` maps labels to bin columns.  Every batch is counted in one array
+    a column, so what leaves a task are counters, not a row for each row and
+    column.
     """
-    joint = pairs.groupBy(*keys, "xbin", "ybin").agg(F.count("*").alias("n"))
+    keys, labels = list(keys), list(columns)
+    wide, size = [*columns.values(), target], bins * bins
+    types = {f.name: f.dataType.simpleString() for f in binned.schema.fields}
+    kind = "string" if isinstance(labels[0], str) else "int"
+    names = [*keys, label, "xbin", "ybin", "n"]
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"{label} {kind}", "xbin int, ybin int, n bigint"])
+
+    def counted(batch: pa.RecordBatch, group: np.ndarray, groups: int) -> np.ndarray:
+        codes = [pc.fill_null(batch.column(len(keys) + i), -1).to_numpy() for i in range(len(wide))]
+        y, out = codes[-1], np.zeros((groups, len(labels), size), np.int64)
+        for i, x in enumerate(codes[:-1]):
+            both = (x >= 0) & (y >= 0)
+            cell = (group[both] * bins + x[both]) * bins + y[both]
+            out[:, i] = np.bincount(cell, minlength=groups * size).reshape(groups, size)
+        return out
+
+    def table(counts: np.ndarray, own: list[pa.Array]) -> pa.RecordBatch:
+        g, i, cell = np.nonzero(counts)
+        place = pa.array(g)
+        return pa.RecordBatch.from_arrays([
+            *(k.take(place) for k in own), pa.array([labels[j] for j in i], pa.string() if kind == "string" else pa.int32()),
+            pa.array((cell // bins).astype(np.int32)), pa.array((cell % bins).astype(np.int32)), pa.array(counts[g, i, cell])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros((1, len(labels), size), np.int64)
+        for batch in batches:
+            if not keys:
+                whole += counted(batch, np.zeros(batch.num_rows, np.int64), 1)
+            elif batch.num_rows:
+                series = pd.DataFrame({k: batch.column(i).to_pandas() for i, k in enumerate(keys)}).groupby(keys, sort=False, dropna=False)
+                group = series.ngroup().to_numpy()
+                firsts = pa.array(np.unique(group, return_index=True)[1])
+                yield table(counted(batch, group, len(firsts)), [batch.column(i).take(firsts) for i in range(len(keys))])
+        if not keys:
+            yield table(whole, [])
+
+    return binned.select(*keys, *wide).mapInArrow(run, schema)
+
+
+def _information(joint: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mutual information per key from counters of (key, xbin, ybin): at most bins squared per key."""
+    joint = joint.groupBy(*keys, "xbin", "ybin").agg(F.sum("n").alias("n"))
     share = joint.select(
         *keys,
         (F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).alias("p"),
@@ -66,12 +116,8 @@ def mutual_information(
     known = dict(known_edges or {})
     asked = [c for c in dict.fromkeys([*features, target]) if c not in known]
     edges = {**(bin_edges(df, asked, bins) if asked else {}), **known}
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"_bin_{f}").alias("xbin"), F.col(f"_bin_{target}").alias("ybin"))
-        for f in features
-    ])
-    rows = with_bins(df, edges).select(F.inline(pairs)).where("xbin is not null and ybin is not null")
-    return _information(rows, ["feature"])
+    binned, columns = with_bins(df, edges), {f: f"_bin_{f}" for f in dict.fromkeys(features)}
+    return _information(joint_counts(binned, columns, f"_bin_{target}", "feature", bins), ["feature"])
 
 
 def with_noise(df: DataFrame, key: Column, count: int = NOISE_COLUMNS) -> tuple[DataFrame, list[str]]:
@@ -112,6 +158,22 @@ def information_ranking(
     return ranking, baseline
 
 
+def anomalous_information(df: DataFrame, features: Sequence[str], target: str, bins: int = BINS) -> DataFrame:
+    """``feature, mi, fence, leakage_suspect``: features that tell far more of the target than the others do.
+
+    The fence is the upper quartile of all scores and ``FAR`` times the spread
+    between the quartiles (interpolated; at least ``LEAST_SPREAD`` of the
+    information a copy would have), so a few leaks do not move it.  A map of
+    the target is found whatever its shape, also where the correlation is 0.
+    """
+    found = {r["feature"]: r["mi"] for r in mutual_information(df, features, target, bins).collect()}  # one row a column
+    scores = [max(found.get(f) or 0.0, 0.0) for f in features]
+    q1, q3 = np.percentile(scores, [25, 75]) if scores else (0.0, 0.0)
+    fence = float(q3 + FAR * max(q3 - q1, LEAST_SPREAD * log(bins)))
+    rows = [(f, s, fence, s > fence) for f, s in zip(features, scores)]
+    return df.sparkSession.createDataFrame(rows, "feature string, mi double, fence double, leakage_suspect boolean")
+
+
 def lag_information(
     df: DataFrame, col: str, max_lag: int = 48, series_cols: Sequence[str] = (), bins: int = BINS
 ) -> DataFrame:
@@ -130,13 +192,8 @@ def lag_information(
         behind=max_lag,
         series_cols=series_cols,
     )
-    pairs = F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.col(f"b{k}").alias("xbin")) for k in range(1, max_lag + 1)
-    ])
-    rows = lagged.select(*series_cols, "ybin", F.inline(pairs)).where(
-        "xbin is not null and ybin is not null"
-    )
-    return _information(rows, [*series_cols, "lag"]).withColumnRenamed("mi", "mutual_information")
+    counts = joint_counts(lagged, {k: f"b{k}" for k in range(1, max_lag + 1)}, "ybin", "lag", bins, series_cols)
+    return _information(counts, [*series_cols, "lag"]).withColumnRenamed("mi", "mutual_information")
 
 
 def first_local_minimum(curve: DataFrame, value: str = "mutual_information", search: int = 20,

@@ -159,6 +159,26 @@ def mutual_information(spark, sf):
     return ranking.withColumn("mi_score", rounded("mi_score"))
 
 
+_FOLD_FEATURES = ["discount", "tax", "line", "supplier", "folded"]
+_FOLDED = """folded_rows AS (SELECT l_extendedprice AS y, l_discount AS discount, l_tax AS tax, l_linenumber::DOUBLE AS line,
+    l_suppkey::DOUBLE AS supplier, pow(l_extendedprice - 40000, 2) AS folded FROM lineitem)"""
+
+
+@query("b5_anomalous_information", f"""WITH {_FOLDED}, scores AS {_mi(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {_binned(c, 'folded_rows')} AS xbin, {_binned('y', 'folded_rows')} AS ybin FROM folded_rows" for c in _FOLD_FEATURES),
+    "feature")},
+  fence AS (SELECT quantile_cont(mi, 0.75) + 3 * greatest(quantile_cont(mi, 0.75) - quantile_cont(mi, 0.25), 0.05 * ln(8)) AS fence FROM scores)
+  SELECT feature, {r("mi")} AS mi, {r("fence")} AS fence, mi > fence AS leakage_suspect FROM scores, fence""")
+def anomalous_information(spark, sf):
+    """A folded copy of the target: much information, little correlation."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
+        F.col("l_linenumber").cast("double").alias("line"), F.col("l_suppkey").cast("double").alias("supplier"),
+        F.pow(F.col("l_extendedprice") - 40000, F.lit(2.0)).alias("folded"))
+    found = information.anomalous_information(rows, _FOLD_FEATURES, "y")
+    return found.withColumns({c: rounded(c) for c in ("mi", "fence")})
+
+
 @query("b7_noise_baseline", f"""WITH {_RANKED} SELECT {r("avg(mi)")} AS noise_mi_baseline
   FROM mi WHERE feature LIKE 'noise%'""")
 def noise_baseline(spark, sf):

@@ -167,25 +167,36 @@ def fourier(spark, sf):
     return built.select("event_id", *[rounded(f.name).alias(f.name) for f in waves])
 
 
-@query("c7_target_distribution", f"""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
-  m AS (SELECT avg(value) AS mu, var_pop(value) AS v FROM events),
+def _distribution_sql(src: str) -> str:
+    return f"""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {src}),
+  m AS (SELECT avg(value) AS mu, var_pop(value) AS v FROM {src}),
   s AS (SELECT min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_samp(value) AS std,
     avg(pow(value - mu, 3)) / pow(any_value(v), 1.5) AS skewness, kurtosis_pop(value) AS kurtosis,
     any_value(q3 - q1) AS iqr,
     avg(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END) AS outlier_fraction
-    FROM events, q, m),
+    FROM {src}, q, m),
   c AS (SELECT *, std / abs(mean) AS cv FROM s)
   SELECT {", ".join(r(c) + f" AS {c}" for c in ("min", "max", "mean", "std", "skewness", "kurtosis", "iqr",
                                                 "outlier_fraction", "cv"))},
     CASE WHEN cv > 3 THEN 'not suitable'
       WHEN (outlier_fraction < 0.05)::INT + (cv < 1)::INT + (abs(skewness) < 1)::INT = 3 THEN 'yes'
       WHEN (outlier_fraction < 0.05)::INT + (cv < 1)::INT + (abs(skewness) < 1)::INT >= 1 THEN 'conditional'
-      ELSE 'not suitable' END AS tree_model_suitable FROM c""")
+      ELSE 'not suitable' END AS tree_model_suitable FROM c"""
+
+
+@query("c7_target_distribution", _distribution_sql("events"))
 def target_distribution(spark, sf):
     stats = fx.target_distribution(table(spark, sf, "events"), "value")
     return stats.withColumns({c: rounded(c) for c in stats.columns if c != "tree_model_suitable"})
 
 
+@query("c7_target_with_nan", _distribution_sql("(SELECT value FROM events WHERE event_id % 13 != 0 AND event_id % 17 != 0)"))
+def target_with_nan(spark, sf):
+    value = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).when(F.col("event_id") % 17 != 0, F.col("value"))
+    stats = fx.target_distribution(table(spark, sf, "events").select(value.alias("value")), "value")
+    return stats.withColumns({c: rounded(c) for c in stats.columns if c != "tree_model_suitable"})
+
+
 @query("c8_automatic_delay", f"""WITH {SEAS}, {_lag_mi('seas', 20)}, n AS (
     SELECT lag, v, lag(v) OVER (ORDER BY lag) AS b, lead(v) OVER (ORDER BY lag) AS a
     FROM (SELECT lag, round(mi, 9) AS v FROM mi))

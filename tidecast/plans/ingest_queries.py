@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from tidecast.functions.names import rename_normalised
 from tidecast.operators import cleanse, split
-from tidecast.plans.inputs import DAYS, EV, daily_revenue, event_series, r, rounded, table
+from tidecast.operators.order import join_keys
+from tidecast.plans.inputs import DAYS, EV, PANEL, daily_revenue, event_panel, event_series, r, rounded, table
 from tidecast.plans.registry import query
 from tidecast.sources import files
 from tidecast.storage import scratch_path
@@ -188,6 +189,32 @@ def outliers(spark, sf):
     return both.withColumns({c: rounded(c) for c in ("low_fence", "high_fence")})
 
 
+_HOLED = "(SELECT CASE WHEN event_id % 13 != 0 AND event_id % 17 != 0 THEN value END AS value, NULL::DOUBLE AS nothing FROM events)"
+
+
+@query("a7_outliers_with_nan", f"""{_outlier_sql(_HOLED, ["value"])}
+  UNION ALL SELECT 'nothing', NULL, NULL, 0::BIGINT, 0::BIGINT FROM (SELECT count(*) FROM events)""")
+def outliers_with_nan(spark, sf):
+    """Some values NaN, some null, and a column of NaN alone."""
+    value = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).when(F.col("event_id") % 17 != 0, F.col("value"))
+    holed = table(spark, sf, "events").select(value.alias("value"), F.lit(float("nan")).alias("nothing"))
+    found = cleanse.outlier_report(holed, ["value", "nothing"])
+    return found.withColumns({c: rounded(c) for c in ("low_fence", "high_fence")})
+
+
+@query("a11_mean_of_training_rows", f"""WITH {PANEL}, g AS (SELECT *, CASE WHEN event_id % 5 != 0 THEN y END AS v,
+    t_idx < floor(0.8 * count(*) OVER (PARTITION BY event_type)) AS train FROM panel)
+  SELECT event_type, event_id, {r("coalesce(v, avg(v) FILTER (train) OVER (PARTITION BY event_type))")} AS y FROM g""")
+def mean_of_training_rows(spark, sf):
+    """A fifth of the values missing (some as NaN), each filled with its own series' mean before the holdout."""
+    panel = event_panel(spark, sf)
+    firsts = panel.groupBy("event_type").agg(F.floor(0.8 * (F.max("t_idx") + 1)).alias("first"))
+    holed = F.when(F.col("event_id") % 5 != 0, F.col("y")).when(F.col("event_id") % 10 == 0, F.lit(float("nan")))
+    marked = join_keys(panel, firsts, ["event_type"]).withColumn("y", holed)
+    filled = cleanse.fill_nulls(marked, "y", "mean", series_cols=["event_type"], fitted_on=F.col("t_idx") < F.col("first"))
+    return filled.select("event_type", "event_id", rounded("y").alias("y"))
+
+
 @query("a8_time_column", f"""
   SELECT 'day' AS "column", 1.0::DOUBLE AS time_share,
          {r("count(DISTINCT date_trunc('day', ts)) / count(*)")} AS distinct_ratio, false AS chosen FROM events
