@@ -158,6 +158,34 @@ def test_targets_without_values_and_holed_columns(spark):
     assert cleanse.fill_nulls(df, "y", "drop").count() == 20
 
 
+def test_runs_show_up_whole_or_not_at_all(spark, tmp_path):
+    from tidecast.operators import runs
+
+    folder = str(tmp_path)
+    assert runs.stored_runs(spark, folder).count() == 0
+    run = runs.StoredRun(spark, folder, "one")
+    kept = run.keep(spark.range(10).withColumn("y", F.when(F.col("id") > 2, F.col("id"))), "known", F.col("y") > 4, "small or unknown")
+    assert run.store("rows", kept).count() == 5
+    with pytest.raises(ValueError, match="already"):
+        run.store("rows", kept)
+    with pytest.raises(ValueError, match="no finished run"):
+        runs.load_table(spark, folder, "one", "rows")
+    run.finish(model=None, r2=0.5)
+    assert runs.load_table(spark, folder, "one", "rows").count() == 5
+    assert [tuple(r) for r in runs.load_table(spark, folder, "one", "row_log").collect()] == [("known", "small or unknown", 10, 5)]
+
+
+def test_feature_cache_tells_inputs_and_plans_apart(spark, series, tmp_path):
+    from tidecast.operators import cache, features as fx
+
+    df, folder = series([1.0, 2.0, 3.0, 4.0]), str(tmp_path)
+    lags = [cache.cached_features(df, fx.lag_features("y", k), folder=folder) for k in ([1], [1], [2])]
+    assert [c.rows_read for c in lags] == [4, 0, 4] and lags[1].table.columns == lags[0].table.columns
+    other = series([1.0, 2.0, 3.0, 5.0])
+    assert cache.cached_features(other, fx.lag_features("y", [1]), folder=folder).rows_read == 4
+    assert cache.content_hash(df) == cache.content_hash(df.repartition(3)) != cache.content_hash(other)
+
+
 def test_periods_nobody_named(spark):
     from tidecast.operators import periods
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecast.operators import features as fx, inference, metrics, package, selection, split, training, trees
+from tidecast.operators import features as fx, inference, metrics, package, runs, selection, split, training, trees
 from tidecast.operators.order import dense_index, join_keys
 from tidecast.plans.inputs import EV, PANEL, SEAS, event_panel, event_series, r, rounded, table
 from tidecast.plans.model_queries import (
     FEATURES, HOLD, RUNS, _FLAGS, _SCORED, _runs, candidates, parts, run_metrics,
 )
 from tidecast.plans.registry import query
+from tidecast.storage import scratch_path
 
 # A linear model with given weights: everything about it can be checked in SQL.
 NAMES, WEIGHTS, INTERCEPT = ["y_lag_1", "y_lag_2", "x_lag_1"], [0.5, 0.2, 0.1], 7.0
@@ -307,3 +308,38 @@ def result_package(spark, sf):
     facts = package.result_package(chosen, selection.ranking(found), strongest)
     return facts.select("run_id", "selected_model", "quality_flag", rounded("r2").alias("r2"), "strongest_features",
                         "warning_code", "production_usable")
+
+
+@query("g12_stored_runs", """WITH counts AS (SELECT count(*) AS n, count(*) FILTER (o_totalprice >= 20000) AS a,
+    count(*) FILTER (o_totalprice >= 20000 AND o_orderstatus != 'P') AS b FROM orders)
+  SELECT 'wave-2' AS run_id, 2::BIGINT AS place, 'small orders' AS stage, 'price below 20000' AS reason, n AS rows_in, a AS rows_out, b AS stored_rows FROM counts
+  UNION ALL SELECT 'wave-2', 2, 'pending', 'status P', a, b, b FROM counts
+  UNION ALL SELECT 'wave-1', 1, 'small orders', 'price below 20000', n, a, a FROM counts""")
+def stored_runs(spark, sf):
+    """Three runs store tables, one of them breaks off before its end; the catalogue and the row logs of the others."""
+    folder, orders = scratch_path(spark, "runs"), table(spark, sf, "orders")
+
+    def run(run_id: str, pending: bool, breaks: bool) -> None:
+        r_ = runs.StoredRun(spark, folder, run_id)
+        kept = r_.keep(orders, "small orders", F.col("o_totalprice") >= 20000, "price below 20000")
+        if pending:
+            kept = r_.keep(kept, "pending", F.col("o_orderstatus") != "P", "status P")
+        r_.store("cleaned", kept)
+        if breaks:
+            raise RuntimeError("lost before its end")
+        r_.finish(model="ridge")
+
+    run("wave-1", False, False)
+    run("wave-2", True, False)
+    try:
+        run("wave-3", True, True)
+    except RuntimeError:
+        pass
+    out = None
+    listed = [x["run_id"] for x in runs.stored_runs(spark, folder).collect()]  # a few runs
+    for place, run_id in enumerate(reversed(listed), 1):
+        stored = runs.load_table(spark, folder, run_id, "cleaned").agg(F.count("*").alias("stored_rows"))
+        log = runs.load_table(spark, folder, run_id, "row_log").join(F.broadcast(stored), how="cross")  # one row
+        one = log.select(F.lit(run_id).alias("run_id"), F.lit(place).cast("long").alias("place"), "stage", "reason", "rows_in", "rows_out", "stored_rows")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,10 +6,10 @@ from math import floor
 
 from pyspark.sql import functions as F
 
-from tidecast.operators import benchmarks, evaluation, features as fx, metrics, panel, profile, selection, smoothing, split, stattests, training
+from tidecast.operators import benchmarks, cache, evaluation, features as fx, metrics, panel, profile, selection, smoothing, split, stattests, training
 from tidecast.operators.order import join_keys, over_order
 from tidecast.plans.inputs import (
-    EV, PANEL, event_panel, event_series, r, rounded, seasonal_series, shared, table,
+    EV, PANEL, SEAS, event_panel, event_series, r, rounded, seasonal_series, shared, table,
 )
 from tidecast.plans.registry import query
 from tidecast.storage import scratch_path, written_table
@@ -523,16 +523,22 @@ def saved_models(spark, sf):
     return out
 
 
-@query("d23_cached_features")
+@query("d23_cached_features", f"""WITH {SEAS}, n AS (SELECT count(*) AS n FROM seas)
+  SELECT 'first search' AS search, n AS rows_read, n AS feature_rows FROM n UNION ALL SELECT 'same again', 0, n FROM n
+  UNION ALL SELECT 'other plan', n, n FROM n UNION ALL SELECT 'other input', n - 1, n - 1 FROM n
+  UNION ALL SELECT 'same in other order', 0, n FROM n""")
 def cached_features(spark, sf):
-    """Search twice over one feature table; it is read from storage only once."""
-    train, _, folds = parts(spark, sf)
-    rows = []
-    with training.kept(train.select("t_idx", "y", *FEATURES)) as frame:
-        for params in ({"regParam": 0.1}, {"regParam": 1.0}):
-            found = training.cross_validate(training.CANDIDATES["ridge"], frame, FEATURES, folds[-1:], [params])
-            rows.append((str(params), frame.is_cached, round(found[0][3], 6)))
-    return spark.createDataFrame(rows, "params string, cached boolean, r2 double")
+    """Searches that ask for features, and how many input rows each of them had to work through."""
+    series = seasonal_series(spark, sf).select("event_id", "t_idx", "y", "x")
+    plans = {"plan": [*fx.lag_features("y", [1, 2]), *fx.rolling_features("y", [7])], "other": fx.lag_features("y", [1, 3])}
+    folder, rows = scratch_path(spark, "feature-cache"), []
+    for search, frame, plan in (
+        ("first search", series, "plan"), ("same again", series, "plan"), ("other plan", series, "other"),
+        ("other input", series.where("t_idx > 0"), "plan"), ("same in other order", series.orderBy(F.desc("event_id")), "plan"),
+    ):
+        found = cache.cached_features(frame, plans[plan], folder=folder)
+        rows.append((search, found.rows_read, found.table.count()))
+    return spark.createDataFrame(rows, "search string, rows_read bigint, feature_rows bigint")
 
 
 @query("d24_candidate_menu", """WITH u AS (SELECT user_id, count(*) * 1000 AS n, avg(value) > 50 AS seasonal, count(*) % 2 = 0 AS auto,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -49,3 +50,24 @@ def spread_out(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def publish(spark: SparkSession, catalogue: str, row: dict[str, str]) -> None:
+    """Append one entry to a catalogue: a Parquet folder of one-row files.
+
+    What the entry names must be written before.  The entry shows up when its
+    job commits, whole or not at all, so readers never meet half a table.
+    """
+    schema = ", ".join(f"{name} string" for name in row)
+    spark.createDataFrame([tuple(row.values())], schema).coalesce(1).write.mode("append").parquet(catalogue)
+
+
+def published(spark: SparkSession, catalogue: str, columns: list[str]) -> DataFrame:
+    """The entries of a catalogue; one that nothing was published to is empty."""
+    schema = ", ".join(f"{name} string" for name in columns)
+    try:
+        return spark.read.schema(schema).parquet(catalogue)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
