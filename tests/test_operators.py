@@ -186,6 +186,17 @@ def test_feature_cache_tells_inputs_and_plans_apart(spark, series, tmp_path):
     assert cache.content_hash(df) == cache.content_hash(df.repartition(3)) != cache.content_hash(other)
 
 
+def test_relaxed_screening_brings_back_what_the_baseline_kept_out(spark):
+    from tidecast.operators import screening
+
+    first = screening.Screening(["a"], [("b", "below_noise_baseline", 4), ("c", "below_noise_baseline", 4), ("copy", "below_noise_baseline", 4),
+                                        ("flat", "low_variance", 1)], {"a": 0.5, "b": 0.08, "c": 0.02, "copy": 0.07, "flat": 0.3}, 0.1, False, [])
+    df = spark.range(50).selectExpr("sin(id) as a", "cos(id * id) as b", "id * 1.0D as c", "2 * sin(id) as copy", "1.0D as flat")
+    again = screening.relaxed_screening(df, first)
+    assert again.recommended == ["a", "b"] and again.loosened
+    assert dict((f, r) for f, r, _ in again.excluded) == {"c": "below_noise_baseline", "copy": "redundant", "flat": "low_variance"}
+
+
 def test_periods_nobody_named(spark):
     from tidecast.operators import periods
 

@@ -101,3 +101,22 @@ def screen_features(
     for _, stage, dropped in counts:
         log.info("%s: %d features dropped", stage, dropped)
     return Screening([f for f in numeric if f not in reasons], excluded, mi, baseline, loosened, counts)
+
+
+def relaxed_screening(df: DataFrame, found: Screening, share: float = 0.5) -> Screening:
+    """A second pass with ``share`` of the noise baseline, for runs whose features said too little.
+
+    Features that only the baseline kept out come back if they say more than
+    that share of it, unless they repeat a feature that says more.  What other
+    filters excluded stays out.  Information is not measured again.
+    """
+    threshold = found.noise_baseline * share
+    back = [f for f, reason, _ in found.excluded if reason == STAGES[3] and (found.mi.get(f) or 0.0) > threshold]
+    pool = [*found.recommended, *back]
+    reasons = {f: reason for f, reason, _ in found.excluded if f not in back}
+    if back and len(pool) > 1:
+        pairs = [tuple(p) for p in profile.correlation_pairs(df, pool).collect()]
+        reasons |= {f: STAGES[4] for f in redundant(pairs, found.mi) if f in back}
+    excluded = [(f, r, STAGES.index(r) + 1) for f, r in sorted(reasons.items())]
+    counts = [(i + 1, s, sum(r == s for r in reasons.values())) for i, s in enumerate(STAGES)]
+    return Screening([f for f in pool if f not in reasons], excluded, found.mi, found.noise_baseline, bool(back) or found.loosened, counts)

@@ -204,6 +204,20 @@ def noise_filter(spark, sf):
     return spark.createDataFrame(rows, "feature string, threshold double, loosened boolean")
 
 
+@query("b8_relaxed_screening", f"""WITH {_RANKED}, base AS (SELECT avg(mi) AS b FROM mi WHERE feature LIKE 'noise%'),
+  pool AS (SELECT feature, mi FROM mi WHERE feature IN ('discount', 'tax', 'quantity', 'twin')),
+  weaker AS (SELECT feature FROM pool WHERE feature IN ('quantity', 'twin') ORDER BY round(mi, 6), feature LIMIT 1),
+  passes AS (SELECT * FROM (VALUES ('first', 1.0::DOUBLE), ('relaxed', 0.5::DOUBLE)) t(pass, share))
+  SELECT pass, feature, {r("mi")} AS mi FROM pool, base, passes WHERE mi > b * share AND feature NOT IN (SELECT feature FROM weaker)""")
+def relaxed_screening(spark, sf):
+    """What the noise baseline lets through, and half of it in the second pass."""
+    line = line_features(spark, sf)
+    first = screening.screen_features(line, "y", F.col("k"), ["discount", "tax", "quantity", "twin"])
+    rows = [(name, f, round(first.mi[f], 6) + 0.0) for name, found in (("first", first), ("relaxed", screening.relaxed_screening(line, first)))
+            for f in found.recommended]
+    return spark.createDataFrame(rows, "pass string, feature string, mi double")
+
+
 _PAIR_SQL = f"""WITH {_LINE}, pairs AS ({" UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS correlation FROM line"
     for i, a in enumerate(_LINE_FEATURES) for b in _LINE_FEATURES[i + 1:])})"""
