@@ -197,6 +197,32 @@ def test_relaxed_screening_brings_back_what_the_baseline_kept_out(spark):
     assert dict((f, r) for f, r, _ in again.excluded) == {"c": "below_noise_baseline", "copy": "redundant", "flat": "low_variance"}
 
 
+def test_smoothing_in_chunks_equals_a_loop(series):
+    from tidecast.operators.smoothing import Scan, Smoothing, smooth
+
+    wave = [math.sin(2 * math.pi * i / 12) + 0.01 * i + NOISE[i % len(NOISE)] for i in range(5000)]
+    for period in (0, 1, 2, 7, 12, 64, 65, 1008):
+        options = [Smoothing(a, 0.1, 0.2 if period else 0.0, period) for a in (0.1, 0.9)]
+        values = wave[:2200] if period > 100 else wave
+        scan, y = Scan(options), np.array(values)
+        start = np.stack([o.opening(y) for o in options])
+        got, end = scan.run(y, start)
+        for p, o in enumerate(options):
+            step, gain, ahead = o.matrices()
+            state, want = start[p], []
+            for v in values:
+                want.append(ahead @ state)
+                state = step @ state + gain * v
+            assert np.allclose(got[:, p], want, atol=1e-8) and np.allclose(end[p], state, atol=1e-8)
+        zeros = scan.run(np.zeros(777), start)[1]
+        assert np.allclose(scan.over(777)(start), zeros, atol=1e-8)
+        half = scan.run(y[2000:], scan.run(y[:2000], start)[1])
+        assert np.allclose(half[0], got[2000:], atol=1e-8)
+    long = Smoothing(0.2, 0.1, 0.3, 1008)
+    found = [[r["prediction"] for r in smooth(series(wave), [long], stretch=size).orderBy("t_idx").collect()] for size in (500, 4096)]
+    assert np.allclose(*found, atol=1e-8)
+
+
 def test_periods_nobody_named(spark):
     from tidecast.operators import periods
 
