@@ -335,6 +335,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     the first occurrence too; strings are judged on the input.  A row repeated
     whole repeats its strings.  Null texts are empty; null ids stay null; other
     columns are ignored.
+
+    A text is held whole in a task, at about 40 times its bytes.  An empty
+    table gives no row.
     """
     spans = repeated_spans(docs).groupBy("_doc", "_th").agg(
         F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
