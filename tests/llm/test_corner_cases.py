@@ -18,7 +18,7 @@ from tidecast.llm import (  # noqa: E402
     token_files, toxicity, warc,
 )
 from tidecast.llm.queries import byte_bpe  # noqa: E402
-from tidecast.storage import scratch_path  # noqa: E402
+from tidecast.storage import scratch_path, written_table  # noqa: E402
 
 
 def table(df, *cols):
@@ -212,6 +212,26 @@ def test_token_files(spark):
     assert token_files.tokenized(corner.empty(spark), byte_bpe()).count() == 0
 
 
+def test_files_roll_over_and_are_read_by_a_task_each(spark):
+    docs = corner.documents(spark)
+    folder = scratch_path(spark, "small-files")
+    whole = token_files.read_token_files(token_files.write_token_files(docs, folder, byte_bpe()), folder)
+    files = token_files.write_token_files(docs, folder, byte_bpe(), file_bytes=4000)
+    parts = token_files.read_token_files(files, folder)
+    assert files.count() > 20 and parts.rdd.getNumPartitions() > 10
+    assert table(parts, *whole.columns) == table(whole, *whole.columns)
+    stored = written_table(docs.orderBy("n_chars").coalesce(1))
+    as_it_is = token_files.tokenized(stored, byte_bpe(), by_id=False)
+    ids = [r["doc_id"] for r in sorted(as_it_is.collect(), key=lambda r: r["start"])]
+    assert ids == [r["doc_id"] for r in stored.collect()]
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    archives = warc.write_archives(pages, folder, file_bytes=3000)
+    members = warc.normalise_archives(archives, folder)
+    read = warc.read_members(members, folder)
+    assert members.count() == archives.count() > 10 and read.rdd.getNumPartitions() > 10
+    assert table(read, *read.columns) == table(warc.archived(pages), *read.columns)
+
+
 def test_token_file_reads_one_document_and_finds_damage(tmp_path):
     from pyarrow import fs
 
@@ -275,19 +295,51 @@ def test_language_model(spark):
     assert suffix_tree_lm.language_scores(corner.empty(spark), model, samples.fold("doc_id", 5) == 1).count() == 0
 
 
-def test_automaton_follows_the_longest_suffix():
-    import pyarrow as pa
-
-    nodes = {b"": {97: 6, 98: 3, 10: 1}, b"a": {97: 1, 98: 8}, b"ba": {97: 9, 10: 1}, b"aba": {98: 5}}
-    automaton = suffix_tree_lm.SuffixAutomaton(nodes)
-    stream = suffix_tree_lm.streamed(pa.array(["abaabab", "ba", None, "b" * 1200 + "abab"]))
-    got = automaton.symbol_scores(stream)
-    for k in np.flatnonzero(stream.real):
-        past = stream.symbols[max(0, k - 7): k].tobytes()
-        longest = max((c for c in nodes if past.endswith(c)), key=len)
-        place = sorted(nodes, key=lambda c: (len(c), c)).index(longest)
-        assert got[k] == automaton.log10[place, automaton.code[stream.symbols[k]]]
-    assert (got[~stream.real] == 0).all()
+def plain_tree_scores(training, asked, least):
+    """Count every context, keep the frequent and divergent ones, back off from the longest."""
+    from collections import Counter, defaultdict
+    from math import log, log10
+
+    def symbols(text):
+        return [0x0B] * 7 + list(" ".join(brute.words(text, True)).encode()) + [0x0A]
+    counts = defaultdict(Counter)
+    for text in training:
+        s = symbols(text)
+        for k in range(7, len(s)):
+            for d in range(8):
+                counts[tuple(s[k - d: k])][s[k]] += 1
+    kept = {c for c, n in counts.items() if c and n.total() >= least and sum(
+        x / n.total() * log(x / n.total() / (counts[c[1:]][y] / counts[c[1:]].total())) for y, x in n.items()) >= 0.01}
+    kept = {c[k:] for c in kept for k in range(len(c))}
+
+    def p(c, y):
+        if not c:
+            return (counts[c][y] + 0.5) / (counts[c].total() + 128)
+        up = next(c[k:] for k in range(1, len(c) + 1) if c[k:] in kept or not c[k:])
+        return (counts[c][y] + 20 * p(up, y)) / (counts[c].total() + 20)
+    out = []
+    for text in asked:
+        s, score = symbols(text), 0.0
+        for k in range(7, len(s)):
+            c = next(tuple(s[k - d: k]) for d in range(7, -1, -1) if not d or tuple(s[k - d: k]) in kept)
+            score += log10(p(c, s[k]))
+        out.append(score)
+    return out, len(kept)
+
+
+@pytest.mark.parametrize("least", [1, 12, 60])
+def test_tree_against_a_plain_one(spark, monkeypatch, least):
+    monkeypatch.setattr(suffix_tree_lm.Tally, "HELD", 50)
+    rnd = random.Random(6)
+    rows = [(i, " ".join("".join(rnd.choices(["ta", "ri", "on", "é", "X"], k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 25))))
+            for i in range(80)] + [(80, None), (81, " \t"), (82, "ta \0 ta")]
+    asked = [t for _, t in rows] + ["never seen words ß", "tatataonon ri"]
+    want, kept = plain_tree_scores([t for _, t in rows], asked, least)
+    assert kept > 20
+    model = suffix_tree_lm.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), least)
+    got = suffix_tree_lm.language_scores(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, F.lit(False))
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert np.allclose([score[i] for i in range(len(asked))], want, rtol=1e-5)
 
 
 @pytest.mark.parametrize("block", [None, 300])
@@ -309,7 +361,7 @@ def test_contained_items(spark, monkeypatch, block):
 
 
 def test_language_model_sees_seven_symbols_back(spark):
-    rows = [(2 * i, "qmmmmmma") for i in range(40)] + [(2 * i + 1, "zmmmmmmb") for i in range(40)]
+    rows = [(2 * i, "qmmmmmma") for i in range(2500)] + [(2 * i + 1, "zmmmmmmb") for i in range(2500)]
     train = spark.createDataFrame(rows, "doc_id long, text string")
     model = suffix_tree_lm.fit_language_model(train, F.lit(True))
     asked = spark.createDataFrame([(0, "qmmmmmma"), (1, "qmmmmmmb"), (2, "zmmmmmmb"), (3, "zmmmmmma")], "doc_id long, text string")
