@@ -126,7 +126,8 @@ def find_periods(df: DataFrame, col: str, series_cols: Sequence[str] = (), segme
     the one with the largest autocorrelation counts if it tops the middle of the
     curve from an eighth to a quarter of a period away, on both sides.  So
     harmonics (no peak of the curve) and multiples (no power) drop out.  Periods of one row, of a single wave in a
-    segment, and flat series give none.
+    segment, and flat series give none.  The top of a long smooth wave is flat,
+    so noise may move its period by a row.
     """
     keys = list(series_cols)
     sums = written_table(_segment_sums(df, col, keys, segment), "spectra")
