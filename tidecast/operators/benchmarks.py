@@ -86,6 +86,16 @@ def _per_series(sums: DataFrame, keys: Sequence[str], schema: str, solve: Callab
     return sums.mapInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema]))
 
 
+def _with_row(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows with the columns of their series' row; of the only row, as constants, if there are no keys."""
+    if keys:
+        return join_keys(rows, found, keys, "left")
+    one = found.first()
+    value = lambda f: F.lit(None if one is None else one[f.name]).cast(f.dataType) if one is None or not isinstance(
+        one[f.name], list) else F.array(*[F.lit(x) for x in one[f.name]]).cast(f.dataType)
+    return rows.withColumns({f.name: value(f) for f in found.schema.fields})
+
+
 def _long_regression(long: int):
     def solve(v: list[float]) -> list | None:
         if v[0] <= long + 1:
@@ -163,7 +173,7 @@ def panel_arima(
             subset=[f"w{k}" for k in range(long + 1)])
         fitted = written_table(_per_series(
             moments(first, [f"w{k}" for k in range(long + 1)], keys), keys, "_c double, _phi array<double>", _long_regression(long)), "long-ar")
-        rows = join_keys(rows, fitted, keys, "left") if keys else rows.crossJoin(F.broadcast(fitted))  # one row
+        rows = _with_row(rows, fitted, keys)
         shock = value(0) - reduce(lambda a, j: a + F.col("_phi")[j] * value(j + 1), range(long), F.col("_c"))
     else:
         shock = F.lit(None).cast("double")
@@ -180,7 +190,7 @@ def panel_arima(
         "p int, q int, sp int, sq int, aic double, intercept double, ar array<double>, ma array<double>",
         _best_order(ar_all, ma_all, [*orders, *fallback], period)), "arima")
     picked = models.select(*keys, F.col("intercept").alias("_b"), F.col("ar").alias("_ar"), F.col("ma").alias("_ma"))
-    joined = join_keys(lagged, picked, keys, "left") if keys else lagged.join(F.broadcast(picked), how="left")  # one row
+    joined = _with_row(lagged, picked, keys)
     term = lambda c, x: F.when(c != 0, c * F.col(x)).otherwise(0.0)
     terms = [term(F.col("_ar")[i], f"_w{k}") for i, k in enumerate(ar_all)] + [term(F.col("_ma")[i], f"_e{k}") for i, k in enumerate(ma_all)]
     forecast = reduce(lambda a, t: a + t, terms, F.col("_b")) + F.col("_carried")

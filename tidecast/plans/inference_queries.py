@@ -338,8 +338,8 @@ def stored_runs(spark, sf):
     out = None
     listed = [x["run_id"] for x in runs.stored_runs(spark, folder).collect()]  # a few runs
     for place, run_id in enumerate(reversed(listed), 1):
-        stored = runs.load_table(spark, folder, run_id, "cleaned").agg(F.count("*").alias("stored_rows"))
-        log = runs.load_table(spark, folder, run_id, "row_log").join(F.broadcast(stored), how="cross")  # one row
+        stored = runs.load_table(spark, folder, run_id, "cleaned").count()
+        log = runs.load_table(spark, folder, run_id, "row_log").withColumn("stored_rows", F.lit(stored).cast("long"))
         one = log.select(F.lit(run_id).alias("run_id"), F.lit(place).cast("long").alias("place"), "stage", "reason", "rows_in", "rows_out", "stored_rows")
         out = one if out is None else out.unionByName(one)
     return out
