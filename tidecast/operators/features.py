@@ -15,7 +15,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tidecast.operators.order import join_keys, over_order
+from tidecast.operators.order import dense_index, join_keys, over_order
 from tidecast.operators.profile import numeric_columns
 
 
@@ -180,6 +180,18 @@ def cross_series_mean(
     return ready.drop("_others")
 
 
+def series_codes(df: DataFrame, series_cols: Sequence[str], name: str = "series_id") -> DataFrame:
+    """Add a number for each series, 0 for the longest, ties by the series columns.
+
+    Numbers come from a range sort of one row a series and go to the rows by a
+    join, so any number of series will do.
+    """
+    keys = list(series_cols)
+    sizes = df.groupBy(*keys).agg((-F.count("*")).alias("_less"))
+    codes = dense_index(sizes, ["_less", *keys], name="_code")
+    return join_keys(df, codes.select(*keys, F.col("_code").cast("double").alias(name)), keys)
+
+
 def interaction_features(col: str, lags: Sequence[int], prefix: str = "y") -> list[Feature]:
     """Products of the top lags."""
     pairs = [(a, b) for i, a in enumerate(lags) for b in lags[i + 1:]]

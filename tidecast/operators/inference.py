@@ -232,10 +232,17 @@ def sampled_attributions(
 
     Each row is scored with growing prefixes of a permutation taken from the
     row and the rest from a background row; the steps between prefixes are the
-    contributions.  All mixes are scored in one transform.
+    contributions.  All mixes are scored in one transform.  ``permutations`` is
+    rounded up to a multiple of the background rows.
     """
     features = list(features)
     n, rng = len(features), Random(seed)
+    # At most as many background rows as the caller passes (20 by default).
+    base = background.select(*[F.col(f).alias(f"_b_{f}") for f in features]).withColumn(
+        "_b", F.row_number().over(Window.partitionBy().orderBy(*[f"_b_{f}" for f in features])) - 1
+    )
+    count = base.count()
+    permutations = -(-permutations // max(count, 1)) * max(count, 1)  # every background row serves equally often
     places = []
     for _ in range(permutations):
         order = list(range(n))
@@ -244,11 +251,6 @@ def sampled_attributions(
         for position, i in enumerate(order):
             place[i] = position
         places.append(place)
-    # At most as many background rows as the caller passes (20 by default).
-    base = background.select(*[F.col(f).alias(f"_b_{f}") for f in features]).withColumn(
-        "_b", F.row_number().over(Window.partitionBy().orderBy(*[f"_b_{f}" for f in features])) - 1
-    )
-    count = base.count()
     place_of = F.array(*[F.array(*[F.lit(p) for p in place]) for place in places])
     mixed = (
         rows.select(F.col(row_id).alias("row_id"), *features)

@@ -358,8 +358,6 @@ def model_features(spark, sf):
   SELECT event_type, t, y, i::DOUBLE AS series_id, {r("lag(m) OVER (PARTITION BY event_type ORDER BY t)", 4)} AS others_mean_lag_1
   FROM o JOIN ids USING (event_type)""")
 def panel_features(spark, sf):
-    from pyspark.ml.feature import StringIndexer
-
     from tidecast.operators.order import dense_index
 
     hours = table(spark, sf, "events").groupBy(
@@ -367,8 +365,7 @@ def panel_features(spark, sf):
     ).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("y"))
     panel = dense_index(hours, ["t"], ["event_type"])
     built = fx.cross_series_mean(panel, ["event_type"])
-    indexed = StringIndexer(inputCol="event_type", outputCol="series_id").fit(panel).transform(built)
-    return indexed.select("event_type", "t", "y", "series_id", rounded("others_mean_lag_1", 4).alias("others_mean_lag_1"))
+    return fx.series_codes(built, ["event_type"]).select("event_type", "t", "y", "series_id", rounded("others_mean_lag_1", 4).alias("others_mean_lag_1"))
 
 
 @query("c21_warm_up", """SELECT least(30, count(*)) AS rows_dropped_by_lags, greatest(count(*) - 30, 0) AS final_row_count FROM events""")
