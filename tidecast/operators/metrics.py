@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.operators.order import join_keys
+
 # Fixed values of the grades and the diagnosis.
 ACCEPTABLE, MARGINAL, TOO_PERFECT = 0.50, 0.25, 0.98
 UNSTABLE, MARGIN = 0.3, 0.02
@@ -73,19 +76,27 @@ def cv_summary(folds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return out.withColumn("cv_unstable", F.coalesce(unstable, F.lit(False)))
 
 
-def benchmark_deltas(candidates: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """R2 gained over ARIMA and k-means.
+def benchmark_deltas(candidates: DataFrame, benchmarks: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+    """R2 gained over ARIMA and k-means of the same run.
 
-    The warning is set when the best candidate gains less than 0.02 over either.
+    The warning is set when the best candidate of a run gains less than 0.02
+    over either, or when one of the two is missing.
     """
-    row = benchmarks.agg(*[
-        F.max(F.when(F.col("model") == f"{b}_benchmark", F.col("r2"))).alias(b) for b in ("arima", "kmeans")
-    ]).first()
-    delta = {b: F.col("r2") - F.lit(row[b]).cast("double") for b in ("arima", "kmeans")}
-    out = candidates.withColumns({f"delta_r2_vs_{b}": d for b, d in delta.items()})
-    best = candidates.agg(F.max("r2")).first()[0]
-    short = any(row[b] is None or best is None or best - row[b] < MARGIN for b in ("arima", "kmeans"))
-    return out.withColumn("benchmark_warning", F.lit(short))
+    names, keys = ("arima", "kmeans"), list(run_cols)
+    base = benchmarks.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("model") == f"{b}_benchmark", F.col("r2"))).cast("double").alias(f"_{b}") for b in names])
+    best = candidates.groupBy(*keys).agg(F.max("r2").cast("double").alias("_best"))
+    joined = candidates
+    for one in (base, best):
+        if keys:
+            joined = join_keys(joined, one, keys, "left")
+        else:
+            row = one.first()
+            joined = joined.withColumns({c: F.lit(row[c] if row else None).cast("double") for c in one.columns})
+    short = reduce(lambda x, y: x | y, [F.coalesce(F.col("_best") - F.col(f"_{b}") < MARGIN, F.lit(True)) for b in names])
+    return joined.withColumns({
+        **{f"delta_r2_vs_{b}": F.col("r2") - F.col(f"_{b}") for b in names}, "benchmark_warning": short,
+    }).drop("_arima", "_kmeans", "_best")
 
 
 def best_by_holdout(candidates: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:

@@ -491,6 +491,20 @@ def benchmark_deltas(spark, sf):
                          rounded("delta_r2_vs_kmeans").alias("delta_r2_vs_kmeans"), "benchmark_warning")
 
 
+@query("d19_benchmark_deltas_all_runs", f"""WITH {RUNS}, b AS (SELECT run_id, max(CASE WHEN model = 'naive_persistence' THEN r2 END) AS a,
+    max(CASE WHEN model = 'random_forest' THEN r2 END) AS k FROM m GROUP BY run_id),
+  c AS (SELECT *, max(r2) OVER (PARTITION BY run_id) AS best FROM m WHERE model NOT IN ('naive_persistence', 'random_forest'))
+  SELECT run_id, model, {r("r2 - a")} AS delta_r2_vs_arima, {r("r2 - k")} AS delta_r2_vs_kmeans,
+    coalesce(best - a < 0.02, true) OR coalesce(best - k < 0.02, true) AS benchmark_warning FROM c JOIN b USING (run_id)""")
+def benchmark_deltas_all_runs(spark, sf):
+    renamed = run_metrics(spark, sf).withColumn("model", F.when(F.col("model") == "naive_persistence", "arima_benchmark")
+                                                .when(F.col("model") == "random_forest", "kmeans_benchmark").otherwise(F.col("model")))
+    marked = F.col("model").like("%benchmark")
+    deltas = metrics.benchmark_deltas(renamed.where(~marked), renamed.where(marked), ["run_id"])
+    return deltas.select("run_id", "model", rounded("delta_r2_vs_arima").alias("delta_r2_vs_arima"),
+                         rounded("delta_r2_vs_kmeans").alias("delta_r2_vs_kmeans"), "benchmark_warning")
+
+
 @query("d20_skipped_models")
 def skipped_models(spark, sf):
     train, holdout, folds = parts(spark, sf)
