@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents."""
+"""Labelled documents, all of them or a bounded sample."""
 
 from __future__ import annotations
 
@@ -12,13 +12,14 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> DataFrame:
-    """``_id, _label, text`` of up to ``rows`` labelled documents, picked by a hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int | None, where: Column | None = None) -> DataFrame:
+    """``_id, _label, text`` of up to ``rows`` labelled documents, picked by a hash of their id; of all with ``None``.
 
     ``where`` is a condition on ``_id``.  An id labelled twice takes the larger label.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
-    picked = (ids if where is None else ids.where(where)).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(picked), "_id")  # at most `rows` ids
+    ids = ids if where is None else ids.where(where)
+    if rows is not None:
+        ids = F.broadcast(ids.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # at most `rows` ids
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(ids, "_id")

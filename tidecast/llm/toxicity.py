@@ -8,8 +8,8 @@ end and preferred.  Words with doubled letters are looked up without them.
 The restored words are looked up in a lexicon, and a logistic curve of the
 hits is the score.
 
-Character model, lexicon and curve are learned from a bounded sample of
-labelled documents: the lexicon holds the words that occur in more toxic
+Character model, lexicon and curve are learned from all labelled documents
+that the caller allows: the lexicon holds the words that occur in more toxic
 documents than chance explains.
 """
 
@@ -31,7 +31,6 @@ from tidecast.llm.samples import labelled_sample
 from tidecast.llm.words import U64, Words, find_words, prefix_sums, range_hashes, slices
 from tidecast.storage import written_table
 
-FIT_ROWS = 20_000      # labelled documents in the sample
 LEXICON_WORDS = 20_000
 LEAST_TOXIC = 4        # toxic documents that a lexicon word occurs in
 CHANCE = 1e-6          # of so many toxic documents by chance
@@ -340,9 +339,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d, y in enumerate(labels.tolist()):
                 bag = Counter(tokens.text(i) for i in clean[by_doc[d]: by_doc[d + 1]])
                 in_doc[y > 0].update(bag.keys())
-                for w in bag:
-                    w = f"^^{w}$"
-                    grams.update(w[i: i + 3] for i in range(len(w) - 2))
+            for w, docs in (in_doc[0] + in_doc[1]).items():  # a document's word counts once
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    grams[w[i: i + 3]] += docs
             for kind, counter in (("clean", in_doc[0]), ("toxic", in_doc[1]), ("gram", grams)):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([kind] * len(counter), pa.string()), pa.array(list(counter), pa.string()),
@@ -370,8 +370,8 @@ def _features(model: ToxicityModel):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None) -> ToxicityModel:
-    """Learn from at most ``FIT_ROWS`` labelled documents; ``where`` is a condition on ``_id``."""
-    sample = written_table(labelled_sample(docs, labels, label, FIT_ROWS, where), "labelled")
+    """Learn from all labelled documents; ``where`` is a condition on ``_id``."""
+    sample = written_table(labelled_sample(docs, labels, label, None, where), "labelled")
     counts = written_table(sample.mapInArrow(_counts, "kind string, item string, n long").groupBy("kind", "item").agg(
         F.sum("n").alias("n")), "token-counts")
     sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
@@ -401,9 +401,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", where
     ordinary = seen.withColumn("_short", F.regexp_replace("item", "([a-z])\\1+", "$1")).join(alike, "_short").select("item").collect()
     model = ToxicityModel(trigrams, {w: max(v, 0.1) for w, v in lexicon.items()},
                           ordinary=frozenset(r["item"] for r in ordinary) - lexicon.keys())
-    fitted = sample.mapInArrow(_features(model), "_id long, _label int, _x array<double>").orderBy("_id").collect()
-    x = np.array([r["_x"] for r in fitted], float).reshape(-1, 4)
-    model.curve = logistic.fit(x, np.array([r["_label"] for r in fitted], float))
+    fitted = written_table(sample.mapInArrow(_features(model), "_id long, _label int, _x array<double>"), "toxic-features")
+    model.curve = logistic.fit_table(fitted, 4)
     return model
 
 
