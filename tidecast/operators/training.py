@@ -15,11 +15,16 @@ from multiprocessing.pool import ThreadPool
 from random import Random
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,30 +53,56 @@ def _linear(mix: float):
     return _assembled(make)
 
 
+class RandomWaves(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Cosines of weighted sums of scaled columns, for a batch of rows at a time.
+
+    A wave is ``cos(shift + sum(weight * (column - mean) / scale))``.  All numbers are
+    parameters, so the stage survives saving.
+    """
+
+    means = Param(Params._dummy(), "means", "of each column", TypeConverters.toListFloat)
+    scales = Param(Params._dummy(), "scales", "of each column", TypeConverters.toListFloat)
+    shifts = Param(Params._dummy(), "shifts", "of each wave", TypeConverters.toListFloat)
+    weights = Param(Params._dummy(), "weights", "of each wave, by column", TypeConverters.toListListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCol=None, means=None, scales=None, shifts=None, weights=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        means, scales = self.getOrDefault("means"), self.getOrDefault("scales")
+        shifts, weights = np.array(self.getOrDefault("shifts")), np.array(self.getOrDefault("weights"))
+
+        def waves(*columns: pa.Array) -> pa.Array:
+            total = np.tile(shifts, (len(columns[0]), 1))
+            for j, c in enumerate(columns):
+                z = (c.to_numpy(zero_copy_only=False) - means[j]) / scales[j]
+                total += z[:, None] * weights[:, j]
+            if not np.isfinite(total).all():
+                raise ValueError("null, NaN or infinite values in the columns of waves")
+            ends = np.arange(0, total.size + 1, len(shifts), dtype=np.int32)
+            return pa.ListArray.from_arrays(ends, np.cos(total).ravel())
+
+        columns = [F.col(f"`{c}`").cast("double") for c in self.getInputCols()]
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(F.arrow_udf(waves, "array<double>")(*columns)))
+
+
 def _kernel(train: DataFrame, features: list[str], params: dict):
     """Random Fourier features of an RBF kernel, then a Huber regression.
 
-    Weights come from a seeded generator and training means, so the stages are
-    plain SQL and survive saving.
+    Weights come from a seeded generator, means and scales from the training rows.
     """
     count, width = params.get("components", 32), params.get("width", 1.0)
     row = train.agg(*[f(c).alias(f"{c}|{n}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     rng = np.random.default_rng(SEED)
     weights = rng.normal(scale=1 / (width * np.sqrt(len(features))), size=(count, len(features)))
     shifts = rng.uniform(0, 2 * np.pi, size=count)
-    scaled = ", ".join(
-        f"(`{c}` - {float(row[f'{c}|m'] or 0.0)!r}D) / {float(row[f'{c}|s'] or 1.0)!r}D" for c in features
-    )
-    waves = []
-    for i in range(count):
-        w = ", ".join(f"{float(x)!r}D" for x in weights[i])
-        total = f"aggregate(zip_with(_z, array({w}), (a, b) -> a * b), {float(shifts[i])!r}D, (a, b) -> a + b)"
-        waves.append(f"cos({total}) AS _rff_{i}")
-    names = [f"_rff_{i}" for i in range(count)]
     return [
-        SQLTransformer(statement=f"SELECT *, array({scaled}) AS _z FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT *, {', '.join(waves)} FROM __THIS__"),
-        VectorAssembler(inputCols=[*names, *features], outputCol="_x"),
+        RandomWaves(
+            inputCols=features, outputCol="_waves", means=[float(row[f"{c}|m"] or 0.0) for c in features],
+            scales=[float(row[f"{c}|s"] or 1.0) for c in features], shifts=shifts.tolist(), weights=weights.tolist()),
+        VectorAssembler(inputCols=["_waves", *features], outputCol="_x"),
         LinearRegression(featuresCol="_x", labelCol="y", loss="huber", regParam=params.get("regParam", 0.01), maxIter=50),
     ]
 
@@ -134,12 +165,12 @@ def score(model: PipelineModel, rows: DataFrame) -> dict:
     return metrics.evaluate(scored, by=()).first().asDict()
 
 
-def in_parallel(jobs: Sequence[Callable[[], object]], spark, threads: int = 4) -> list:
-    """Run fits side by side; each thread keeps the session's job settings."""
+def in_parallel(jobs: Sequence[Callable[[], object]], spark, threads: int = 8) -> list:
+    """Run fits side by side, begun in order; each thread keeps the session's job settings."""
     if len(jobs) <= 1:
         return [j() for j in jobs]
     with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(lambda j: inheritable_thread_target(spark)(j)(), jobs)
+        return pool.map(lambda j: inheritable_thread_target(spark)(j)(), jobs, chunksize=1)
 
 
 def cross_validate(
@@ -153,7 +184,10 @@ def cross_validate(
             return (candidate.name, str(params), f.fold, m["r2"], m["rmse"], m["mae"])
         return run
 
-    return in_parallel([job(p, f) for p in params_list for f in folds], rows.sparkSession)
+    pairs = [(p, f) for p in params_list for f in folds]
+    largest_first = sorted(range(len(pairs)), key=lambda i: -pairs[i][1].train_end)  # so none is left to run alone
+    found = in_parallel([job(*pairs[i]) for i in largest_first], rows.sparkSession)
+    return [row for _, row in sorted(zip(largest_first, found))]
 
 
 @contextmanager
