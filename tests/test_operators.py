@@ -337,6 +337,34 @@ def test_adf_equals_plain_least_squares(series):
     assert row["adf_stat"] == pytest.approx(beta[1] / math.sqrt(cov[1, 1]), rel=1e-6)
 
 
+def test_adf_sums_join_over_stretches_and_series(spark, monkeypatch):
+    def no_columns(*args, **kwargs):
+        raise AssertionError("a column for each lag")
+
+    monkeypatch.setattr(stattests, "over_order", no_columns)
+    monkeypatch.setattr(stattests, "STRETCH", 60)
+    walk = np.cumsum(np.array(ar1(0.6, 700)))
+    lengths = {"a": 700, "b": 333, None: 61, "c": 7, "d": 4}
+    rows = [(k, i, float(walk[i] + 100 * np.sin(i))) for k, n in lengths.items() for i in range(n)]
+    found = stattests.adf(spark.createDataFrame(rows, "k string, t_idx bigint, y double"), "y", max_lag=5, series_cols=["k"])
+    found = {r["k"]: r for r in found.collect()}
+    assert set(found) == {"a", "b", None, "c"}
+    assert found["c"]["adf_stat"] is None and found["c"]["n_obs"] == 1
+    for k in ("a", "b", None):
+        y = walk[: lengths[k]] + 100 * np.sin(np.arange(lengths[k]))
+        d, at, best = np.diff(y), np.arange(6, len(y)), None
+        for p in range(6):
+            x = np.column_stack([np.ones(len(at)), y[at - 1], *[d[at - 1 - j] for j in range(1, p + 1)]])
+            beta, *_ = np.linalg.lstsq(x, d[at - 1], rcond=None)
+            rest = d[at - 1] - x @ beta
+            score = len(at) * math.log(rest @ rest / len(at)) + 2 * (p + 2)
+            if best is None or score < best[0]:
+                cov = rest @ rest / (len(at) - p - 2) * np.linalg.inv(x.T @ x)
+                best = score, beta[1] / math.sqrt(cov[1, 1]), p
+        assert found[k]["n_obs"] == len(at) and found[k]["used_lag"] == best[2]
+        assert found[k]["adf_stat"] == pytest.approx(best[1], rel=1e-6)
+
+
 def test_noise_and_walk_flags(series):
     noise = forecast.noise_flags(series(NOISE), "y").first()
     walk = forecast.noise_flags(series(ar1(1.0)), "y").first()

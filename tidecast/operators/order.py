@@ -79,6 +79,18 @@ def stretch_of(index: str, size: int) -> Column:
     return F.expr(f"`{index}` div {size}L")
 
 
+def with_halo(df: DataFrame, size: int, behind: int, ahead: int = 0, index: str = "t_idx") -> DataFrame:
+    """Each row in its stretch, ``_stretch``, and in the neighbours' that look at it."""
+    home = stretch_of(index, size)
+    offset = F.pmod(F.col(index), F.lit(size))
+    places = [home]
+    if behind:
+        places.append(F.when(offset >= size - behind, home + 1))
+    if ahead:
+        places.append(F.when((offset < ahead) & (home > 0), home - 1))
+    return df.withColumn("_stretch", F.explode(F.array_compact(F.array(*places))))
+
+
 def over_order(
     df: DataFrame,
     build: Callable[[WindowSpec], dict[str, Column]],
@@ -95,13 +107,7 @@ def over_order(
     """
     size = max(stretch or STRETCH, 10 * max(behind, ahead, 1))
     home = stretch_of(index, size)
-    offset = F.pmod(F.col(index), F.lit(size))
-    places = [home]
-    if behind:
-        places.append(F.when(offset >= size - behind, home + 1))
-    if ahead:
-        places.append(F.when((offset < ahead) & (home > 0), home - 1))
-    spread = df.withColumn("_stretch", F.explode(F.array_compact(F.array(*places))))
+    spread = with_halo(df, size, behind, ahead, index)
     window = Window.partitionBy(*series_cols, "_stretch").orderBy(index)
     built = build(window)
     return (

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.stats import pearson
 from tidecast.functions.tails import chi2_tail, dickey_fuller_p, f_tail
-from tidecast.operators.order import over_order, without_nulls
+from tidecast.operators.order import STRETCH, join_keys, over_order, with_halo, without_nulls
+from tidecast.storage import written_table
 
 SMALL_SERIES = 50
 SIGNIFICANT_ACF = 0.1
@@ -148,7 +149,11 @@ def moments(df: DataFrame, cols: Sequence[str], series_cols: Sequence[str] = ())
             yield pd.DataFrame(rows, columns=[*keys, "v"])
 
     cols = list(cols)
-    parts = df.select(*keys, *cols).mapInPandas(partial, schema)
+    return _summed(df.select(*keys, *cols).mapInPandas(partial, schema), keys)
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The sum of the arrays ``v`` of each series."""
     summed = parts.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
     # A fixed number of entries per series.
     entries = F.array_sort(F.collect_list(F.struct("i", "x")))
@@ -165,6 +170,59 @@ def unpack(v: Sequence[float], width: int) -> tuple[int, np.ndarray, np.ndarray]
     return int(n), mean, square / n - np.outer(mean, mean)
 
 
+def _lagged_sums(rows: DataFrame, reach: int, keys: list[str]) -> DataFrame:
+    """One row per series: sums ``v`` of products of its lags, and its first and last ``reach`` values.
+
+    Over the rows that have ``reach`` rows before them, ``v`` holds their number,
+    the sums of the level (the value one row before) and of its square, of the
+    level times each step and of the last step times each step, the nearest
+    first.  Products of two earlier steps are the same sums some rows before, so
+    the ends of the series are all that they need besides, see ``_square``.
+    """
+    size = max(STRETCH, 10 * reach)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "at bigint", "v array<double>", "head array<double>", "tail array<double>"])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for key, part in pdf.sort_values("t_idx").groupby(keys, sort=False, dropna=False) if keys else [((), pdf.sort_values("t_idx"))]:
+            y = part["y"].to_numpy(dtype=float)
+            if len(y) <= reach:  # a halo only, or too short a series
+                continue
+            level, steps = y[reach - 1: -1], np.diff(y)
+            with_level = np.correlate(steps, level, "valid")[::-1]
+            with_last = np.correlate(steps, steps[reach - 1:], "valid")[::-1]
+            v = [float(len(level)), level.sum(), level @ level, *with_level, *with_last]
+            found.append([*key, part["_stretch"].iloc[0], v, y[:reach].tolist(), y[-reach:].tolist()])
+        return pd.DataFrame(found, columns=[*keys, "at", "v", "head", "tail"], dtype=object)
+
+    # Short series share a call, some STRETCH rows together.
+    calls = F.pmod(F.xxhash64(*keys), F.lit(rows.count() // STRETCH + 1)) if keys else F.lit(0)
+    spread = with_halo(rows, size, reach).groupBy(calls.alias("_call"), "_stretch")
+    parts = written_table(spread.applyInPandas(sums, schema), "lagged-sums")
+    ends = parts.groupBy(*keys).agg(F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"))
+    summed = _summed(parts, keys)
+    return join_keys(summed, ends, keys) if keys else summed.crossJoin(ends)  # one row each
+
+
+def _square(v: Sequence[float], head: Sequence[float], tail: Sequence[float]) -> tuple[int, np.ndarray]:
+    """Count and population covariances of the level, the steps from one row back on, and the last step."""
+    v, head, tail = np.array(v), np.array(head), np.array(tail)
+    reach, n = len(head), v[0]
+    with_level, with_last = v[3: 3 + reach], v[3 + reach:]
+    before, after = np.diff(head)[::-1], np.diff(tail)[::-1]  # steps that come in and go out, the latest first
+    steps = np.empty((reach, reach))
+    steps[0] = steps[:, 0] = with_last
+    for i in range(reach - 1):
+        steps[i + 1, 1:] = steps[i, :-1] + before[i] * before - after[i] * after
+    total = np.concatenate([[v[1]], (tail - head)[::-1]])
+    square = np.empty((reach + 1, reach + 1))
+    square[0, 0], square[0, 1:], square[1:, 0], square[1:, 1:] = v[2], with_level, with_level, steps
+    mean = total / n
+    order = [0, *range(2, reach + 1), 1]
+    return int(n), (square / n - np.outer(mean, mean))[np.ix_(order, order)]
+
+
 def adf_lags(n: int) -> int:
     """Schwert's rule, for series of at least a few rows."""
     return int(max(min(floor(12 * (n / 100) ** 0.25), n // 2 - 3), 0))
@@ -175,7 +233,7 @@ def adf(df: DataFrame, col: str, max_lag: int | None = None, series_cols: Sequen
 
     Orders up to ``max_lag`` are tried; if it is not given, up to Schwert's
     rule for the longest series.
-    One aggregate yields all moments; every lag order is solved from them.
+    One pass over stretches yields a few sums per lag; every lag order is solved from them.
     Series under 50 rows get nulls instead of a test.
     """
     keys = list(series_cols)
@@ -186,14 +244,7 @@ def adf(df: DataFrame, col: str, max_lag: int | None = None, series_cols: Sequen
         max_lag = adf_lags((rows.agg(F.max("t_idx")).first()[0] or 0) + 1)
     reach = max_lag + 1
 
-    def columns(w):
-        y = [F.col("y"), *[F.lag("y", k).over(w) for k in range(1, reach + 1)]]
-        steps = {f"d{k}": y[k] - y[k + 1] for k in range(reach)}
-        return {"level": y[1], **steps}
-
-    lagged = over_order(rows, columns, behind=reach, series_cols=keys).where(F.col(f"d{max_lag}").isNotNull())
-    cols = ["level", *[f"d{k}" for k in range(1, max_lag + 1)], "d0"]
-    sums = moments(lagged, cols, keys)
+    sums = _lagged_sums(rows, reach, keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([
         *(f"`{k}` {types[k]}" for k in keys),
@@ -204,7 +255,7 @@ def adf(df: DataFrame, col: str, max_lag: int | None = None, series_cols: Sequen
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                n, _, cov = unpack(row.v, len(cols))
+                n, cov = _square(row.v, row.head, row.tail)
                 best = None
                 if n + reach >= SMALL_SERIES:
                     c = cov * n
