@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -474,6 +475,19 @@ def test_smoothing_is_the_same_for_any_stretch(series, stretch):
     assert [r["prediction"] for r in got] == pytest.approx(_holt_winters(y, option), abs=1e-8)
 
 
+def test_short_stretches_share_calls(spark):
+    y = [math.sin(i) + 0.1 * e for i, e in enumerate(NOISE[:500])]
+    rows = [(k, i, v) for k in ("a", None) for i, v in enumerate(y)]
+    panel = spark.createDataFrame(rows, "k string, t_idx bigint, y double")
+    out = smoothing.smooth(panel, [smoothing.Smoothing(0.3, 0.1)] * 2, series_cols=["k"], stretch=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Project \[k#\d+, call#", plan) and "offsets_of" not in plan  # states come from a written table
+    want = _holt_winters(y, smoothing.Smoothing(0.3, 0.1))
+    for k in ("a", None):
+        got = [r["prediction"] for r in out.where(F.col("k").eqNullSafe(F.lit(k))).orderBy("t_idx").collect()]
+        assert got == pytest.approx(want, abs=1e-8)
+
+
 def test_smoothing_picks_the_better_option(series):
     y = [math.sin(2 * math.pi * i / 4) * 3 + 0.05 * e for i, e in enumerate(NOISE[:200])]
     options = [smoothing.Smoothing(0.9, 0.3, 0.0, 4), smoothing.Smoothing(0.1, 0.0, 0.5, 4)]

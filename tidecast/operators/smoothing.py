@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.operators.order import stretch_of, join_keys, without_nulls
+from tidecast.storage import written_table
 
-STRETCH = 4096
+STRETCH = 4096    # rows solved as one, and rows of short stretches that one call works on
 CHUNK = 64        # rows solved by one set of products
 WHOLE_STATE = 66  # numbers of a state up to which its matrix is raised to powers
 
@@ -165,9 +166,9 @@ def _opening_states(
         return pd.DataFrame([row], columns=[*keys, "at", "offset"])
 
     groups = [*keys, "home"]
-    squeezed = placed.groupBy(*groups).applyInPandas(
+    squeezed = written_table(placed.groupBy(*groups).applyInPandas(
         squeeze, ", ".join([*key_schema, "at bigint", "offset array<double>"])
-    )
+    ), "offsets")
     upper = _opening_states(squeezed, starts, scan, unit * stretch, key_schema, keys, top // stretch, stretch)
     above = upper.withColumnRenamed("at", "home")
     return placed.groupBy(*groups).cogroup(above.groupBy(*groups)).applyInPandas(chain, schema)
@@ -191,19 +192,24 @@ def smooth(
     scan = Scan(options)
     shape = (len(options), scan.size)
     head = 2 * max(options[0].period, 1)
+    many = max(1, STRETCH // stretch)  # stretches of a call
     flag = F.col("is_train") if "is_train" in df.columns else F.lit(True)
     rows = without_nulls(df, col, series_cols).withColumn("_all", F.lit(0)).select(
         *keys, "t_idx", "_was", F.col(col).cast("double").alias("y"), flag.alias("is_train"),
-        stretch_of("t_idx", stretch).alias("at"),
+        stretch_of("t_idx", stretch).alias("at"), stretch_of("t_idx", stretch * many).alias("call"),
     )
-    groups = [*keys, "at"]
+    groups = [*keys, "call"]
+
+    def stretches(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Numbers of the stretches of sorted rows, and the values of each."""
+        at, first = np.unique(pdf["at"].to_numpy(), return_index=True)
+        return at, np.split(pdf["y"].to_numpy(), first[1:])
 
     def offsets_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t_idx")["y"].to_numpy()
-        end = scan.run(y, np.zeros(shape))[1]
         first = pdf.iloc[0]
-        row = [*[first[k] for k in keys], first["at"], end.ravel().tolist()]
-        return pd.DataFrame([row], columns=[*keys, "at", "offset"])
+        at, values = stretches(pdf.sort_values("t_idx"))
+        ends = [scan.run(y, np.zeros(shape))[1].ravel().tolist() for y in values]
+        return pd.DataFrame([[*[first[k] for k in keys], a, e] for a, e in zip(at, ends)], columns=[*keys, "at", "offset"])
 
     def opening_of(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t_idx")["y"].to_numpy()
@@ -212,19 +218,19 @@ def smooth(
         return pd.DataFrame([[*[first[k] for k in keys], state]], columns=[*keys, "opening"])
 
     top = rows.agg(F.max("at")).first()[0] or 0
-    offsets = rows.groupBy(*groups).applyInPandas(
+    offsets = written_table(rows.groupBy(*groups).applyInPandas(
         offsets_of, ", ".join([*key_schema, "at bigint", "offset array<double>"])
-    )
+    ), "offsets")
     # Two seasons per series at most.
     heads = rows.where(F.col("t_idx") < head).groupBy(*keys).applyInPandas(
         opening_of, ", ".join([*key_schema, "opening array<double>"])
     )
-    openings = _opening_states(offsets, heads, scan, stretch, key_schema, keys, top, stretch)
+    openings = written_table(_opening_states(offsets, heads, scan, stretch, key_schema, keys, top, stretch), "openings")
 
     def forecasts(pdf: pd.DataFrame, opening: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         pdf = pdf.sort_values("t_idx")
-        state = np.array(opening["opening"].iloc[0]).reshape(shape)
-        return pdf, scan.run(pdf["y"].to_numpy(), state)[0]
+        states = dict(zip(opening["at"], opening["opening"]))
+        return pdf, np.concatenate([scan.run(y, np.array(states[a]).reshape(shape))[0] for a, y in zip(*stretches(pdf))])
 
     def errors(pdf: pd.DataFrame, opening: pd.DataFrame) -> pd.DataFrame:
         pdf, f = forecasts(pdf, opening)
@@ -235,6 +241,7 @@ def smooth(
             [[*own, i, float(s)] for i, s in enumerate(sse)], columns=[*keys, "option", "sse"]
         )
 
+    openings = openings.withColumn("call", stretch_of("at", many))
     if len(options) > 1:
         scored = rows.groupBy(*groups).cogroup(openings.groupBy(*groups)).applyInPandas(
             errors, ", ".join([*key_schema, "option int", "sse double"])
