@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidecast.llm import logistic, toxicity
+from tidecast.llm import logistic, samples, toxicity
 
 
 def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
@@ -26,3 +26,20 @@ def test_logistic_of_a_table_equals_that_of_arrays(spark):
     one = logistic.fit_table(rows.where("_label = 1"), 2)
     assert np.allclose(one.probability(x[:1]), (y.sum() + 0.5) / (y.sum() + 1))
     assert logistic.fit_table(rows.where("_label = 7"), 2).probability(x[:1])[0] == 0.5
+
+
+def test_all_labelled_documents_without_a_shuffle_of_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(60)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 80, 3)] + [(3, 0), (6, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    marks = {i: i % 2 for i in range(0, 80, 3)} | {6: 1}
+    want = sorted((i % 50, marks[i % 50], f"text {i}") for i in range(60) if i % 50 in marks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # labels too large for Spark's own choice
+    try:
+        for block, tables in ((1000, 1), (5, 6), (2, 1)):  # one block, several, more than passes are allowed
+            monkeypatch.setattr(samples, "BLOCK_LABELS", block)
+            parts = samples.labelled_parts(docs, labels, "toxic")
+            plans = [p._jdf.queryExecution().executedPlan().toString() for p in parts]
+            assert len(parts) == tables and all(("BroadcastHashJoin" in p) == (block != 2) for p in plans)
+            assert sorted(map(tuple, samples.labelled_documents(docs, labels, "toxic").select("_id", "_label", "text").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import logistic
-from tidecast.llm.samples import labelled_sample
+from tidecast.llm.samples import labelled_documents
 from tidecast.llm.words import U64, Words, find_words, prefix_sums, range_hashes, slices
 from tidecast.storage import written_table
 
@@ -371,7 +371,7 @@ def _features(model: ToxicityModel):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None) -> ToxicityModel:
     """Learn from all labelled documents; ``where`` is a condition on ``_id``."""
-    sample = written_table(labelled_sample(docs, labels, label, None, where), "labelled")
+    sample = labelled_documents(docs, labels, label, where)
     counts = written_table(sample.mapInArrow(_counts, "kind string, item string, n long").groupBy("kind", "item").agg(
         F.sum("n").alias("n")), "token-counts")
     sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
