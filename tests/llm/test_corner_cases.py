@@ -342,6 +342,21 @@ def test_tree_against_a_plain_one(spark, monkeypatch, least):
     assert np.allclose([score[i] for i in range(len(asked))], want, rtol=1e-5)
 
 
+def test_tree_in_blocks_leaves_nothing_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "CANDIDATES", 40)
+    monkeypatch.setattr(suffix_tree_lm, "ENTRIES", 300)
+    rnd = random.Random(7)
+    rows = [(i, " ".join("".join(rnd.choices(["ta", "ri", "on", "é", "X"], k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 25))))
+            for i in range(60)] + [(60, None), (60, "ta ta"), (None, "ri on ta"), (None, "ri on ta")]
+    asked = [t for _, t in rows] + ["never seen words ß"]
+    want, kept = plain_tree_scores([t for _, t in rows], asked, 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string").repartition(3)
+    model = suffix_tree_lm.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), 3)
+    assert kept > 300 and model.blocks > 2
+    score = {r["doc_id"]: r["score"] for r in suffix_tree_lm.language_scores(docs, model, F.lit(False)).collect()}
+    assert np.allclose([score[i] for i in range(len(asked))], want, rtol=1e-5)
+
+
 @pytest.mark.parametrize("block", [None, 300])
 def test_contained_items(spark, monkeypatch, block):
     if block:

@@ -16,6 +16,11 @@ For scoring, nodes and next symbols are tables of 64-bit keys.  A symbol is
 looked up behind the seven before it, then behind fewer, until it is found; a
 longer node that never saw it adds the weight of its parent.
 
+Nothing is left out for being too much to hand out at once: more runs, or more
+next symbols, than one table takes are dealt into blocks, and each block has a
+pass of its own.  A symbol belongs to the block of its context, so each is
+counted, and scored, in one pass only.
+
 The unigram base needs the count of each word.  Words above a share of all
 tokens are shipped (a bounded number); pairs of document and rarer word meet
 their counts in a join, and rare words are no hot keys.
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +43,9 @@ from tidecast.storage import written_table
 DEPTH = 7
 FIRST = 3                # contexts of up to so many symbols are counted without candidates
 LEAST_COUNT = 2000       # occurrences of a context, at any size of corpus
-CANDIDATES = 4_000_000   # runs handed to workers in a pass: 48 MB
-ENTRIES = 6_000_000      # next symbols of all nodes shipped for scoring: 110 MB at most
+CANDIDATES = 4_000_000   # runs handed to workers in a pass: 48 MB; more take more passes
+ENTRIES = 6_000_000      # next symbols of nodes shipped for a pass of scoring: 110 MB; more take more passes
+TAIL = 3                 # last symbols of a context that tell the block it is scored in
 DIVERGENCE = 0.01        # nats between a context and the one a symbol shorter
 TOWARDS_PARENT = 20.0    # observations that the parent's distribution counts for
 SHIPPED_SHARE = 2.5e-7   # of all tokens: at most 4 million words are shipped
@@ -98,6 +105,22 @@ def low_bytes(n: int) -> U64:
     return U64((1 << 8 * n) - 1)
 
 
+def _blocks(size: int, most: int) -> int:
+    """Blocks for so many keys; with several, each is half full on average, so that uneven ones fit."""
+    return 1 if size <= most else 2 * size // most + 1
+
+
+def _block(key: Column, blocks: int) -> Column:
+    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 16)).bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftrightunsigned(folded.cast("long") * F.lit(40503), 4) % F.lit(blocks)
+
+
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The same for an array."""
+    folded = (keys ^ keys >> U64(16) ^ keys >> U64(32)) & U64(0xFFFF)
+    return (folded * U64(40503) >> U64(4)) % U64(blocks)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     order = np.argsort(keys)
@@ -154,8 +177,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tally.flush()
 
 
-def _extended(depth: int, shipped):
-    """Count what follows contexts of ``depth`` and one more symbol that are made of candidates."""
+def _extended(depth: int, shipped, block: int, blocks: int):
+    """Count what follows contexts of ``depth`` and one more symbol that are made of candidates.
+
+    A context is counted in the block of its last ``depth`` symbols; candidates of
+    other blocks are not at hand, so what might be one counts as one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates, shorter, longer = shipped.value, Tally(depth), Tally(depth + 1)
         for batch in batches:
@@ -166,6 +193,8 @@ def _extended(depth: int, shipped):
                 # The context one longer holds a candidate's run at its other end too.
                 other = keys >> U64(16) & low_bytes(depth)
                 both = candidates.find(other) >= 0
+                if blocks > 1:
+                    both |= block_of(other, blocks) != U64(block)
                 yield from longer.add(keys[both] & low_bytes(depth + 2), times[both])
                 yield from shorter.add(keys[~both] & low_bytes(depth + 1), times[~both])
         for tally in (shorter, longer):
@@ -257,7 +286,9 @@ class LanguageModel:
     train_tokens: int        # ends included
     distinct: int
     train_docs: int
-    shipped: object          # broadcast of sorted keys and counts, and of the tree
+    shipped: object          # broadcast of sorted keys and counts of common words
+    grown: DataFrame         # d, gram, n: next symbols of kept contexts of d symbols
+    blocks: int              # that the kept contexts are shipped in
 
 
 def _runs(counted: DataFrame) -> DataFrame:
@@ -268,32 +299,20 @@ def _runs(counted: DataFrame) -> DataFrame:
     return written_table(each.groupBy("d", gram.alias("gram")).agg(F.sum("n").alias("n")), "runs")
 
 
-def _commonest(rows: DataFrame, weight: Column, most: int) -> DataFrame:
-    """The rows with the largest ``n`` whose weights add up to at most ``most``; nearly always all rows."""
-    step = F.floor(F.log2("n") * 64).alias("step")
-    sizes = sorted(((r["step"], r["w"]) for r in rows.groupBy(step).agg(F.sum(weight).alias("w")).collect()), reverse=True)
-    least, held = 0, 0
-    for step_, w in sizes:
-        held += w
-        if held > most:
-            least = step_ + 1
-            break
-    return rows.where(F.floor(F.log2("n") * 64) >= least)
-
-
-def _candidates(runs: DataFrame, depth: int, least: int) -> KeyTable:
-    """Frequent runs of ``depth`` symbols, and the pads before a text."""
-    often = _commonest(runs.where((F.col("d") == depth - 1) & (F.col("n") >= least)), F.lit(1), CANDIDATES)
-    pads = U64(int.from_bytes(bytes([PAD] * depth), "big"))
-    table = KeyTable(np.append(often.select("gram").toArrow().column(0).to_numpy().view(U64), pads))
+def _candidates(often: DataFrame, depth: int, block: int, blocks: int) -> KeyTable:
+    """Frequent runs of ``depth`` symbols, and the pads before a text; those of one block."""
+    own = often if blocks == 1 else often.where(_block(F.col("gram"), blocks) == block)
+    pads = np.array([int.from_bytes(bytes([PAD] * depth), "big")], U64)
+    keys = own.select("gram").toArrow().column(0).to_numpy().view(U64)
+    table = KeyTable(np.append(keys, pads[block_of(pads, blocks) == U64(block)]))
     del table.order
     return table
 
 
-def _kept(runs: DataFrame, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Runs of kept contexts and their next symbol with counts, by the context's length."""
+def _kept(runs: DataFrame, least: int) -> DataFrame:
+    """``d, gram, n``: runs of kept contexts of ``d`` symbols and their next symbol with counts."""
     counted = runs.select("d", F.shiftrightunsigned("gram", 8).alias("ctx"), "gram", "n")
-    frequent = written_table(counted.groupBy("d", "ctx").agg(F.sum("n").alias("all"), F.count("*").alias("symbols")).where(
+    frequent = written_table(counted.groupBy("d", "ctx").agg(F.sum("n").alias("all")).where(
         (F.col("all") >= least) | (F.col("d") == 0)), "frequent-contexts")
     child = written_table(counted.join(frequent, ["d", "ctx"]), "frequent")
     symbol = F.col("gram").bitwiseAND(F.lit(255))
@@ -305,18 +324,23 @@ def _kept(runs: DataFrame, least: int) -> tuple[list[np.ndarray], list[np.ndarra
         parent, ["d", "up", "symbol"]).groupBy("d", "ctx").agg(F.sum(p * F.log(p / F.col("q"))).alias("divergence"))
     suffixes = apart.where(F.col("divergence") >= DIVERGENCE).select(F.explode(F.sequence(F.lit(1), "d")).alias("d"), "ctx").select(
         "d", F.expr("ctx & shiftrightunsigned(-1L, 64 - 8 * d)").alias("ctx")).distinct()
-    nodes = written_table(frequent.withColumnRenamed("all", "n").join(suffixes, ["d", "ctx"], "left_semi"), "nodes")
-    kept = _commonest(nodes, F.col("symbols"), ENTRIES).select("d", "ctx")
-    found = child.join(kept, ["d", "ctx"], "left_semi").select("d", "gram", "n").unionByName(
-        child.where("d = 0").select("d", "gram", "n")).toArrow()
+    return written_table(child.join(suffixes, ["d", "ctx"], "left_semi").select("d", "gram", "n").unionByName(
+        child.where("d = 0").select("d", "gram", "n")), "grown")
+
+
+def _tree(grown: DataFrame, block: int, blocks: int) -> BackoffTree:
+    """Contexts shorter than ``TAIL``, and the longer ones of one block."""
+    tail = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(int(low_bytes(TAIL))))
+    own = grown if blocks == 1 else grown.where((F.col("d") < TAIL) | (_block(tail, blocks) == block))
+    found = own.toArrow()
     d, gram, n = (found.column(c).to_numpy() for c in ("d", "gram", "n"))
     keys, counts = [], []
     for depth in range(DEPTH + 1):
-        own = np.flatnonzero(d == depth)
-        own = own[np.argsort(gram[own].view(U64))]
-        keys.append(gram[own].view(U64))
-        counts.append(n[own])
-    return keys, counts
+        at = np.flatnonzero(d == depth)
+        at = at[np.argsort(gram[at].view(U64))]
+        keys.append(gram[at].view(U64))
+        counts.append(n[at])
+    return BackoffTree(keys, counts)
 
 
 def fit_language_model(docs: DataFrame, where: Column, least_count: int | None = None) -> LanguageModel:
@@ -331,9 +355,12 @@ def fit_language_model(docs: DataFrame, where: Column, least_count: int | None =
     counts = summed(_count)
     runs = _runs(counts)
     for depth in range(FIRST + 1, DEPTH, 2):
-        shipped = spark.sparkContext.broadcast(_candidates(runs, depth, least))
-        runs = runs.unionByName(_runs(summed(_extended(depth, shipped))))
-        shipped.unpersist()
+        often = runs.where((F.col("d") == depth - 1) & (F.col("n") >= least))
+        blocks = _blocks(often.count(), CANDIDATES)
+        for block in range(blocks):
+            shipped = spark.sparkContext.broadcast(_candidates(often, depth, block, blocks))
+            runs = runs.unionByName(_runs(summed(_extended(depth, shipped, block, blocks))))
+            shipped.unpersist()
     words = counts.where(F.col("kind") == _WORDS).select("key", "n")
     tallied = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_docs = counts.where(F.col("kind") == _DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -341,21 +368,44 @@ def fit_language_model(docs: DataFrame, where: Column, least_count: int | None =
     often = words.where(F.col("n") >= max(1, SHIPPED_SHARE * tokens)).toArrow()
     keys, n = often.column(0).to_numpy().view(U64), often.column(1).to_numpy()
     order = np.argsort(keys)
-    shipped = spark.sparkContext.broadcast((keys[order], n[order], BackoffTree(*_kept(runs, least))))
-    return LanguageModel(words, tokens, tallied[1] + (train_docs > 0), train_docs, shipped)
+    shipped = spark.sparkContext.broadcast((keys[order], n[order]))
+    grown = _kept(runs, least)
+    return LanguageModel(words, tokens, tallied[1] + (train_docs > 0), train_docs, shipped, grown, _blocks(grown.count(), ENTRIES))
+
+
+def _text_scores(stream: Stream, tree: BackoffTree, block: int, blocks: int) -> np.ndarray:
+    """Per text, the sum over the symbols of a block."""
+    keys = grams(stream)
+    if blocks == 1:
+        return np.add.reduceat(tree.log10(keys), stream.starts)
+    own = np.flatnonzero(block_of(keys >> U64(8) & low_bytes(TAIL), blocks) == U64(block))
+    found = np.zeros(len(keys))
+    found[own] = tree.log10(keys[own])
+    return np.add.reduceat(found, stream.starts)
+
+
+def _further(shipped_tree, block: int, blocks: int):
+    """What the symbols of one more block add to the score of a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                score = _text_scores(streamed(part.column("text")), shipped_tree.value, block, blocks)
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(score)], names=["_row", "score"])
+    return run
 
 
-def _score(shipped, tokens: int, distinct: int, train_docs: int):
+def _score(shipped, shipped_tree, blocks: int, tokens: int, distinct: int, train_docs: int):
+    """All about the words of rows, and the scores of their symbols of the first block."""
     base = np.log10(tokens + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, tree = shipped.value
+        (keys, counts), tree = shipped.value, shipped_tree.value
         logs = np.log10(counts + 0.5)
         for batch in batches:
             for part in slices(batch):
                 stream, found = streamed(part.column("text")), find_words(part.column("text"), lower=True)
                 hashes = found.hashes()
-                score = np.add.reduceat(tree.log10(grams(stream)), stream.starts)
+                score = _text_scores(stream, tree, 0, blocks)
                 n_docs, n_words = part.num_rows, np.diff(found.first)
                 doc = np.repeat(np.arange(n_docs), n_words)
                 at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
@@ -371,9 +421,9 @@ def _score(shipped, tokens: int, distinct: int, train_docs: int):
                 n_tokens = n_words + 1
                 total = total + np.log10(train_docs + 0.5) - n_tokens * base
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(known + (train_docs > 0)),
+                    part.column("_row"), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(known + (train_docs > 0)),
                     pa.array(total), pa.array(score), lists(rare), lists(rare_n)],
-                    names=["doc_id", "held_out", "n_tokens", "_known", "_base", "score", "_rare", "_times"])
+                    names=["_row", "doc_id", "held_out", "n_tokens", "_known", "_base", "score", "_rare", "_times"])
     return run
 
 
@@ -385,18 +435,33 @@ def language_scores(docs: DataFrame, model: LanguageModel, held_out: Column) ->
     and empty texts are their end alone.  Null ids stay null, repeated rows
     score alike, and without training texts all symbols are alike unlikely.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
-                         F.col("text").cast("string").alias("text"))
+    broadcast, blocks = docs.sparkSession.sparkContext.broadcast, model.blocks
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+                         held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    if blocks > 1:  # rows that several passes name alike
+        source = written_table(source, "numbered")
+    tree = broadcast(_tree(model.grown, 0, blocks))
     scored = written_table(source.mapInArrow(
-        _score(model.shipped, model.train_tokens, model.distinct, model.train_docs),
-        "doc_id long, held_out boolean, n_tokens long, _known long, _base double, score double, "
-        "_rare array<long>, _times array<long>").withColumn("_row", F.monotonically_increasing_id()), "scored")
+        _score(model.shipped, tree, blocks, model.train_tokens, model.distinct, model.train_docs),
+        "_row long, doc_id long, held_out boolean, n_tokens long, _known long, _base double, score double, "
+        "_rare array<long>, _times array<long>"), "scored")
+    tree.unpersist()
+    parts = []
+    for block in range(1, blocks):
+        tree = broadcast(_tree(model.grown, block, blocks))
+        parts.append(written_table(source.select("_row", "text").mapInArrow(
+            _further(tree, block, blocks), "_row long, score double"), "scored-block"))
+        tree.unpersist()
     pairs = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select(
         "_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
     looked = pairs.join(model.counts, "key", "left").groupBy("_row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_more"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_rest"))
-    return scored.drop("_rare", "_times").join(looked, "_row", "left").select(
+    whole = scored.drop("_rare", "_times").join(looked, "_row", "left")
+    if parts:
+        added = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.sum("score").alias("_added"))
+        whole = whole.join(added, "_row", "left").withColumn("score", F.col("score") + F.col("_added"))
+    return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_rest", F.lit(0.0))).alias("base_score"), "score")
