@@ -698,3 +698,25 @@ def test_feature_groups_and_model_subsets(spark):
     groups = {r["feature_group"]: r["features"] for r in feature_groups(spark.createDataFrame([(n,) for n in names], "feature string")).collect()}
     assert groups["lag"] == 1 and groups["rolling"] == 1
     assert set(fx.model_subsets(names, ["SARIMA", "Linear Models"])) == {"SARIMA", "Linear Models"}
+
+
+@pytest.mark.parametrize("family", ["random_forest", "extra_trees"])
+def test_forests_that_differ_in_depth_share_one_fit(spark, family, monkeypatch):
+    """The cut forest predicts and scores as the forest fitted at that depth."""
+    draw = np.random.default_rng(5)
+    a, b, c = draw.normal(size=(3, 3000))
+    y = np.sin(3 * a) + a * b + 0.1 * draw.normal(size=3000)
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(y, a, b, c))], "t_idx int, y double, a double, b double, c double")
+    rows, names, sets = rows.repartition(3, "t_idx").persist(), ["a", "b", "c"], [{"maxDepth": d, "numTrees": 6} for d in (2, 6, 4)]
+    candidate, folds = training.CANDIDATES[family], split.expanding_folds(3000, 2)
+    fitted, fit = [], training.fit
+    monkeypatch.setattr(training, "fit", lambda *args: fitted.append(args[3]) or fit(*args))
+    found = training.cross_validate(candidate, rows, names, folds, sets)
+    assert fitted == [sets[1]] * 2  # one fit a fold, not one a depth
+    assert [r[1:3] for r in found] == [(str(p), f.fold) for p in sets for f in folds]
+    for (p, f), got in zip([(p, f) for p in sets for f in folds], found):
+        m = training.score(fit(candidate, rows.where(f.train()), names, p), rows.where(f.test()))
+        assert got[3:] == pytest.approx((m["r2"], m["rmse"], m["mae"]), rel=1e-9)
+    monkeypatch.setattr(training, "LEVEL_BYTES", 0)
+    assert len(training.shared_fits(candidate, names, sets)) == 3
+    rows.unpersist()

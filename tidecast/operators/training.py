@@ -28,7 +28,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import metrics
+from tidecast.operators import metrics, trees
 from tidecast.operators.split import Fold
 
 SEED = 42
@@ -112,6 +112,7 @@ class Candidate:
     name: str
     stages: Stages
     grid: dict[str, list] = field(default_factory=dict)
+    forest: bool = False  # its fit, cut at a smaller maxDepth, is the fit of that depth
 
 
 def _forest(**kw):
@@ -134,8 +135,8 @@ CANDIDATES = {
         Candidate("elastic_net", _linear(0.5), {"regParam": [0.001, 0.01, 0.1]}),
         Candidate("gradient_boosting", _assembled(_boost), {"maxDepth": [3, 5], "maxIter": [20], "stepSize": [0.1, 0.2]}),
         Candidate("hist_gradient_boosting", _assembled(_boost), {"maxDepth": [5], "maxBins": [64], "maxIter": [20]}),
-        Candidate("random_forest", _assembled(_forest), {"maxDepth": [5, 8], "numTrees": [30]}),
-        Candidate("extra_trees", _assembled(_extra), {"maxDepth": [5, 8], "numTrees": [30]}),
+        Candidate("random_forest", _assembled(_forest), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
+        Candidate("extra_trees", _assembled(_extra), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
         Candidate("rbf_kernel", _kernel, {"width": [1.0, 2.0]}),
     ]
 }
@@ -165,6 +166,34 @@ def score(model: PipelineModel, rows: DataFrame) -> dict:
     return metrics.evaluate(scored, by=()).first().asDict()
 
 
+def score_depths(model: PipelineModel, rows: DataFrame, features: Sequence[str], depths: Sequence[int]) -> list[dict]:
+    """Scores of a forest cut at each of ``depths``, and last of the whole forest, by one pass over the rows."""
+    cut = trees.cut_predictions(model, depths)(*[F.col(f"`{c}`").cast("double") for c in features])
+    scored = model.transform(rows).select("y", F.posexplode(F.concat(cut, F.array("prediction"))).alias("at", "prediction"))
+    found = {m["at"]: m.asDict() for m in metrics.evaluate(scored, by=("at",)).collect()}
+    return [found[i] if i in found else score(model, rows) for i in range(len(depths) + 1)]
+
+
+LEVEL_BYTES = 256 * 2**20  # maxMemoryInMB, as preset: the nodes of a level are split together within it
+
+
+def shared_fits(candidate: Candidate, features: Sequence[str], params_list: Sequence[dict]) -> list[list[dict]]:
+    """Parameter sets by the fit that gives them; the set that is fitted comes last.
+
+    Forests that differ in depth only draw the same rows and columns, level by level, as long
+    as each level is split at once.  The shallower ones are the upper levels of the deepest.
+    """
+    if not candidate.forest:
+        return [[p] for p in params_list]
+    groups: dict[str, list[dict]] = {}
+    for p in params_list:
+        nodes = p.get("numTrees", 20) * 2 ** (p.get("maxDepth", 5) - 1)
+        whole = nodes * len(features) * p.get("maxBins", 32) * 3 * 8 <= LEVEL_BYTES
+        rest = {k: v for k, v in p.items() if k != "maxDepth"}
+        groups.setdefault(str(rest if whole else p), []).append(p)
+    return [sorted(g, key=lambda p: p.get("maxDepth", 5)) for g in groups.values()]
+
+
 def in_parallel(jobs: Sequence[Callable[[], object]], spark, threads: int = 8) -> list:
     """Run fits side by side, begun in order; each thread keeps the session's job settings."""
     if len(jobs) <= 1:
@@ -177,17 +206,18 @@ def cross_validate(
     candidate: Candidate, rows: DataFrame, features: list[str], folds: Sequence[Fold], params_list: Sequence[dict]
 ) -> list[tuple]:
     """One result per parameter set and fold; training rows always precede the test rows."""
-    def job(params: dict, f: Fold):
+    def job(sets: list[dict], f: Fold):
         def run():
-            model = fit(candidate, rows.where(f.train()), features, params)
-            m = score(model, rows.where(f.test()))
-            return (candidate.name, str(params), f.fold, m["r2"], m["rmse"], m["mae"])
+            model = fit(candidate, rows.where(f.train()), features, sets[-1])
+            test = rows.where(f.test())
+            scores = score_depths(model, test, features, [p.get("maxDepth", 5) for p in sets[:-1]]) if sets[1:] else [score(model, test)]
+            return [(candidate.name, str(p), f.fold, m["r2"], m["rmse"], m["mae"]) for p, m in zip(sets, scores)]
         return run
 
-    pairs = [(p, f) for p in params_list for f in folds]
-    largest_first = sorted(range(len(pairs)), key=lambda i: -pairs[i][1].train_end)  # so none is left to run alone
-    found = in_parallel([job(*pairs[i]) for i in largest_first], rows.sparkSession)
-    return [row for _, row in sorted(zip(largest_first, found))]
+    jobs = [(sets, f) for sets in shared_fits(candidate, features, params_list) for f in folds]
+    jobs.sort(key=lambda j: -j[1].train_end)  # the largest first, so none is left to run alone
+    found = {row[1:3]: row for done in in_parallel([job(*j) for j in jobs], rows.sparkSession) for row in done}
+    return [found[str(p), f.fold] for p in params_list for f in folds]
 
 
 @contextmanager

@@ -99,6 +99,43 @@ def shapley_values(found: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nodes(tree, depth: int) -> tuple[np.ndarray, ...]:
+    """Feature (-1: a leaf), cut, left child, right child and value of the nodes down to ``depth``."""
+    rows: list[list] = []
+
+    def walk(node, left: int) -> int:
+        at = len(rows)
+        rows.append([-1, 0.0, at, at, node.prediction()])
+        if left and node.subtreeDepth():
+            split = node.split()
+            if not hasattr(split, "threshold"):
+                raise ValueError("only numeric splits can be cut")
+            rows[at][:2] = split.featureIndex(), split.threshold()
+            rows[at][2:4] = walk(node.leftChild(), left - 1), walk(node.rightChild(), left - 1)
+        return at
+
+    walk(tree._call_java("rootNode"), depth)
+    return tuple(np.array(c) for c in zip(*rows))
+
+
+def cut_predictions(model: PipelineModel, depths: Sequence[int]):
+    """A function of the feature columns: the predictions of a forest cut at each of ``depths``, as an array."""
+    forest = [_nodes(tree, max(depths)) for tree in model.stages[-1].trees]
+
+    def run(*columns: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        rows, out = np.arange(len(x)), np.zeros((len(x), len(depths)))
+        for feature, cut, left, right, value in forest:
+            node = np.zeros(len(x), dtype=int)
+            for level in range(max(depths) + 1):
+                out[:, [d == level for d in depths]] += value[node][:, None]
+                node = np.where(x[rows, feature[node]] <= cut[node], left[node], right[node])  # a leaf leads to itself
+        ends = np.arange(0, out.size + 1, len(depths), dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, (out / len(forest)).ravel())
+
+    return F.arrow_udf(run, "array<double>")
+
+
 def _explained(found: list[Leaf], features: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
