@@ -342,6 +342,26 @@ def test_tree_against_a_plain_one(spark, monkeypatch, least):
     assert np.allclose([score[i] for i in range(len(asked))], want, rtol=1e-5)
 
 
+def test_counts_travel_packed():
+    from collections import Counter
+
+    import pyarrow as pa
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=4)) for _ in range(600)) for _ in range(5)]
+    batch = pa.RecordBatch.from_pydict({"text": texts + [None]})
+    put_out = list(suffix_tree_lm._count(iter([batch])))
+    assert sum(b.num_rows for b in put_out) <= 2 * suffix_tree_lm.PARTS + 1
+    got = {}
+    for b in suffix_tree_lm._sums(iter(put_out + put_out)):  # two tasks that read the same
+        got |= {(kind, key): n for kind, key, n in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "n")))}
+    want = Counter()
+    for t in [*texts, ""]:
+        s = bytes([0x0B] * 7) + t.encode() + bytes([0x0A])
+        want.update((3, int.from_bytes(s[k - 3: k + 1], "big")) for k in range(7, len(s)))
+    assert {k: n for k, n in got.items() if k[0] == 3} == {k: 2 * n for k, n in want.items()}
+    assert got[-2, 0] == 12 and sum(n for k, n in got.items() if k[0] == -1) == 6000
+
+
 def test_tree_in_blocks_leaves_nothing_out(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "CANDIDATES", 40)
     monkeypatch.setattr(suffix_tree_lm, "ENTRIES", 300)

@@ -10,7 +10,9 @@ The tree grows over three passes.  The first counts all runs of four symbols.
 A context can be frequent only if it is a frequent run and so are its parts:
 the runs of four (then six) symbols seen often are handed to the workers, and
 a pass counts next symbols only behind these.  Counts of frequent contexts are
-complete, rarer ones never leave a worker in number.
+complete, rarer ones never leave a worker in number.  Counts travel packed, many
+keys to a row; all that concern a context meet in one part, which is added up
+in arrays, and contexts that are not frequent end there.
 
 For scoring, nodes and next symbols are tables of 64-bit keys.  A symbol is
 looked up behind the seven before it, then behind fewer, until it is found; a
@@ -129,13 +131,20 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts[order], at)
 
 
+PARTS = 1024  # that tallies are dealt into to be added up
+
+
 class Tally:
-    """Counts of 64-bit keys.  What is held is put out whenever it has grown large; Spark adds it up."""
+    """Counts of 64-bit keys.  What is held is put out whenever it has grown large.
+
+    A row holds many keys: those of one part, told by the last symbols of a run
+    before its next one (all bits of other keys), in order, and their counts.
+    """
 
     HELD = 1_000_000
 
-    def __init__(self, kind: int):
-        self.kind, self.parts, self.held = kind, [], 0
+    def __init__(self, kind: int, last: int | None = None):
+        self.kind, self.last, self.parts, self.held = kind, last, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         if len(keys):
@@ -155,11 +164,72 @@ class Tally:
             self._merge()
             keys, counts = self.parts[0]
             self.parts, self.held = [], 0
-            for lo in range(0, len(keys), 50_000):
-                k = keys[lo: lo + 50_000]
+            of = mixed(keys if self.last is None else keys >> U64(8) & low_bytes(self.last)) % U64(PARTS)
+            order = np.argsort(of.astype(np.uint16), kind="stable")
+            keys, counts, of = keys[order], counts[order].astype(np.int64), of[order]
+            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            ends = np.append(at, len(keys)) * 8
+            for lo in range(0, len(at), 128):
+                rows = slice(lo, lo + 128)
+                cut = ends[lo: lo + 129]
+                n = len(cut) - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(k), self.kind, np.int32)), pa.array(k.view(np.int64)), pa.array(counts[lo: lo + 50_000])],
-                    names=["kind", "key", "n"])
+                    pa.array(of[at[rows]].astype(np.int32)), pa.array(np.full(n, self.kind, np.int32)),
+                    *(pa.Array.from_buffers(pa.binary(), n, [
+                        None, pa.py_buffer((cut - cut[0]).astype(np.int32)), pa.py_buffer(x[cut[0] // 8: cut[-1] // 8])])
+                      for x in (keys, counts))],
+                    names=["part", "kind", "keys", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind, all keys of the tallies of a partition and the sums of their counts."""
+    held: dict[int, list] = {}
+    size: dict[int, int] = {}
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            own = batch.filter(pa.array(kinds == kind))
+            keys, counts = (np.frombuffer(b"".join(own.column(c).to_pylist()), t) for c, t in (("keys", U64), ("counts", np.int64)))
+            held.setdefault(kind, []).append(summed(keys, counts))
+            if sum(len(k) for k, _ in held[kind]) > max(2 * size.get(kind, 0), 1_000_000):
+                held[kind] = [summed(*map(np.concatenate, zip(*held[kind])))]
+                size[kind] = len(held[kind][0][0])
+    return {kind: summed(*map(np.concatenate, zip(*parts))) for kind, parts in held.items()}
+
+
+def _put_out(name: str, kind: int, column: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(keys), 50_000):
+        k = keys[lo: lo + 50_000]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(counts[lo: lo + 50_000])],
+            names=[name, column, "n"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``kind, key, n``."""
+    for kind, (keys, counts) in _added(batches).items():
+        yield from _put_out("kind", kind, "key", keys, counts)
+
+
+def _frequent_runs(depth: int, least: int):
+    """``d, gram, n`` of contexts of ``depth`` and one more symbol that occur ``least`` times.
+
+    All runs of a context of either length are in one part, so its count is whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, U64), np.zeros(0, np.int64)
+        found = _added(batches)
+        shorter, longer = found.get(depth, none), found.get(depth + 1, none)
+        keys = np.concatenate([shorter[0], longer[0] & low_bytes(depth + 1)])
+        if not len(keys):
+            return
+        for d, (grams, n) in ((depth, summed(keys, np.concatenate([shorter[1], longer[1]]))), (depth + 1, longer)):
+            if len(grams):
+                context = grams >> U64(8)
+                at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                often = np.repeat(np.add.reduceat(n, at) >= least, np.diff(np.append(at, len(grams))))
+                yield from _put_out("d", d, "gram", grams[often], n[often])
+    return run
 
 
 _WORDS, _DOCS = -1, -2  # kinds of tallies; others are the length of the contexts counted
@@ -184,7 +254,7 @@ def _extended(depth: int, shipped, block: int, blocks: int):
     other blocks are not at hand, so what might be one counts as one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates, shorter, longer = shipped.value, Tally(depth), Tally(depth + 1)
+        candidates, shorter, longer = shipped.value, Tally(depth, depth), Tally(depth + 1, depth)
         for batch in batches:
             for part in slices(batch):
                 keys, times = np.unique(grams(streamed(part.column("text"))), return_counts=True)
@@ -291,10 +361,9 @@ class LanguageModel:
     blocks: int              # that the kept contexts are shipped in
 
 
-def _runs(counted: DataFrame) -> DataFrame:
-    """``d, gram, n``: next symbols of contexts of each length ``d`` that the kinds counted stand for."""
-    least = F.when(F.col("kind") == FIRST, 0).otherwise(F.col("kind") - (F.col("kind") - FIRST - 1) % 2)
-    each = counted.where("kind >= 0").select(F.explode(F.sequence(least, F.col("kind"))).alias("d"), "key", "n")
+def _short_runs(counted: DataFrame) -> DataFrame:
+    """``d, gram, n``: next symbols of contexts of up to ``FIRST`` symbols."""
+    each = counted.where(F.col("kind") == FIRST).select(F.explode(F.sequence(F.lit(0), F.lit(FIRST))).alias("d"), "key", "n")
     gram = F.expr("key & shiftrightunsigned(-1L, 56 - 8 * d)")
     return written_table(each.groupBy("d", gram.alias("gram")).agg(F.sum("n").alias("n")), "runs")
 
@@ -348,29 +417,30 @@ def fit_language_model(docs: DataFrame, where: Column, least_count: int | None =
     spark, least = docs.sparkSession, least_count or LEAST_COUNT
     training = docs.where(where).select(F.col("text").cast("string").alias("text"))
 
-    def summed(count) -> DataFrame:
-        return written_table(training.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(
-            F.sum("n").alias("n")), "counts")
+    def tallied(count, add, schema: str) -> DataFrame:
+        dealt = training.mapInArrow(count, "part int, kind int, keys binary, counts binary").repartition("part")
+        return written_table(dealt.mapInArrow(add, schema), "counts")
 
-    counts = summed(_count)
-    runs = _runs(counts)
+    counts = tallied(_count, _sums, "kind int, key long, n long")
+    runs = _short_runs(counts)
     for depth in range(FIRST + 1, DEPTH, 2):
         often = runs.where((F.col("d") == depth - 1) & (F.col("n") >= least))
         blocks = _blocks(often.count(), CANDIDATES)
         for block in range(blocks):
             shipped = spark.sparkContext.broadcast(_candidates(often, depth, block, blocks))
-            runs = runs.unionByName(_runs(summed(_extended(depth, shipped, block, blocks))))
+            runs = runs.unionByName(tallied(
+                _extended(depth, shipped, block, blocks), _frequent_runs(depth, least), "d int, gram long, n long"))
             shipped.unpersist()
     words = counts.where(F.col("kind") == _WORDS).select("key", "n")
-    tallied = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    all_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_docs = counts.where(F.col("kind") == _DOCS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tokens = tallied[0] + train_docs
+    tokens = all_words[0] + train_docs
     often = words.where(F.col("n") >= max(1, SHIPPED_SHARE * tokens)).toArrow()
     keys, n = often.column(0).to_numpy().view(U64), often.column(1).to_numpy()
     order = np.argsort(keys)
     shipped = spark.sparkContext.broadcast((keys[order], n[order]))
     grown = _kept(runs, least)
-    return LanguageModel(words, tokens, tallied[1] + (train_docs > 0), train_docs, shipped, grown, _blocks(grown.count(), ENTRIES))
+    return LanguageModel(words, tokens, all_words[1] + (train_docs > 0), train_docs, shipped, grown, _blocks(grown.count(), ENTRIES))
 
 
 def _text_scores(stream: Stream, tree: BackoffTree, block: int, blocks: int) -> np.ndarray:
