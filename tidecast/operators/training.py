@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -28,11 +30,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import metrics, trees
+from tidecast.operators import huber, metrics, trees
 from tidecast.operators.split import Fold
 
 SEED = 42
 Stages = Callable[[DataFrame, list[str], dict], list[Estimator | Transformer]]
+# Of rows, features, and pairs of parameters and the end of the training rows (none: all of them).
+Together = Callable[[DataFrame, list[str], Sequence[tuple[dict, int | None]]], list[PipelineModel]]
 
 
 def _assembled(estimator) -> Stages:
@@ -88,31 +92,61 @@ class RandomWaves(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable
         return dataset.withColumn(self.getOutputCol(), array_to_vector(F.arrow_udf(waves, "array<double>")(*columns)))
 
 
-def _kernel(train: DataFrame, features: list[str], params: dict):
-    """Random Fourier features of an RBF kernel, then a Huber regression.
+def _kernel(rows: DataFrame, features: list[str], sets: Sequence[tuple[dict, int | None]]) -> list[PipelineModel]:
+    """Random Fourier features of an RBF kernel, then a Huber regression; all sets by the same passes.
 
     Weights come from a seeded generator, means and scales from the training rows.
     """
-    count, width = params.get("components", 32), params.get("width", 1.0)
-    row = train.agg(*[f(c).alias(f"{c}|{n}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    rng = np.random.default_rng(SEED)
-    weights = rng.normal(scale=1 / (width * np.sqrt(len(features))), size=(count, len(features)))
-    shifts = rng.uniform(0, 2 * np.pi, size=count)
-    return [
-        RandomWaves(
-            inputCols=features, outputCol="_waves", means=[float(row[f"{c}|m"] or 0.0) for c in features],
-            scales=[float(row[f"{c}|s"] or 1.0) for c in features], shifts=shifts.tolist(), weights=weights.tolist()),
-        VectorAssembler(inputCols=["_waves", *features], outputCol="_x"),
-        LinearRegression(featuresCol="_x", labelCol="y", loss="huber", regParam=params.get("regParam", 0.01), maxIter=50),
-    ]
+    spark, ends = rows.sparkSession, list(dict.fromkeys(end for _, end in sets))
+    until = lambda end: rows if end is None else rows.where(F.col("t_idx") < end)
+    aggregates = [f(c).alias(f"{c}|{n}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    moments = dict(zip(ends, in_parallel([lambda end=end: until(end).agg(*aggregates).first() for end in ends], spark)))
+    fits = []
+    for params, end in sets:
+        count, width = params.get("components", 32), params.get("width", 1.0)
+        rng = np.random.default_rng(SEED)
+        weights = rng.normal(scale=1 / (width * np.sqrt(len(features))), size=(count, len(features)))
+        shifts = rng.uniform(0, 2 * np.pi, size=count)
+        fits.append(huber.Waves(
+            np.array([float(moments[end][f"{c}|m"] or 0.0) for c in features]), np.array([float(moments[end][f"{c}|s"] or 1.0) for c in features]),
+            shifts, weights, float("inf") if end is None else end))
+    penalties = [params.get("regParam", 0.01) for params, _ in sets]
+    # Rows of a single set that covers all of them need no index.
+    index = F.col("t_idx") if any(end is not None for end in ends) else F.lit(0)
+    last = until(None if None in ends else max(ends)).select(index.alias("t_idx"), "y", *features)
+    blocks = huber.packed(last, ["t_idx", "y", *features], "waves")
+    try:
+        lines = huber.fit_lines(blocks, fits, penalties)
+    finally:
+        blocks.unpersist()
+    models = []
+    for (_, end), waves, penalty, line in zip(sets, fits, penalties, lines):
+        stages = [
+            RandomWaves(inputCols=features, outputCol="_waves", means=waves.means.tolist(), scales=waves.scales.tolist(),
+                        shifts=waves.shifts.tolist(), weights=waves.weights.tolist()),
+            VectorAssembler(inputCols=["_waves", *features], outputCol="_x"),
+        ]
+        last_stage = LinearRegression(featuresCol="_x", labelCol="y", loss="huber", regParam=penalty, maxIter=50)
+        models.append(Pipeline(stages=[*stages, last_stage]).fit(until(end)) if line is None else PipelineModel(
+            [*stages, _line_model(spark, last_stage, line)]))
+    return models
+
+
+def _line_model(spark, estimator: LinearRegression, line: huber.Line):
+    """The model that ``estimator`` would have given, from a line found elsewhere."""
+    slopes = _py2java(spark.sparkContext, Vectors.dense(line.slopes))
+    found = spark.sparkContext._jvm.org.apache.spark.ml.regression.LinearRegressionModel(
+        estimator.uid, slopes, float(line.intercept), float(line.scale))
+    return estimator._copyValues(estimator._create_model(found))
 
 
 @dataclass(frozen=True)
 class Candidate:
     name: str
-    stages: Stages
+    stages: Stages | None
     grid: dict[str, list] = field(default_factory=dict)
     forest: bool = False  # its fit, cut at a smaller maxDepth, is the fit of that depth
+    together: Together | None = None  # in place of stages: fits many sets by the same passes
 
 
 def _forest(**kw):
@@ -137,7 +171,7 @@ CANDIDATES = {
         Candidate("hist_gradient_boosting", _assembled(_boost), {"maxDepth": [5], "maxBins": [64], "maxIter": [20]}),
         Candidate("random_forest", _assembled(_forest), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
         Candidate("extra_trees", _assembled(_extra), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
-        Candidate("rbf_kernel", _kernel, {"width": [1.0, 2.0]}),
+        Candidate("rbf_kernel", None, {"width": [1.0, 2.0]}, together=_kernel),
     ]
 }
 
@@ -158,6 +192,8 @@ def parameter_sets(grid: dict[str, list], tries: int | None = None) -> list[dict
 
 
 def fit(candidate: Candidate, train: DataFrame, features: list[str], params: dict) -> PipelineModel:
+    if candidate.together:
+        return candidate.together(train, features, [(params, None)])[0]
     return Pipeline(stages=candidate.stages(train, features, params)).fit(train)
 
 
@@ -203,9 +239,16 @@ def in_parallel(jobs: Sequence[Callable[[], object]], spark, threads: int = 8) -
 
 
 def cross_validate(
-    candidate: Candidate, rows: DataFrame, features: list[str], folds: Sequence[Fold], params_list: Sequence[dict]
+    candidate: Candidate, rows: DataFrame, features: list[str], folds: Sequence[Fold], params_list: Sequence[dict],
+    whole: dict[str, PipelineModel] | None = None,
 ) -> list[tuple]:
-    """One result per parameter set and fold; training rows always precede the test rows."""
+    """One result per parameter set and fold; training rows always precede the test rows.
+
+    ``whole``, if given, is filled with the models of all rows that cost no pass of their own.
+    """
+    if candidate.together:
+        return _cross_validate_together(candidate, rows, features, folds, params_list, whole)
+
     def job(sets: list[dict], f: Fold):
         def run():
             model = fit(candidate, rows.where(f.train()), features, sets[-1])
@@ -220,6 +263,21 @@ def cross_validate(
     return [found[str(p), f.fold] for p in params_list for f in folds]
 
 
+WHOLE_SETS = 2  # with more sets, fits of all rows are dearer side by side than that of the best set later
+
+
+def _cross_validate_together(candidate, rows, features, folds, params_list, whole) -> list[tuple]:
+    pairs = [(p, f) for p in params_list for f in folds]
+    extra = list(params_list) if pairs and whole is not None and len(params_list) <= WHOLE_SETS else []
+    sets = [*((p, f.train_end) for p, f in pairs), *((p, None) for p in extra)]
+    models = candidate.together(rows, features, sets) if sets else []
+    if extra:
+        whole.update(zip(map(str, extra), models[len(pairs):]))
+    jobs = [lambda model=model, f=f: score(model, rows.where(f.test())) for (_, f), model in zip(pairs, models)]
+    return [(candidate.name, str(p), f.fold, m["r2"], m["rmse"], m["mae"])
+            for (p, f), m in zip(pairs, in_parallel(jobs, rows.sparkSession))]
+
+
 @contextmanager
 def kept(df: DataFrame):
     """Hold a feature table in memory and on disk while models are fitted on it."""
@@ -271,12 +329,13 @@ def train_candidates(
             sets = parameter_sets(candidate.grid)
             start = time.time()
             try:
-                rows = cross_validate(candidate, train, features, folds, sets if search else sets[:1])
+                whole: dict[str, PipelineModel] = {}
+                rows = cross_validate(candidate, train, features, folds, sets if search else sets[:1], whole)
                 means: dict[str, list[float]] = {}
                 for r in rows:
                     means.setdefault(r[1], []).append(r[3])
                 best = max(means, key=lambda p: float(np.mean(means[p]))) if means else str(sets[0])
-                model = fit(candidate, train, features, next(p for p in sets if str(p) == best))
+                model = whole.get(best) or fit(candidate, train, features, next(p for p in sets if str(p) == best))
                 m = score(model, holdout)
             except Exception as e:  # noqa: BLE001 - one bad candidate must not end the run
                 out.skipped.append((name, "failed", f"{type(e).__name__}: {str(e)[:200]}"))
