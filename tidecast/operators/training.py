@@ -30,7 +30,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators import huber, metrics, trees
+from tidecast.operators import boosting, huber, metrics, trees
 from tidecast.operators.split import Fold
 
 SEED = 42
@@ -132,6 +132,14 @@ def _kernel(rows: DataFrame, features: list[str], sets: Sequence[tuple[dict, int
     return models
 
 
+def _boost(rows: DataFrame, features: list[str], sets: Sequence[tuple[dict, int | None]]) -> list:
+    """Boosted trees; all sets by the same passes.  Sets that end early give scorers, the others Spark's own models."""
+    spark, estimators = rows.sparkSession, [GBTRegressor(featuresCol="_x", labelCol="y", seed=SEED, **p) for p, _ in sets]
+    found = boosting.fit_boosted(rows, features, sets, SEED, lambda jobs: in_parallel(jobs, spark))
+    return [b if end is not None else PipelineModel([VectorAssembler(inputCols=features, outputCol="_x"), b.model(spark, e)])
+            for b, e, (_, end) in zip(found, estimators, sets)]
+
+
 def _line_model(spark, estimator: LinearRegression, line: huber.Line):
     """The model that ``estimator`` would have given, from a line found elsewhere."""
     slopes = _py2java(spark.sparkContext, Vectors.dense(line.slopes))
@@ -157,18 +165,14 @@ def _extra(**kw):
     return RandomForestRegressor(seed=SEED, bootstrap=False, featureSubsetStrategy="sqrt", **kw)
 
 
-def _boost(**kw):
-    return GBTRegressor(seed=SEED, **kw)
-
-
 CANDIDATES = {
     c.name: c
     for c in [
         Candidate("ridge", _linear(0.0), {"regParam": [0.01, 0.1, 1.0]}),
         Candidate("lasso", _linear(1.0), {"regParam": [0.001, 0.01, 0.1]}),
         Candidate("elastic_net", _linear(0.5), {"regParam": [0.001, 0.01, 0.1]}),
-        Candidate("gradient_boosting", _assembled(_boost), {"maxDepth": [3, 5], "maxIter": [20], "stepSize": [0.1, 0.2]}),
-        Candidate("hist_gradient_boosting", _assembled(_boost), {"maxDepth": [5], "maxBins": [64], "maxIter": [20]}),
+        Candidate("gradient_boosting", None, {"maxDepth": [3, 5], "maxIter": [20], "stepSize": [0.1, 0.2]}, together=_boost),
+        Candidate("hist_gradient_boosting", None, {"maxDepth": [5], "maxBins": [64], "maxIter": [20]}, together=_boost),
         Candidate("random_forest", _assembled(_forest), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
         Candidate("extra_trees", _assembled(_extra), {"maxDepth": [5, 8], "numTrees": [30]}, forest=True),
         Candidate("rbf_kernel", None, {"width": [1.0, 2.0]}, together=_kernel),
