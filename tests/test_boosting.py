@@ -37,7 +37,7 @@ def test_all_sets_and_folds_share_their_passes_and_equal_single_fits(spark):
     found = training.cross_validate(candidate, rows, ["a", "b"], folds, sets, whole)
     jobs = len(sc.statusTracker().getJobIdsForGroup("together"))
     sc.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs < 60  # a pass a level for all six fits; one after the other they took more than 100
+    assert jobs < 60  # a pass a level for all six fits, not for each
     p, f = sets[1], folds[0]
     model, columns = alone(rows.where(f.train()), p)
     expected = training.score(training.PipelineModel([VectorAssembler(inputCols=["a", "b"], outputCol="_x"), model]), rows.where(f.test()))

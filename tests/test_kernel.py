@@ -56,7 +56,7 @@ def test_all_sets_and_folds_share_their_passes_and_equal_single_fits(spark):
     found = training.cross_validate(candidate, rows, ["a", "b"], folds, sets, whole)
     jobs = len(sc.statusTracker().getJobIdsForGroup("together"))
     sc.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs < 150  # six fits of 50 steps each; one after the other they took more than 300
+    assert jobs < 150  # six fits of up to 50 steps each, which share their passes
     for (_, params, fold, r2, rmse, mae), (p, f) in list(zip(found, [(p, f) for p in sets for f in folds]))[1:3]:
         assert (params, fold) == (str(p), f.fold)
         model = training.fit(candidate, rows.where(f.train()), ["a", "b"], p)
